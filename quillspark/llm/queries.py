@@ -23,8 +23,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.lm_scoring import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op4_context_tree": op4_context_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
