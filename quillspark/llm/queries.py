@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 
+KEEP_TAIL = 0.5
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,9 +32,26 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.ordinal import graded, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, graded(table(spark, sf_dir, "labels")), n_grades=3)
+    tails = score(docs, model)
+    return tails.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"), (F.col("tails")[1] >= KEEP_TAIL).alias("keep"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op4_context_tree": op4_context_tree,
+    "op5_ordinal_quality": op5_ordinal_quality,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

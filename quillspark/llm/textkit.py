@@ -26,6 +26,7 @@ _SEED = 20240611
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
+_word = (~_space).astype(np.uint8)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -58,8 +59,8 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             size = len(self.up)
-            step_up = self.up[-1] * self.prime
-            step_down = self.down[-1] * self.inverse
+            step_up = self.up[-1:] * self.prime
+            step_down = self.down[-1:] * self.inverse
             self.up = np.concatenate([self.up, self.up * step_up])
             self.down = np.concatenate([self.down, self.down * step_down])
             assert len(self.up) == 2 * size
@@ -108,39 +109,41 @@ class Words:
     positions, so document i owns words ``first[i]:first[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = _word) -> None:
+        """classes: a class for each byte; a word is a run of one class, and class 0 separates."""
         self.data, self.offsets = data, offsets
         n = len(data)
         if n:
-            space = _space[data]
-            edge = np.empty(n, bool)
-            edge[0] = True
-            edge[1:] = space[:-1]
-            inner = offsets[1:-1]
-            edge[inner[inner < n]] = True
-            self.start = np.flatnonzero(edge & ~space)
-            last = np.empty(n, bool)
-            last[-1] = True
-            last[:-1] = space[1:]
-            ends = offsets[1:-1] - 1
-            last[ends[ends >= 0]] = True
-            self.end = np.flatnonzero(last & ~space) + 1
+            kind = classes[data]
+            edge = np.empty(n + 1, bool)
+            edge[0] = edge[n] = True
+            np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+            edge[offsets] = True
+            inside = kind != 0
+            self.start = np.flatnonzero(edge[:-1] & inside)
+            self.end = np.flatnonzero(edge[1:] & inside) + 1
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.first = np.searchsorted(self.start, offsets)
+        self._prefix: dict[tuple[int, bool], np.ndarray] = {}
 
     def doc(self) -> np.ndarray:
         """The document of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+    def hashes(self, lower: bool = False, seed: int = 0, leading: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its `leading` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         up, down = _power(seed).upto(len(self.data) + 1)
-        prefix = np.empty(len(self.data) + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum(_byte_table(seed, lower)[self.data] * up[: len(self.data)], out=prefix[1:])
-        return mix64((prefix[self.end] - prefix[self.start]) * down[self.start])
+        if (seed, lower) not in self._prefix:
+            prefix = np.empty(len(self.data) + 1, np.uint64)
+            prefix[0] = 0
+            np.cumsum(_byte_table(seed, lower)[self.data] * up[: len(self.data)], out=prefix[1:])
+            self._prefix[seed, lower] = prefix
+        prefix = self._prefix[seed, lower]
+        end = self.end if leading is None else np.minimum(self.end, self.start + leading)
+        return mix64((prefix[end] - prefix[self.start]) * down[self.start])
 
 
 def word_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
