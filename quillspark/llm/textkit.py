@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEED = 20240611
