@@ -47,11 +47,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.transport_stream import decode, encode
+
+    return decode(encode(table(spark, sf_dir, "documents"))).drop("payload", "pts", "random_access")
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quotation import link
+
+    return link(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_quotation_linking": op2_quotation_linking,
     "op4_context_tree": op4_context_tree,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op7_language_id": op7_language_id,
+    "op10_transport_stream": op10_transport_stream,
 }
 
 ORACLE_SQL: dict[str, str] = {}
