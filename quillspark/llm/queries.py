@@ -26,6 +26,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.phrase_automata import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.lm_scoring import score_corpus
 
@@ -62,6 +68,7 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quotation_linking": op2_quotation_linking,
+    "op3_phrase_automata": op3_phrase_automata,
     "op4_context_tree": op4_context_tree,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op7_language_id": op7_language_id,
