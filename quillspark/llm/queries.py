@@ -53,6 +53,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.jaccard_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.transport_stream import decode, encode
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op4_context_tree": op4_context_tree,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_transport_stream": op10_transport_stream,
 }
 
