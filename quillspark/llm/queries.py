@@ -47,6 +47,12 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tails.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"), (F.col("tails")[1] >= KEEP_TAIL).alias("keep"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_array import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.language_id import identify
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op3_phrase_automata": op3_phrase_automata,
     "op4_context_tree": op4_context_tree,
     "op5_ordinal_quality": op5_ordinal_quality,
+    "op6_suffix_array": op6_suffix_array,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_transport_stream": op10_transport_stream,
