@@ -14,10 +14,12 @@ shorter text is one shingle, a text without words none).  Two documents link whe
 3. A group is cut into tiles by size band (a factor of 1/t) and, in a large group, by
    blocks of ``block`` members: each pair of neighbouring bands and blocks is one tile,
    so a group of any size is spread over many tasks and no pair is emitted.
-4. In a tile every class has a parity bitmap of about two bits a shingle.  The number
+4. In a tile every class has a parity bitmap of one or two bits a shingle.  The number
    of bits in which two bitmaps differ is at most the sets' symmetric difference, so a
-   bit count bounds the overlap from above.  Pairs that pass and aren't connected yet
-   are decided by exact intersection of the sorted shingle arrays.
+   bit count bounds the overlap from above.  A first pass carries only the bitmaps and
+   leaves the classes with a possible partner; their texts are then joined, and pairs
+   that pass and aren't connected yet are decided by exact intersection of the sorted
+   shingle arrays.
 5. The tiles' links (a forest each) become connected components; classes are joined
    back to documents.
 
@@ -75,10 +77,12 @@ def _sizes(docs: DataFrame, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in word_slices(batch.column(2)):
-                n = np.array([len(s) for s in shingle_sets(words, gram)], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n)], names=["doc_id", "cls", "n"])
+                sets = shingle_sets(words, gram)
+                n = np.array([len(s) for s in sets], np.int64)
+                bits = [bitmap(s, int(w)).tobytes() for s, w in zip(sets, _width(n), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(bits, pa.binary())], names=["doc_id", "cls", "n", "bits"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, cls bigint, n bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, cls bigint, n bigint, bits binary")
 
 
 def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -136,14 +140,19 @@ def _members(docs: DataFrame, common: np.ndarray, gram: int, percent: int) -> Da
     return pairs
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bits of the signature of a set of each size: a power of two of about its size."""
+    return np.minimum(np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(int)), 32768)
+
+
 def _tiles(members: DataFrame, block: int, percent: int) -> DataFrame:
     """(hub, tile, side, cls): side 0 is compared with side 0; side 1 with side 2 only."""
     counts = members.groupBy("hub").agg(F.count("*").alias("m"))
     placed = members.join(counts, "hub")
-    small = placed.where(F.col("m") <= block).select("hub", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "rep")
+    small = placed.where(F.col("m") <= block).select("hub", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "rep", "n", "bits")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + 1e-9).cast("int")
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    large = placed.where(F.col("m") > block).select("hub", "cls", "rep", band.alias("b"), blocks.alias("k"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("i"))
+    large = placed.where(F.col("m") > block).select("hub", "cls", "rep", "n", "bits", band.alias("b"), blocks.alias("k"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("i"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
 
     def spot(b1: Column, i1: Column, b2: Column, i2: Column) -> Column:
@@ -153,7 +162,7 @@ def _tiles(members: DataFrame, block: int, percent: int) -> DataFrame:
     within = F.transform(every, lambda j: F.struct(spot(b, F.least(i, j), b, F.greatest(i, j)).alias("tile"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
     above = F.transform(every, lambda j: F.struct(spot(b, i, b + 1, j).alias("tile"), F.lit(1).alias("side")))
     under = F.transform(every, lambda j: F.struct(spot(b - 1, j, b, i).alias("tile"), F.lit(2).alias("side")))
-    spread = large.select("hub", "cls", "rep", F.explode(F.concat(within, above, under)).alias("t")).select("hub", "t.tile", "t.side", "cls", "rep")
+    spread = large.select("hub", "cls", "rep", "n", "bits", F.explode(F.concat(within, above, under)).alias("t")).select("hub", "t.tile", "t.side", "cls", "rep", "n", "bits")
     return small.union(spread)
 
 
@@ -168,25 +177,13 @@ def _fold(signature: np.ndarray) -> np.ndarray:
     return signature[:half] ^ signature[half:]
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a tile (side 0) or across it (side 1 to 2)."""
-    size = np.array([len(s) for s in sets])
+def passing(size: np.ndarray, signatures: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): each member of a tile with the larger members that its bitmap allows."""
     order = np.argsort(size, kind="stable")
-    width = np.minimum(np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(int)), 16384)
-    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    width = np.array([64 * len(s) for s in signatures])
     for w in np.unique(width).tolist():
         own = order[(width[order] == w) | (width[order] == 2 * w)]
-        rows[w] = own, np.stack([bitmap(sets[i], w) for i in own])
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = []
-    for w, (own, signatures) in rows.items():
+        rows = np.stack([signatures[i] if width[i] == w else _fold(signatures[i]) for i in own])
         n = size[own]
         for at in range(len(own)):
             i = int(own[at])
@@ -196,53 +193,95 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
             if stop <= at + 1:
                 continue
             others = own[at + 1 : stop]
-            apart = np.bitwise_count(signatures[at] ^ signatures[at + 1 : stop]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(rows[at] ^ rows[at + 1 : stop]).sum(1, dtype=np.int64)
             total = n[at] + n[at + 1 : stop]
             # overlap <= (total - apart) / 2 and overlap >= t * (total - overlap)
             good = (100 + percent) * (total - apart) >= 2 * percent * total
-            good &= side[others] != side[i] if side[i] else side[others] == 0
-            for j in others[good].tolist():
-                a, b = find(i), find(j)
-                if a == b:
-                    continue
-                x, y = sets[i], sets[j]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    root[a] = b
-                    links.append((i, j))
+            good &= (side[others] != side[i]) if side[i] else (side[others] == 0)
+            if good.any():
+                yield i, others[good]
+
+
+def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a tile (side 0) or across it (side 1 to 2)."""
+    size = np.array([len(s) for s in sets])
+    signatures = [bitmap(s, 2 * int(w)) for s, w in zip(sets, _width(size), strict=True)]
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links = []
+    for i, others in passing(size, signatures, side, percent):
+        for j in others.tolist():
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            x, y = sets[i], sets[j]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                root[a] = b
+                links.append((i, j))
     return links
 
 
-def _links(tiled: DataFrame, gram: int, percent: int) -> DataFrame:
-    """(a, b) of linked classes; `tiled` is (hub, tile, side, cls, text), sorted by tile."""
+def _by_tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole tiles of rows sorted by (hub, tile), which are the first two columns; one row a class."""
+    held: list[pa.RecordBatch] = []
+    name = None
+
+    def whole() -> pa.Table:
+        found = pa.Table.from_batches(held).combine_chunks()
+        _, first = np.unique(found["cls"].to_numpy(), return_index=True)
+        return found.take(pa.array(first))
+
+    for batch in batches:
+        h = batch.column(0).to_numpy(zero_copy_only=False)
+        t = np.array(batch.column(1).to_pylist(), object)
+        cut = np.flatnonzero((h[1:] != h[:-1]) | (t[1:] != t[:-1])) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True):
+            if a == b:
+                continue
+            if name is not None and name != (h[a], t[a]):
+                yield whole()
+                held = []
+            name = (h[a], t[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _survivors(tiled: DataFrame, percent: int) -> DataFrame:
+    """The rows of each tile that the bitmaps allow a partner."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = None
+        for tile in _by_tile(batches):
+            if len(tile) < 2:
+                continue
+            signatures = [np.frombuffer(b, np.uint64) for b in tile["bits"].to_pylist()]
+            keep = np.zeros(len(tile), bool)
+            for i, others in passing(tile["n"].to_numpy(), signatures, tile["side"].to_numpy(), percent):
+                keep[i] = True
+                keep[others] = True
+            if keep.any():
+                yield from tile.filter(pa.array(keep)).drop_columns(["n", "bits"]).to_batches()
 
-        def done() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            keys, first = np.unique(whole["cls"].to_numpy(), return_index=True)
-            whole = whole.take(pa.array(first))
-            sets = [s for _, _, words in word_slices(whole["text"]) for s in shingle_sets(words, gram)]
-            pairs = np.array(tile_links(sets, whole["side"].to_numpy(), percent), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(keys[pairs[:, 1]])], names=["a", "b"])
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in tiled.schema if f.name not in ("n", "bits")]
+    return tiled.mapInArrow(run, ", ".join(kept))
 
-        for batch in batches:
-            hub, tile = batch.column(0), batch.column(1)
-            h = hub.to_numpy(zero_copy_only=False)
-            t = np.array(tile.to_pylist(), object)
-            cut = np.flatnonzero((h[1:] != h[:-1]) | (t[1:] != t[:-1])) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True):
-                if a == b:
-                    continue
-                if name is not None and name != (h[a], t[a]):
-                    yield done()
-                    held = []
-                name = (h[a], t[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield done()
+
+def _links(tiled: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(a, b) of linked classes; `tiled` is (hub, tile, side, cls, text), sorted by tile."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _by_tile(batches):
+            keys = tile["cls"].to_numpy()
+            sets = [s for _, _, words in word_slices(tile["text"]) for s in shingle_sets(words, gram)]
+            pairs = np.array(tile_links(sets, tile["side"].to_numpy(), percent), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(keys[pairs[:, 1]])], names=["a", "b"])
 
     return tiled.mapInArrow(run, "a bigint, b bigint")
 
@@ -254,10 +293,11 @@ def link_documents(docs: DataFrame, *, gram: int = GRAM, percent: int = PERCENT,
     docs = _classes(docs)
     sizes = saved(_sizes(docs, gram), "shingle-counts")
     common = _common(docs, gram, sizes.count(), sample)
-    reps = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     pairs = saved(_members(docs, common, gram, percent), "hubs")
     members = pairs.union(pairs.select("hub", F.col("hub").alias("cls")).distinct()).join(reps, "cls")
-    tiles = saved(_tiles(members, block, percent), "tiles").alias("t")
+    tiles = _tiles(members, block, percent).select("hub", "tile", "side", "cls", "rep", "n", "bits")
+    tiles = saved(_survivors(tiles.repartition("hub", "tile").sortWithinPartitions("hub", "tile"), percent), "tiles").alias("t")
     texts = docs.alias("d")
     tiled = texts.join(tiles, (F.col("t.cls") == F.col("d.cls")) & F.col("t.rep").eqNullSafe(F.col("d.doc_id"))).select("t.hub", "t.tile", "t.side", "t.cls", "d.text")
     links = _links(tiled.repartition("hub", "tile").sortWithinPartitions("hub", "tile"), gram, percent)
