@@ -101,4 +101,5 @@ def occurrences(docs: DataFrame, window: int, gram: int, reach: int = 0, clip: b
                 )
 
     rows = docs.select("k", "text").mapInArrow(run, "k bigint, lo int, size int, place int, h bigint, ctx bigint")
-    return saved(rows.join(repeated_anchors(docs, window, gram).select("h"), "h"), "occurrences")
+    # a table, so that both sides of the join are plain exchanges, which can be split where an anchor is hot
+    return saved(rows.join(saved(repeated_anchors(docs, window, gram).select("h"), "anchors"), "h"), "occurrences")
