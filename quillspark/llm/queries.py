@@ -65,6 +65,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.transport_stream import decode, encode
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_array": op6_suffix_array,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_transport_stream": op10_transport_stream,
 }
 
