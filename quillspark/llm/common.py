@@ -49,6 +49,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: list, name: str, into: str = "g") -> DataFrame:
+    """`df` as a table with the row's place (0, 1, ...) in the order of `order`.
+
+    Range-partitioned, so that no key's rows have to share a task; only the number of
+    rows of each partition comes to the driver."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = F.monotonically_increasing_id()
+    placed = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_spot", local), name)
+    part = F.shiftright("_spot", 33)
+    sizes = sorted((r["p"], r["count"]) for r in placed.groupBy(part.alias("p")).count().collect())
+    before, rows = 0, []
+    for p, n in sizes:
+        rows.append((p, before))
+        before += n
+    starts = spark.createDataFrame(rows or [(0, 0)], "_p bigint, _before bigint")
+    near = F.col("_spot").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(starts), part == F.col("_p")).withColumn(into, F.col("_before") + near).drop("_spot", "_p", "_before")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most `rows` documents, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

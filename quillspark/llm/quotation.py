@@ -8,12 +8,16 @@
    space collapsed) and hashed; so is every own paragraph and whole own text of every
    message.  An equality join within the conversation finds the original messages; of
    several, the latest one before the quoting message counts, then the least turn.
-3. Order: a message replies to the original of its first level-1 quote that links,
-   else to the message before it (the earliest of a conversation has no parent).
-   Replies are ordered by path from the root.
+3. Order: a message replies to the original of its first outermost quote that links,
+   else to the message before it (the earliest of a conversation has no parent).  A
+   thread is read depth first: a chain of messages that each answer the one before,
+   then the branches that quote back into it, the latest quoted message's first.
 
-The join is on (conversation, hash), so a phrase common to many conversations makes
-no group across them; paths climb by pointer doubling, in log2(depth) joins.
+The join is on (conversation, hash), so a phrase common to many conversations makes no
+group across them.  Messages are numbered by a range-partitioned global order and a
+chain is found by a running maximum over ranges, so a conversation with a third of all
+rows spreads over many tasks; branch paths climb by pointer doubling, in log2(nesting)
+joins, and their length is the nesting of branches, not the number of messages.
 
 Defined cases: null text has no lines; a null role is kept; a null conversation id is
 a conversation of its own group, ordered by turn; messages repeated as whole rows
@@ -26,12 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, small_batches
+from quillspark.llm.common import ranked, saved, small_batches
 
 _marks = regex.compile(r"^[ \t]*((?:>[ \t]*)+)")
 _attribution = regex.compile(r"\b(?:wrote|said|writes)\b.*:\s*$", regex.I)
@@ -89,50 +94,89 @@ def link(messages: DataFrame) -> DataFrame:
             )
 
     schema = f"conv_id {conv}, turn {turn}, role string, own string, hashes array<bigint>, quotes array<struct<level:int,hash:bigint>>"
-    parsed = base.mapInArrow(run, schema)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "own")
-    numbered = saved(parsed.withColumn("n", F.row_number().over(order)), "messages")
-
-    wanted = numbered.select("conv_id", "n", F.posexplode("quotes").alias("q", "quote")).select("conv_id", "n", "q", F.col("quote.level").alias("level"), F.col("quote.hash").alias("h"))
-    held = numbered.select(F.col("conv_id").alias("c2"), F.col("n").alias("source"), F.explode("hashes").alias("h2"))
-    linked = (
-        wanted.join(held, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("h") == F.col("h2")) & (F.col("source") < F.col("n")))
-        .groupBy("conv_id", "n", "q", "level")
-        .agg(F.max("source").alias("source"))
+    # g: the message's place among all messages, conversation by conversation
+    numbered = saved(ranked(base.mapInArrow(run, schema), ["conv_id", "turn", "role", "own"], "messages"), "numbered")
+    spans = saved(numbered.groupBy("conv_id").agg(F.min("g").alias("first"), F.max("g").alias("last")), "conversations")
+
+    wanted = numbered.select("conv_id", "g", F.posexplode("quotes").alias("q", "quote")).select("conv_id", "g", "q", F.col("quote.level").alias("level"), F.col("quote.hash").alias("h"))
+    held = numbered.select("conv_id", F.col("g"), F.explode("hashes").alias("h"))
+    linked = _latest_before(wanted, held)
+    parents = linked.groupBy("g").agg(F.count("*").alias("n_linked"), F.min_by("source", F.struct("level", "q")).alias("quoted"))
+    # a message that quotes an earlier one than its neighbour opens a branch
+    joined = numbered.join(parents, "g", "left").join(spans.withColumnRenamed("conv_id", "c3"), F.col("conv_id").eqNullSafe(F.col("c3"))).drop("c3")
+    opens = (F.col("g") == F.col("first")) | (F.col("quoted") < F.col("g") - 1)
+    nodes = saved(joined.withColumn("opens", F.coalesce(opens, F.lit(False))), "replies")
+
+    # each message's chain is the last branch opened at or before it
+    chains = _last_open(nodes.select("g", "opens"))
+    starts = saved(
+        nodes.where("opens").select(F.col("g").alias("start"), F.when(F.col("g") > F.col("first"), F.col("quoted")).alias("source"))
+        .join(chains.select(F.col("g").alias("source"), F.col("chain").alias("up")), "source", "left").select("start", "source", "up"),
+        "branches",
     )
-    parents = linked.groupBy("conv_id", "n").agg(F.count("*").alias("linked"), F.min_by("source", F.struct("level", "q")).alias("quoted"))
-    nodes = saved(
-        numbered.alias("m")
-        .join(parents.alias("p"), F.col("m.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("m.n") == F.col("p.n")), "left")
-        .select("m.conv_id", "m.n", F.coalesce("p.linked", F.lit(0)).alias("linked"), F.coalesce("p.quoted", F.when(F.col("m.n") > 1, F.col("m.n") - 1)).alias("parent")),
-        "replies",
-    )
-    # the path from the root, by pointer doubling: `up` is the 2**k-th ancestor
-    paths = nodes.select("conv_id", "n", F.col("parent").alias("up"), F.array("n").alias("path"))
+    # paths of branches by pointer doubling: `up` is the branch 2**k levels above
+    steps = F.when(F.col("source").isNull(), F.array().cast("array<struct<back:bigint,start:bigint>>")).otherwise(F.array(F.struct((-F.col("source")).alias("back"), F.col("start").alias("start"))))
+    paths = starts.select("start", "up", steps.alias("path"), F.when(F.col("source").isNull(), 0).otherwise(F.col("source") - F.col("up") + 1).cast("long").alias("depth"))
     while paths.where(F.col("up").isNotNull()).limit(1).count():
-        above = paths.select(F.col("conv_id").alias("c2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        paths = saved(
-            paths.join(above, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")), "left").select(
-                "conv_id", "n", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")
-            ),
-            "reply-paths",
-        )
-    all_of = Window.partitionBy("conv_id")
-    joined = (
-        numbered.alias("m")
-        .join(nodes.alias("r"), F.col("m.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("m.n") == F.col("r.n")))
-        .join(paths.alias("p"), F.col("m.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("m.n") == F.col("p.n")))
-        .select("m.conv_id", "m.turn", "m.role", F.col("m.own").alias("text"), "m.n", F.size("m.quotes").alias("n_quotes"), "r.linked", "r.parent", "p.path")
+        above = paths.select(F.col("start").alias("s2"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("depth").alias("depth2"))
+        more = paths.join(above, F.col("up") == F.col("s2"), "left")
+        paths = saved(more.select("start", F.col("up2").alias("up"), F.when(F.col("s2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "branch-paths")
+
+    placed = nodes.join(chains, "g").join(paths.select(F.col("start").alias("chain"), "path", "depth"), "chain")
+    laid = placed.select(
+        "conv_id", "turn", "role", F.col("own").alias("text"), "first", "g", "n_linked", "path", F.size("quotes").cast("long").alias("n_quotes"),
+        F.when(F.col("g") > F.col("first"), F.coalesce("quoted", F.col("g") - 1)).alias("parent"), (F.col("depth") + F.col("g") - F.col("chain")).alias("depth"),
     )
-    return joined.select(
+    final = ranked(laid, ["first", "path", "g"], "reply-order", "place")
+    return final.select(
         "conv_id",
         "turn",
         "role",
         "text",
-        F.col("n").cast("long").alias("message"),
-        F.col("n_quotes").cast("long").alias("n_quotes"),
-        F.col("linked").cast("long").alias("n_linked"),
-        F.col("parent").cast("long").alias("reply_to"),
-        (F.size("path") - 1).cast("long").alias("depth"),
-        F.row_number().over(all_of.orderBy("path")).cast("long").alias("reply_order"),
+        (F.col("g") - F.col("first") + 1).alias("message"),
+        "n_quotes",
+        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        (F.col("parent") - F.col("first") + 1).alias("reply_to"),
+        "depth",
+        (F.col("place") - F.col("first") + 1).alias("reply_order"),
     )
+
+
+def _latest_before(quotes: DataFrame, held: DataFrame) -> DataFrame:
+    """(g, q, level, source): for each quote the latest earlier message of its conversation
+    that holds its hash.  One sorted pass over quotes and holders together, so a passage
+    that is quoted often and held often costs its rows, not their product."""
+    none = F.lit(None)
+    quotes = quotes.join(held.select("conv_id", "h").distinct(), [quotes.conv_id.eqNullSafe(held.conv_id), quotes.h == held.h], "left_semi")
+    rows = quotes.select("conv_id", "h", "g", F.lit(0).alias("kind"), "q", "level").union(held.select("conv_id", "h", "g", F.lit(1), none.cast("int"), none.cast("int")))
+    order = saved(ranked(rows, ["conv_id", "h", "g", "kind", "q"], "quotes", "place"), "quotes-placed")
+    groups = order.groupBy("conv_id", "h").agg(F.min("place").alias("low")).withColumnsRenamed({"conv_id": "c2", "h": "h2"})
+    last = _last_open(order.select(F.col("place").alias("g"), (F.col("kind") == 1).alias("opens"))).withColumnsRenamed({"g": "place", "chain": "at"})
+    asked = order.where("kind = 0").join(last, "place").join(groups, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("h") == F.col("h2"))).where("at >= low")
+    holders = order.where("kind = 1").select(F.col("place").alias("at"), F.col("g").alias("source"))
+    return asked.join(holders, "at").select("g", "q", "level", "source")
+
+
+def _last_open(nodes: DataFrame) -> DataFrame:
+    """(g, chain): the greatest g' <= g with `opens`, by a running maximum over ranges of g."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1
+        for batch in batches:
+            g = batch.column(0).to_numpy(zero_copy_only=False)
+            open_ = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            chain = np.maximum.accumulate(np.r_[last, np.where(open_, g, -1)])[1:]
+            last = int(chain[-1]) if len(chain) else last
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chain, pa.int64())], names=["g", "chain"])
+
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = nodes.repartitionByRange(parts, "g").sortWithinPartitions("g").mapInArrow(run, "g bigint, chain bigint").withColumn("p", F.spark_partition_id())
+    local = saved(local, "chains")
+    tops = sorted((r["p"], r["top"]) for r in local.groupBy("p").agg(F.max("chain").alias("top")).collect())
+    carry, rows = -1, []
+    for p, top in tops:
+        rows.append((p, carry))
+        carry = max(carry, top)
+    before = spark.createDataFrame(rows or [(0, -1)], "p int, carried bigint")
+    return local.join(F.broadcast(before), "p").select("g", F.greatest("chain", "carried").alias("chain"))
