@@ -11,9 +11,10 @@ shorter text is one shingle, a text without words none).  Two documents link whe
    with such a shared shingle is its *hub*, and every class that shares it joins the
    hub's group.  So every pair that can link meets in a group, and near copies, which
    share dozens of shingles, meet in a few groups only.
-3. A group is cut into tiles by size band (a factor of 1/t) and, in a large group, by
-   blocks of ``block`` members: each pair of neighbouring bands and blocks is one tile,
-   so a group of any size is spread over many tasks and no pair is emitted.
+3. A group of more than ``block`` members is cut into tiles by size band (a factor of
+   1/t) and, where a band is still larger, by blocks: each pair of neighbouring bands and
+   blocks is one tile, so a group of any size is spread over many tasks and no pair is
+   emitted.
 4. In a tile every class has a parity bitmap of one or two bits a shingle.  The number
    of bits in which two bitmaps differ is at most the sets' symmetric difference, so a
    bit count bounds the overlap from above.  A first pass carries only the bitmaps and
@@ -44,7 +45,7 @@ from quillspark.llm.textkit import gram_hashes, mix64, word_slices
 
 GRAM = 5
 PERCENT = 80
-BLOCK = 512
+BLOCK = 1024
 SAMPLE = 4000
 
 
@@ -146,24 +147,36 @@ def _width(n: np.ndarray) -> np.ndarray:
 
 
 def _tiles(members: DataFrame, block: int, percent: int) -> DataFrame:
-    """(hub, tile, side, cls): side 0 is compared with side 0; side 1 with side 2 only."""
-    counts = members.groupBy("hub").agg(F.count("*").alias("m"))
-    placed = members.join(counts, "hub")
-    small = placed.where(F.col("m") <= block).select("hub", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "rep", "n", "bits")
+    """(hub, tile, side, cls) for members (hub, cls, n); see :func:`_allowed` for the sides.
+
+    A group of at most `block` members is one tile.  A larger one has a tile a size band,
+    with the members of the band (side 0) and of the next (side 2).  Where a band is larger
+    than a block, its members fall into k blocks, and every two blocks of neighbouring
+    bands (sides 1 and 2) or of one band are a tile, so a member has about 3k copies."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + 1e-9).cast("int")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    large = placed.where(F.col("m") > block).select("hub", "cls", "rep", "n", "bits", band.alias("b"), blocks.alias("k"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("i"))
+    banded = members.withColumn("b", band)
+    counts = banded.groupBy("hub", "b").agg(F.count("*").alias("m")).groupBy("hub").agg(F.sum("m").alias("m"), F.ceil(F.max("m") / F.lit(block)).cast("int").alias("k"))
+    placed = banded.join(counts, "hub")
+    own, upper = F.struct(F.col("b").cast("string").alias("tile"), F.lit(0).alias("side")), F.struct((F.col("b") - 1).cast("string").alias("tile"), F.lit(2).alias("side"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
+    b, i = F.col("b"), F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")
 
     def spot(b1: Column, i1: Column, b2: Column, i2: Column) -> Column:
         return F.concat_ws(".", b1, i1, b2, i2)
 
-    b, i = F.col("b"), F.col("i")
     within = F.transform(every, lambda j: F.struct(spot(b, F.least(i, j), b, F.greatest(i, j)).alias("tile"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
     above = F.transform(every, lambda j: F.struct(spot(b, i, b + 1, j).alias("tile"), F.lit(1).alias("side")))
     under = F.transform(every, lambda j: F.struct(spot(b - 1, j, b, i).alias("tile"), F.lit(2).alias("side")))
-    spread = large.select("hub", "cls", "rep", "n", "bits", F.explode(F.concat(within, above, under)).alias("t")).select("hub", "t.tile", "t.side", "cls", "rep", "n", "bits")
-    return small.union(spread)
+    whole = F.array(F.struct(F.lit("").alias("tile"), F.lit(0).alias("side")))
+    places = F.when(F.col("m") <= block, whole).when(F.col("k") == 1, F.array(own, upper)).otherwise(F.concat(within, above, under))
+    return placed.select("hub", "cls", F.explode(places).alias("t")).select("hub", "t.tile", "t.side", "cls")
+
+
+def _allowed(side: int, others: np.ndarray) -> np.ndarray:
+    """Which sides are compared: 0 with 0 and 2, 1 with 2 only, 2 never with 2."""
+    if side == 2:
+        return others != 2
+    return (others == 2) | ((others == 0) & (side == 0))
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -197,13 +210,13 @@ def passing(size: np.ndarray, signatures: list[np.ndarray], side: np.ndarray, pe
             total = n[at] + n[at + 1 : stop]
             # overlap <= (total - apart) / 2 and overlap >= t * (total - overlap)
             good = (100 + percent) * (total - apart) >= 2 * percent * total
-            good &= (side[others] != side[i]) if side[i] else (side[others] == 0)
+            good &= _allowed(int(side[i]), side[others])
             if good.any():
                 yield i, others[good]
 
 
 def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a tile (side 0) or across it (side 1 to 2)."""
+    """A spanning forest of the links in a tile."""
     size = np.array([len(s) for s in sets])
     signatures = [bitmap(s, 2 * int(w)) for s, w in zip(sets, _width(size), strict=True)]
     root = list(range(len(sets)))
@@ -295,8 +308,10 @@ def link_documents(docs: DataFrame, *, gram: int = GRAM, percent: int = PERCENT,
     common = _common(docs, gram, sizes.count(), sample)
     reps = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     pairs = saved(_members(docs, common, gram, percent), "hubs")
-    members = pairs.union(pairs.select("hub", F.col("hub").alias("cls")).distinct()).join(reps, "cls")
-    tiles = _tiles(members, block, percent).select("hub", "tile", "side", "cls", "rep", "n", "bits")
+    members = pairs.union(pairs.select("hub", F.col("hub").alias("cls")).distinct())
+    tiles = _tiles(members.join(reps.select("cls", "n"), "cls"), block, percent)
+    # the bitmaps join last, and are shuffled once
+    tiles = tiles.join(reps, "cls").select("hub", "tile", "side", "cls", "rep", "n", "bits")
     tiles = saved(_survivors(tiles.repartition("hub", "tile").sortWithinPartitions("hub", "tile"), percent), "tiles").alias("t")
     texts = docs.alias("d")
     tiled = texts.join(tiles, (F.col("t.cls") == F.col("d.cls")) & F.col("t.rep").eqNullSafe(F.col("d.doc_id"))).select("t.hub", "t.tile", "t.side", "t.cls", "d.text")
