@@ -314,7 +314,8 @@ def link_documents(docs: DataFrame, *, gram: int = GRAM, percent: int = PERCENT,
     tiles = tiles.join(reps, "cls").select("hub", "tile", "side", "cls", "rep", "n", "bits")
     tiles = saved(_survivors(tiles.repartition("hub", "tile").sortWithinPartitions("hub", "tile"), percent), "tiles").alias("t")
     texts = docs.alias("d")
-    tiled = texts.join(tiles, (F.col("t.cls") == F.col("d.cls")) & F.col("t.rep").eqNullSafe(F.col("d.doc_id"))).select("t.hub", "t.tile", "t.side", "t.cls", "d.text")
+    # merged at every size: a plan that broadcasts what happens to be small would not be the one that scales
+    tiled = texts.join(tiles.hint("merge"), (F.col("t.cls") == F.col("d.cls")) & F.col("t.rep").eqNullSafe(F.col("d.doc_id"))).select("t.hub", "t.tile", "t.side", "t.cls", "d.text")
     links = _links(tiled.repartition("hub", "tile").sortWithinPartitions("hub", "tile"), gram, percent)
     roots = components(links)
     placed = sizes.join(roots, sizes.cls == roots.node, "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
