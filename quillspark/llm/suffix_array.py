@@ -184,7 +184,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, r
     own = F.struct("k", "place") == F.col("one")
     wide = members.select("k", (F.col("place") - reach).alias("start"), (F.col("place") + gram + reach).alias("stop"), (~own).alias("gone"), F.col("one.k").alias("other"))
     spots = classes.join(several, "h", "left_semi").groupBy("one.k").agg(F.collect_list(F.struct(F.col("one.place").alias("place"), F.col("h"))).alias("spots"))
-    suffixes = _suffixes(docs.select("k", "text").join(spots, "k"), gram, reach)
+    # merged at every size, as in a corpus of which the candidates would never fit a broadcast
+    suffixes = _suffixes(docs.select("k", "text").join(spots.hint("merge"), "k"), gram, reach)
     order = ["h", "right", "k", "place"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -262,6 +263,6 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
                 out[i] = b"".join([*pieces, raw[at:end]]).decode()
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn("_k", key).join(spans.withColumnRenamed("k", "_k").withColumnRenamed("spans", "_spans"), "_k", "left")
+    joined = docs.withColumn("_k", key).join(spans.withColumnsRenamed({"k": "_k", "spans": "_spans"}).hint("merge"), "_k", "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.col("_spans")))
     return joined.withColumn("text", text).drop("_k", "_spans")
