@@ -6,9 +6,10 @@ grade and the tail probability used for selection.
 
 Features (presence, hashed to ``2**bits``): each run of letters and digits and each
 run of other signs, lower-cased; the first four and five bytes of longer runs; runs
-in capitals.  Weights are fitted by FTRL-proximal steps, whose L1 term keeps the
-weights of uninformative words at exactly zero, so that long clean texts are not
-judged by noise.
+in capitals.  Features that are rare in the sample or spread over the grades as the
+whole sample is are left out, and weights are fitted by FTRL-proximal steps, whose L1
+term keeps small weights at exactly zero, so that long clean texts are not judged by
+noise.
 
 Training takes at most ``sample`` labelled documents (a documented bound: those
 with the least hash of their id); scoring covers every document.
@@ -71,14 +72,34 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, epochs: int = 6, batch: int = 64, alpha: float = 0.1, l1: float = 1.5, l2: float = 1.0) -> Ordinal:
-    """FTRL-proximal on the cumulative log-likelihood in a fixed shuffled order."""
+def _telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, size: int, least: int, deviation: float) -> list[np.ndarray]:
+    """The rows without features of fewer than `least` documents, and without those whose
+    grades are, at every cut, within `deviation` standard deviations of the whole sample's."""
+    if not rows:
+        return rows
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = np.bincount(flat, minlength=size)
+    keep = np.zeros(size, bool)
+    for k in range(1, n_grades):
+        above = grades >= k
+        share = above.mean()
+        seen = np.bincount(flat, above[doc], size)
+        keep |= np.abs(seen - n * share) > deviation * np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
+    keep &= n >= least
+    return [r[keep[r]] for r in rows]
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, epochs: int | None = None, batch: int = 64, alpha: float = 0.5, l1: float = 0.3, l2: float = 1.0, least: int = 3, deviation: float = 3.0) -> Ordinal:
+    """FTRL-proximal on the cumulative log-likelihood in a fixed shuffled order; about 2000
+    steps, and 6 passes at least."""
+    epochs = epochs or max(6, min(60, 2000 * batch // max(len(rows), 1)))
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     cuts = np.array([np.log((np.sum(grades < k) + 1) / (np.sum(grades >= k) + 1)) for k in range(1, n_grades)])
     cuts = np.maximum.accumulate(cuts)
+    rows = _telling(rows, grades, n_grades, size, least, deviation)
     order_of = np.random.default_rng(7)
-    above = grades[:, None] >= np.arange(1, n_grades)[None, :]
+    seen = np.zeros(n_grades - 1)
     for epoch in range(epochs):
         order = order_of.permutation(len(rows))
         for a in range(0, len(order), batch):
@@ -102,9 +123,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
             sigma = (np.sqrt(n[used] + grad * grad) - np.sqrt(n[used])) / alpha
             z[used] += grad - sigma * w
             n[used] += grad * grad
-            step = 0.02 / (1 + epoch)
-            cuts = cuts + step * (p - above[own]).mean(0)
-            cuts = np.maximum.accumulate(cuts)
+            # -log P of a grade falls with its lower threshold and rises with its upper one
+            pulls = np.zeros(n_grades + 1)
+            np.add.at(pulls, g, slope[np.arange(len(own)), g] / mass)
+            np.add.at(pulls, g + 1, -slope[np.arange(len(own)), g + 1] / mass)
+            pulls = pulls[1:n_grades] / len(own)
+            seen += pulls * pulls
+            cuts = np.maximum.accumulate(cuts - 0.2 * pulls / np.sqrt(seen + 1e-8))
     weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / alpha + l2))
     return Ordinal(weights.astype(np.float32), cuts)
 
@@ -170,7 +195,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
 
 
-KEEP_TAIL = 0.5
+KEEP_TAIL = 0.25
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP_TAIL) -> tuple[DataFrame, Column]:

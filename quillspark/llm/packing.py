@@ -121,7 +121,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
                 break
             low = z <= 0
             steps = x[own][low] / np.maximum(x[own][low] - z[low], 1e-300)
-            move = float(steps.min(initial=0.0))
+            move = float(steps.min(initial=1.0))
             new = x[own] + move * (z - x[own])
             new[low & (x[own] / np.maximum(x[own] - z, 1e-300) <= move)] = 0
             x[own] = np.maximum(new, 0)

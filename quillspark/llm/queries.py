@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 
-KEEP_TAIL = 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +38,7 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.llm.ordinal import graded, score, train
+    from quillspark.llm.ordinal import KEEP_TAIL, graded, score, train
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, graded(table(spark, sf_dir, "labels")), n_grades=3)
