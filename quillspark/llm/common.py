@@ -76,6 +76,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that `df` doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str, modulus: int):
     """crc32 of an id written as text, modulo `modulus` (a null id gives null)."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))

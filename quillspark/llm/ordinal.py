@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import fresh, small_batches
 from quillspark.llm.textkit import Words, mix64, slices, text_buffer
 
 BITS = 20
@@ -201,4 +201,5 @@ KEEP_TAIL = 0.25
 def select_documents(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP_TAIL) -> tuple[DataFrame, Column]:
     """`docs` with a column of tail probabilities, and the condition to keep a row."""
     model = train(docs, graded(labels), n_grades=3)
-    return docs.select("*", with_tails(docs.sparkSession, F.col("text"), model).alias("_tails")), F.col("_tails")[1] >= keep
+    tails = fresh("_tails", docs)
+    return docs.withColumn(tails, with_tails(docs.sparkSession, F.col("text"), model)), F.col(tails)[1] >= keep

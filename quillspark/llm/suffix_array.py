@@ -21,9 +21,9 @@ Every removed word has an equal word, in an equal passage, at a strictly smaller
 so one copy of everything remains.
 
 Defined cases: null and empty texts have no words and stay as they are; texts shorter
-than the window stay; equal rows are two places with one key, and of them the whole
-text but one copy goes; very long texts are used whole; an empty table stays empty;
-extra columns pass through.
+than the window stay; equal rows (one id, one text) share a key and keep or lose the same
+words; very long texts are used whole; an empty table stays empty; extra columns pass
+through.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, small_batches
+from quillspark.llm.common import fresh, saved, small_batches
 from quillspark.llm.passages import keyed, occurrences
 from quillspark.llm.textkit import Words, slices, text_buffer
 
@@ -263,6 +263,7 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
                 out[i] = b"".join([*pieces, raw[at:end]]).decode()
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn("_k", key).join(spans.withColumnsRenamed({"k": "_k", "spans": "_spans"}).hint("merge"), "_k", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.col("_spans")))
-    return joined.withColumn("text", text).drop("_k", "_spans")
+    k, own = fresh("_k", docs), fresh("_spans", docs)
+    joined = docs.withColumn(k, key).join(spans.withColumnsRenamed({"k": k, "spans": own}).hint("merge"), k, "left")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), F.col(own)))
+    return joined.withColumn("text", text).select(*docs.columns)
