@@ -231,8 +231,9 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def decode(media: DataFrame) -> DataFrame:
-    """Programs read from the column `media`: payload, timestamps, random-access points and a feature."""
+def decode(media: DataFrame, *, with_payload: bool = True) -> DataFrame:
+    """Programs read from the column `media`: payload (if asked for), timestamps,
+    random-access points and a feature."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +243,7 @@ def decode(media: DataFrame) -> DataFrame:
                 stored = [m or b"" for m in part.column(2).to_pylist()]
                 programs = [demux(m) for m in stored]
                 payloads = [p.payload for p in programs]
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "continuity_errors", "pts", "random_access", *(["payload"] if with_payload else [])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -255,12 +257,12 @@ def decode(media: DataFrame) -> DataFrame:
                         pa.array([p.continuity_errors for p in programs], pa.int64()),
                         pa.array([p.pts for p in programs], pa.list_(pa.int64())),
                         pa.array([p.random_access for p in programs], pa.list_(pa.int64())),
-                        binary_column(b"".join(payloads), offsets_of(np.array([len(p) for p in payloads]))),
+                        *([binary_column(b"".join(payloads), offsets_of(np.array([len(p) for p in payloads])))] if with_payload else []),
                     ],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "continuity_errors", "pts", "random_access", "payload"],
+                    names=names,
                 )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         run,
-        f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, continuity_errors bigint, pts array<bigint>, random_access array<bigint>, payload binary",
+        f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, continuity_errors bigint, pts array<bigint>, random_access array<bigint>" + (", payload binary" if with_payload else ""),
     )
