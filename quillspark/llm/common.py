@@ -69,7 +69,7 @@ def ranked(df: DataFrame, order: list, name: str, into: str = "g") -> DataFrame:
     return placed.join(F.broadcast(starts), part == F.col("_p")).withColumn(into, F.col("_before") + near).drop("_spot", "_p", "_before")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most `rows` documents, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:

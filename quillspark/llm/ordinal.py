@@ -77,14 +77,17 @@ def _telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, size: in
     grades are, at every cut, within `deviation` standard deviations of the whole sample's."""
     if not rows:
         return rows
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n = np.bincount(flat, minlength=size)
+    n, seen = np.zeros(size), np.zeros((n_grades - 1, size))
+    for a in range(0, len(rows), 1000):
+        flat = np.concatenate(rows[a : a + 1000])
+        own = np.repeat(grades[a : a + 1000], [len(r) for r in rows[a : a + 1000]])
+        n += np.bincount(flat, minlength=size)
+        for k in range(1, n_grades):
+            seen[k - 1] += np.bincount(flat[own >= k], minlength=size)
     keep = np.zeros(size, bool)
     for k in range(1, n_grades):
-        above = grades >= k
-        share = above.mean()
-        seen = np.bincount(flat, above[doc], size)
-        keep |= np.abs(seen - n * share) > deviation * np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
+        share = (grades >= k).mean()
+        keep |= np.abs(seen[k - 1] - n * share) > deviation * np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
     keep &= n >= least
     return [r[keep[r]] for r in rows]
 
