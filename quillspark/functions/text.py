@@ -139,3 +139,9 @@ def citation_token(text: Column, default_act: str, acts: list[str]) -> Column:
     left = F.substr(rest, F.length(taken) + 1)
     terms = F.filter(F.transform(F.split(left, "[;,]"), _strip), lambda t: t != "")
     return F.when(taken != "", F.struct(F.when(act != "", act).otherwise(F.lit(default_act)).alias("act"), section.alias("section"), terms.alias("terms")))
+
+
+def term_markers(text: Column) -> Column:
+    """Terms that an asterisk marks, sorted: "*term" up to a sign that ends it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:^|[\s(])\*([a-zA-Z0-9][a-zA-Z0-9\-]*)(?=[\s,.;:)*]|$)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))

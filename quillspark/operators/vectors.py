@@ -11,17 +11,25 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-#: Queries that one block may hold; their vectors are the broadcast side.
+#: Twice the queries of a block; their vectors are the broadcast side.
 QUERY_BLOCK = 4096
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, sim, rank): the k nearest others of each query.
 
-    queries (query_id, q) is a stated set of at most QUERY_BLOCK rows; each partition of
-    `base` is scanned once and keeps its own k best before the final ranking."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError("pass the queries in blocks of QUERY_BLOCK rows")
+    The queries are taken in blocks of about QUERY_BLOCK / 2, each broadcast against one
+    scan of `base`, of which every bucket keeps its own k best before the final ranking."""
+    blocks = max(1, -(-2 * queries.count() // QUERY_BLOCK))
+    out = None
+    for i in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = _nearest_block(some, base, k)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _nearest_block(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     pairs = base.crossJoin(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("distance"))
     bucket = F.pmod(F.xxhash64("vec_id"), F.lit(32))
     local = Window.partitionBy("query_id", "bucket").orderBy("distance", "vec_id")

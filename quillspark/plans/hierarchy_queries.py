@@ -178,3 +178,45 @@ def unresolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT DISTINCT source_internal_id, target_ref_id, target_internal_id, snippet FROM refs", tables=True)
 def load_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references(spark, sf_dir).dropDuplicates()
+
+
+@register("SELECT internal_id, CASE WHEN type = 'Division' THEN lower(title) ELSE '' END AS markers FROM provisions WHERE content_md LIKE '%*%' AND type <> 'Definition'", tables=True)
+def term_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asterisked terms of each text; the division names are marked."""
+    p = provisions(spark, sf_dir).where("content_md LIKE '%*%' AND type <> 'Definition'")
+    return p.select("internal_id", F.array_join(X.term_markers(F.translate("content_md", "_", "-")), ",").alias("markers")).withColumn("markers", F.translate("markers", "-", "_"))
+
+
+@register()
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of one division with references, definitions and what stays unresolved."""
+    from quillspark.operators import export as E
+
+    p, refs, terms = provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir)
+    shown = E.parts(p, refs, terms, "R1_N1")
+    return E.markdown(shown, E.unresolved(p, refs, shown))
+
+
+@register(
+    """--cte copied AS (SELECT * FROM provisions WHERE path = 'R1.N1' OR starts_with(path, 'R1.N1.')),
+cited AS (SELECT DISTINCT target_internal_id AS id FROM refs WHERE source_internal_id IN (SELECT internal_id FROM copied) AND target_internal_id IS NOT NULL AND target_internal_id NOT IN (SELECT internal_id FROM copied)),
+shown AS (SELECT internal_id AS id FROM copied UNION SELECT id FROM cited),
+needed AS (SELECT id FROM shown UNION SELECT definition_internal_id FROM needed JOIN terms ON source_internal_id = id WHERE definition_internal_id IS NOT NULL)
+SELECT internal_id, 'copied' AS part FROM copied UNION ALL SELECT id, 'referenced' FROM cited UNION ALL SELECT id, 'definition' FROM needed WHERE id NOT IN (SELECT id FROM shown)""",
+    tables=True,
+    recursive=True,
+)
+def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export holds, and as which part."""
+    from quillspark.operators import export as E
+
+    return E.parts(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir), "R1_N1").select("internal_id", "part")
+
+
+@register("SELECT p.internal_id, count(d.internal_id) AS n_visible FROM provisions p JOIN provisions d ON d.path = p.path OR starts_with(d.path, p.path || '.') WHERE p.level <= 2 GROUP BY 1", tables=True)
+def visible_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes an opened node of the upper levels shows, itself included."""
+    p = provisions(spark, sf_dir)
+    upper = p.where("level <= 2").select(F.col("path").alias("ancestor_path"), F.col("internal_id").alias("up"))
+    found = p.select("internal_id", F.explode(H.prefixes(F.col("path"))).alias("ancestor_path")).join(F.broadcast(upper), "ancestor_path")
+    return found.groupBy(F.col("up").alias("internal_id")).agg(F.count("*").alias("n_visible"))
