@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
     found = occurrences(docs, window, gram)
     packed = lambda weight: F.shiftleft(F.col("lo").cast("long"), 22) + F.shiftleft(F.col("size").cast("long"), 2) + weight
     classes = saved(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "size")).alias("one")), "readings")
-    several = classes.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1").select("h")
+    several = saved(classes.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1").select("h"), "several")
     whole = found.join(classes.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
     probes = classes.join(several, "h", "left_semi").select("one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
     marks = whole.groupBy("k").agg(F.collect_set(packed(F.lit(0))).alias("full")).join(probes.groupBy("k").agg(F.collect_set(packed(F.col("weight"))).alias("probes")), "k", "full")
