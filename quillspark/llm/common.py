@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,18 @@ def ranked(df: DataFrame, order: list, name: str, into: str = "g") -> DataFrame:
     return placed.join(F.broadcast(starts), part == F.col("_p")).withColumn(into, F.col("_before") + near).drop("_spot", "_p", "_before")
 
 
+@contextmanager
+def few_samples(spark: SparkSession, rows: int = 20) -> Iterator[None]:
+    """Range partitioning of wide keys with fewer samples a partition, as all of them go to the driver."""
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most `rows` documents, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

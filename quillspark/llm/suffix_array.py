@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, saved, small_batches
+from quillspark.llm.common import few_samples, fresh, saved, small_batches
 from quillspark.llm.passages import keyed, occurrences
 from quillspark.llm.textkit import Words, slices, text_buffer
 
@@ -177,7 +177,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, r
     spark = docs.sparkSession
     found = occurrences(docs, window, gram, reach, clip=True)
     classes = saved(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("one")), "readings")
-    several = classes.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1").select("h")
+    several = saved(classes.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1").select("h"), "several")
     # members of a class: they share `reach` words on both sides, where the texts have them
     many = classes.where("n > 1")
     members = found.join(many.select("h", "ctx", "one"), ["h", "ctx"])
@@ -189,7 +189,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, r
     order = ["h", "right", "k", "place"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    compared = saved(_neighbours(ordered, gram, reach, window), "neighbours")
+    with few_samples(spark):
+        compared = saved(_neighbours(ordered, gram, reach, window), "neighbours")
     # two suffixes a range: as many rows as there are tasks
     edges = compared.where(F.col("h").isNotNull()).select("h", "right", "left", "k", "place").coalesce(1).sortWithinPartitions(*order)
     across = _neighbours(edges, gram, reach, window)
