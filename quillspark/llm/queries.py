@@ -95,4 +95,27 @@ QUERIES: dict[str, Query] = {
     "op10_transport_stream": op10_transport_stream,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_phrase_automata": f"""
+WITH w AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
+t AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM t WHERE i + 34 <= len(ws)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+flagged AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (h)),
+marked AS (SELECT t.doc_id, t.i, t.ws[t.i] AS word, max((f.i IS NOT NULL)::INT) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM t LEFT JOIN flagged f ON f.doc_id = t.doc_id AND f.i = t.i),
+kept AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM marked GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+d AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS root, a AS id FROM d UNION SELECT root, d.b FROM reach JOIN d ON d.a = reach.id),
+least AS (SELECT id, min(root) AS c FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.id = w.doc_id""",
+}
