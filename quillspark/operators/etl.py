@@ -124,33 +124,6 @@ def tag_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, terms string")
 
 
-# Ids that name no provision.
-GENERIC = ["act", "n_a", "na", "unknown", "ii", "i", "a", "b", "c"]
-
-
-def normalised_reference(raw: Column, source: Column, default_act: str, acts: list[str]) -> Column:
-    """A reference as ACT:Type:Id by ordered rules: generic ids drop out, a reference to
-    itself is its source, then the kind of provision, then the id within it."""
-    text = F.trim(F.replace(raw, F.lit("/"), F.lit("_")))
-    parts = F.split(text, ":")
-    named = F.array_contains(F.array(*(F.lit(a) for a in acts)), parts[0]) & (F.size(parts) >= 3)
-    act = F.when(named, parts[0]).otherwise(F.lit(default_act))
-    body = F.when(named, F.element_at(parts, -1)).otherwise(text)
-    kind = F.lower(F.when(named, parts[1]).otherwise(text))
-    number = F.upper(F.regexp_extract(body, r"([0-9]+[A-Za-z]*(?:-[0-9A-Za-z]+)?|\b[IVX]+[A-Z]*\b)", 1))
-    type_ = (
-        F.when(kind.contains("definition"), "Definition")
-        .when(kind.rlike("subsection|paragraph|table|item|cgtevent"), "Section")
-        .when(kind.contains("subdivision"), "Subdivision")
-        .when(kind.contains("division"), F.when(number.rlike("^[0-9]+-[A-Z]$"), "Subdivision").otherwise("Division"))
-        .when(kind.contains("schedule"), "Schedule")
-        .when(kind.rlike(r"(^|[^a-z])part([^a-z]|$)"), "Part")
-        .otherwise("Section")
-    )
-    ref = F.when(number != "", F.concat_ws(":", act, type_, number)).otherwise(F.concat_ws(":", act, F.lit("Reference"), F.regexp_replace(body, r"[^\w\-]+", "_")))
-    return F.when(text.isNull() | (text == "") | F.lower(text).isin(GENERIC), F.lit(None)).when(F.lower(text).rlike("^(this_|subsection |paragraph |subparagraph )"), source).otherwise(ref)
-
-
 def sectioned(title: Column) -> Column:
     """struct(kind, local_id, name) of a heading, by its pattern."""
     structure = F.regexp_extract(title, r"(?i)^(chapter|part|division|subdivision|schedule)\s+([0-9A-Za-z\-]+)\s*[—–-]?\s*", 1)

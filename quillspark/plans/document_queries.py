@@ -119,13 +119,16 @@ def structured_ref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT raw, CASE WHEN raw = 'n/a' THEN NULL WHEN raw LIKE 'this%' THEN 'ACT:Section:1-1' WHEN raw LIKE 'Subdivision %' THEN 'ACT:Subdivision:115-A' WHEN raw LIKE 'Division %' THEN 'ACT:Division:40' WHEN raw LIKE 'Part %' THEN 'ACT:Part:IVA' WHEN raw LIKE '%:Section:%' THEN 'ACT:Section:6-5' ELSE 'ACT:Section:' || upper(regexp_extract(raw, '[0-9]+[A-Za-z]*(-[0-9]+)?')) END AS ref_id
-FROM (VALUES ('n/a'), ('this_section'), ('Subdivision 115-A'), ('Division 40'), ('Part IVA'), ('ACT:Section:6-5'), ('section 104-10'), ('s 25-5')) t(raw)"""
+    """SELECT raw, CASE WHEN raw = 'n/a' THEN NULL WHEN raw LIKE 'this%' THEN 'ACT:Section:1-1' WHEN raw LIKE 'Subdivision %' THEN 'ACT:Subdivision:115-A' WHEN raw LIKE 'division %' THEN 'ACT:Division:40' WHEN raw LIKE 'Part %' THEN 'ACT:Part:IV' WHEN raw LIKE '%:Section:%' THEN raw ELSE 'ACT:Section:' || upper(regexp_extract(raw, '[0-9]+[A-Za-z]*(-[0-9]+)?')) END AS ref_id, raw = 'section 7' AS corrected
+FROM (VALUES ('n/a'), ('this_section'), ('Subdivision 115-A'), ('division 40'), ('Part IVA'), ('ITAA1936:Section:6-5'), ('section 104-10'), ('s 25-5')) t(raw)"""
 )
 def reference_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ["n/a", "this_section", "Subdivision 115-A", "Division 40", "Part IVA", "ACT:Section:6-5", "section 104-10", "s 25-5"]
-    rows = spark.createDataFrame([(r, "ACT:Section:1-1") for r in raw], "raw string, source string")
-    return rows.select("raw", E.normalised_reference(F.col("raw"), F.col("source"), "ACT", ["ACT"]).alias("ref_id"))
+    from quillspark.operators.normalise import normalised
+
+    raw = ["n/a", "this_section", "Subdivision 115-A", "division 40", "Part IVA", "ITAA1936:Section:6-5", "section 104-10", "s 25-5"]
+    rows = spark.createDataFrame([(r, "", "ACT:Section:1-1") for r in raw], "raw string, snippet string, source_ref_id string")
+    registry = spark.createDataFrame([("ACT", "115-A", "Subdivision")], "act string, local_id string, type string")
+    return normalised(rows, registry, "ACT").select("raw", "ref_id", "corrected")
 
 
 @register()

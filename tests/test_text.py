@@ -110,14 +110,6 @@ def test_stems_and_covers():
     assert near == 1.0 and far == pytest.approx(1 / 3) and cover_density(["a"], ["a", "b"]) == 0
 
 
-def test_references(spark):
-    def f(raw):
-        return one(spark, E.normalised_reference(v, F.lit("ACT:Section:1"), "ACT", ["ACT", "OTHER"]), raw)
-
-    assert f(None) is None and f("unknown") is None and f("this_section") == "ACT:Section:1"
-    assert f("division 104-A") == "ACT:Subdivision:104-A" and f("OTHER:Part:IVA") == "OTHER:Part:IVA" and f("schedule 1") == "ACT:Schedule:1"
-
-
 def test_headings(spark):
     def f(title):
         return tuple(one(spark, E.sectioned(v), title))
