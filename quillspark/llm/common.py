@@ -28,17 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _drop_folders() -> None:
-    for spark, path in _folders:
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
 
 
-atexit.register(_drop_folders)
+atexit.register(lambda: _drop(_folders))
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """A folder to be deleted when the program ends."""
+    _folders.append((spark, path))
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a frame of :func:`saved` that no later plan reads."""
+    own = [t for t in _folders if t[1] == getattr(df, "_table", None)]
+    _drop(own)
+    _folders[:] = [t for t in _folders if t not in own]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes what was saved within, at its end: for work whose result is written by then."""
+    before = list(_folders)
+    yield
+    own = [t for t in _folders if t not in before]
+    _drop(own)
+    _folders[:] = before
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +69,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     _folders.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
 def ranked(df: DataFrame, order: list, name: str, into: str = "g") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved
+from quillspark.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a")
-        now = saved(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        last, now = now, saved(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(last)
+        discard(large)
         if sign == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         sign = state
