@@ -156,7 +156,8 @@ def _tiles(members: DataFrame, block: int, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + 1e-9).cast("int")
     banded = members.withColumn("b", band)
     counts = banded.groupBy("hub", "b").agg(F.count("*").alias("m")).groupBy("hub").agg(F.sum("m").alias("m"), F.ceil(F.max("m") / F.lit(block)).cast("int").alias("k"))
-    placed = banded.join(counts, "hub")
+    # a table, so that both sides of the join are plain exchanges, which can be split where a hub is hot
+    placed = banded.join(saved(counts, "hub-sizes"), "hub")
     own, upper = F.struct(F.col("b").cast("string").alias("tile"), F.lit(0).alias("side")), F.struct((F.col("b") - 1).cast("string").alias("tile"), F.lit(2).alias("side"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
     b, i = F.col("b"), F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")
@@ -320,7 +321,7 @@ def link_documents(docs: DataFrame, *, gram: int = GRAM, percent: int = PERCENT,
     roots = components(links)
     placed = sizes.join(roots, sizes.cls == roots.node, "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
     placed = saved(placed, "placed")
-    names = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    names = saved(placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "component-names")
     named = placed.where("n > 0").join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return named.union(placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
