@@ -16,6 +16,11 @@ A passage of ``window`` words or more that occurs at several places keeps one pl
    larger of the two places is a removable repeat of the smaller.  Runs of matching
    neighbours are also compared with the least place of their run.  The first and last
    suffix of every range go to a second, small comparison across the ranges.
+5. Settle: a phrase that many texts hold parts suffixes whose common words lie to the
+   left of it, so neighbours alone don't find all.  Where a gram has several readings,
+   the windows anchored in it are counted by hash, one place a class, with partial sums;
+   those that occur twice are repeats of their least place.  Equal windows have equal
+   anchors, so with this every repeated window is found.
 
 Every removed word has an equal word, in an equal passage, at a strictly smaller place,
 so one copy of everything remains.
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import few_samples, fresh, saved, small_batches
 from quillspark.llm.passages import keyed, occurrences
-from quillspark.llm.textkit import Words, slices, text_buffer
+from quillspark.llm.textkit import Words, gram_hashes, slices, text_buffer
 
 WINDOW = 50
 GRAM = 20
@@ -77,6 +82,29 @@ def _suffixes(chosen: DataFrame, gram: int, reach: int) -> DataFrame:
     return chosen.mapInArrow(run, "h bigint, right binary, left binary, k bigint, place int")
 
 
+def _windows(chosen: DataFrame, window: int) -> DataFrame:
+    """(win, k, place): hashes of the windows anchored in the classes' suffixes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffer(batch.column(1))
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy()
+            lows, sizes = (lists.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            for a, b in slices(offsets):
+                part = offsets[a : b + 1]
+                words = Words(data[part[0] : part[-1]], part - part[0])
+                wins = gram_hashes(words.hashes(), window)
+                own = slice(int(at[a]), int(at[b]))
+                size = sizes[own]
+                doc = np.repeat(np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), size)
+                place = np.repeat(lows[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(wins[words.first[doc] + place].view(np.int64)), pa.array(keys[a + doc]), pa.array(place.astype(np.int32))], names=["win", "k", "place"])
+
+    return chosen.mapInArrow(run, "win bigint, k bigint, place int")
+
+
 class _Block:
     """Consecutive suffixes of the sorted order."""
 
@@ -176,16 +204,17 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, r
     one at a smaller place; `other` is the key of a document with the same passage."""
     spark = docs.sparkSession
     found = occurrences(docs, window, gram, reach, clip=True)
-    classes = saved(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("one")), "readings")
+    classes = saved(found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "place", "lo", "size")).alias("one")), "readings")
     several = saved(classes.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1").select("h"), "several")
     # members of a class: they share `reach` words on both sides, where the texts have them
     many = classes.where("n > 1")
     members = found.join(many.select("h", "ctx", "one"), ["h", "ctx"])
-    own = F.struct("k", "place") == F.col("one")
+    own = (F.col("k") == F.col("one.k")) & (F.col("place") == F.col("one.place"))
     wide = members.select("k", (F.col("place") - reach).alias("start"), (F.col("place") + gram + reach).alias("stop"), (~own).alias("gone"), F.col("one.k").alias("other"))
-    spots = classes.join(several, "h", "left_semi").groupBy("one.k").agg(F.collect_list(F.struct(F.col("one.place").alias("place"), F.col("h"))).alias("spots"))
+    spots = classes.join(several, "h", "left_semi").groupBy("one.k").agg(F.collect_list(F.struct(F.col("one.place").alias("place"), F.col("h"), F.col("one.lo").alias("lo"), F.col("one.size").alias("size"))).alias("spots"))
     # merged at every size, as in a corpus of which the candidates would never fit a broadcast
-    suffixes = _suffixes(docs.select("k", "text").join(spots.hint("merge"), "k"), gram, reach)
+    chosen = saved(docs.select("k", "text").join(spots.hint("merge"), "k").select("k", "text", "spots"), "marked-texts")
+    suffixes = _suffixes(chosen, gram, reach)
     order = ["h", "right", "k", "place"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -195,6 +224,11 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, r
     edges = compared.where(F.col("h").isNotNull()).select("h", "right", "left", "k", "place").coalesce(1).sortWithinPartitions(*order)
     across = _neighbours(edges, gram, reach, window)
     spans = compared.union(across).where(F.col("h").isNull()).select("k", "start", "stop", "gone", "other")
+    wins = _windows(chosen, window)
+    # a table, so that both sides of the join are plain exchanges, which can be split where a window is hot
+    twice = saved(wins.groupBy("win").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("least")).where("n > 1").select("win", "least"), "windows")
+    settled = wins.join(twice.hint("merge"), "win").select("k", F.col("place").cast("long").alias("start"), (F.col("place") + window).cast("long").alias("stop"), (F.struct("k", "place") != F.col("least")).alias("gone"), F.col("least.k").alias("other"))
+    spans = spans.union(settled)
     return spans.union(wide.select("k", F.col("start").cast("long"), F.col("stop").cast("long"), "gone", "other"))
 
 

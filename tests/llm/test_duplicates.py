@@ -13,6 +13,7 @@ from quillspark.llm.components import components
 from quillspark.llm.jaccard_join import link_documents, tile_links
 from quillspark.llm.phrase_automata import remove_repeats
 from quillspark.llm.suffix_array import repeats, without_repeats
+from tests.llm.conftest import sentence
 
 
 def split(t):
@@ -83,6 +84,22 @@ def test_suffix_spans_cover_what_repeats(docs, texts):
             assert i not in got or i is None
 
 
+@pytest.mark.parametrize("tail", [30, 45])
+def test_passages_with_a_hot_tail(spark, tail):
+    """Pairs that share 55 words, the last of which stand in many other texts too."""
+    hot = sentence(20, tail)
+    texts = []
+    for i in range(40):
+        passage = sentence(3000 + i, 55 - tail) + " " + hot
+        texts += [(2 * i + j, f"{sentence(4000 + 2 * i + j, 60)} {passage} {sentence(5000 + 2 * i + j, 60)}") for j in (0, 1)]
+    texts += [(1000 + i, f"{sentence(6000 + i, 60)} {hot} {sentence(7000 + i, 60)}") for i in range(300)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r["doc_id"]: sum(([*range(p["start"], p["stop"])] for p in r["passages"]), []) for r in repeats(frame).collect()}
+    assert found == {i: places for i, _, mask in covered(texts, 50) if (places := [k for k, m in enumerate(mask) if m])}
+    kept = Counter(tuple(w[a : a + 50]) for r in without_repeats(frame).collect() for w in [split(r["text"])] for a in range(len(w) - 49))
+    assert max(kept.values()) == 1
+
+
 def test_one_copy_of_every_passage_stays(spark, docs, texts):
     kept = without_repeats(docs)
     assert kept.columns == docs.columns
