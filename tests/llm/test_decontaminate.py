@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.decontaminate import Items, decontaminated, edit_search, leaks, normalise, propose
+from quillspark.llm.decontaminate import Items, Settler, decontaminated, edit_search, leaks, normalise, propose
 from tests.llm.conftest import sentence
 
 
@@ -69,6 +69,40 @@ def test_leaks(spark, docs, texts):
     assert kept.columns == docs.columns and kept.count() == len(texts) - 3
 
 
+def spread(s: str, kind: str) -> str:
+    """Evenly spread edits, at most one in five bytes."""
+    if kind == "every 12":
+        return "".join("#" if i % 12 == 11 else c for i, c in enumerate(s))
+    if kind == "every 5":
+        return "".join("#" if i % 5 == 4 else c for i, c in enumerate(s))
+    if kind == "hyphens":
+        return s.replace(" ", "-")
+    if kind == "dropped":
+        return "".join(c for i, c in enumerate(s) if i % 6 != 5)
+    return " ".join(w[:1] + "#" + w[2:] if len(w) > 1 else w for w in s.split())
+
+
+@pytest.mark.parametrize("kind", ["every 12", "every 5", "hyphens", "dropped", "letter a word"])
+def test_spread_edits_are_found(spark, kind):
+    items = ["".join(c if c.isascii() else "e" for c in sentence(8000 + i, 4 + i % 40)).lower() for i in range(80)]
+    rows = [(i, sentence(8200 + i, 30) + " " + spread(t, kind) + " " + sentence(8400 + i, 30)) for i, t in enumerate(items)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leaks(frame, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    near = [(i, i) for i, t in enumerate(items) if len(t) >= 24 and edit_search(t.encode(), rows[i][1].lower().encode())[0] <= int(0.2 * len(t))]
+    assert len(near) >= 60 and set(near) <= got
+
+
+@pytest.mark.parametrize("max_edit", [0.05, 0.2, 0.3])
+def test_settler_equals_brute_force(max_edit):
+    r = random.Random(3)
+    items = [bytes(r.choice(b"abcde ") for _ in range(r.randrange(24, 150))) for _ in range(40)]
+    texts = [b"".join(bytes(r.choice(b"abcde ") for _ in range(r.randrange(60))) + edited(r, t, r.randrange(int(max_edit * len(t)) + 3)) for t in r.sample(items, 2)) for _ in range(40)] + [b"", b"abc"]
+    settler = Settler(items, max_edit)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = {(d, i) for d, i, a, b in settler.regions(data, offsets) if edit_search(items[i], data[a:b].tobytes())[0] <= int(max_edit * len(items[i]))}
+    assert found == {(d, i) for d, t in enumerate(texts) for i, p in enumerate(items) if edit_search(p, t)[0] <= int(max_edit * len(p))}
+
+
 def test_empty(spark, docs, empty, texts):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(docs, none).count() == 0 and decontaminated(docs, none).count() == len(texts)
