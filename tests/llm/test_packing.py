@@ -50,5 +50,16 @@ def test_round_trip(docs, texts, block):
     assert got == sorted([*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts if i not in (None, 7))
 
 
+def test_special_tokens_are_what_the_tokenizer_says(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "<|endof", "  <|endoftext|>\n\n"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), tokenizer_path()).collect()
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in rows}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got[0] == [87, 220, 50256, 331, 1]
+
+
 def test_empty(empty):
     assert pack(empty, tokenizer_path()).count() == 0
