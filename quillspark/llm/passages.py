@@ -6,6 +6,10 @@ window's words alone, so two equal windows have equal anchors at equal places, a
 only about one position in ``(window - gram) / 2`` is an anchor.  What is shuffled is
 one row an anchor; windows whose anchor is unique in the corpus never leave the scan.
 
+Anchors only propose.  What counts as equal is decided by the 128-bit BLAKE2b digest
+of the word sequence (:func:`sequence_digests`), over word hashes that are injective
+for words of up to eight bytes and digests of the bytes for longer ones.
+
 A document is keyed by ``k = xxhash64(doc_id, text)``: equal rows share a key and
 still count as rows.
 """
@@ -13,6 +17,7 @@ still count as rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved
-from quillspark.llm.textkit import _power, gram_hashes, gram_valid, mix64, window_min, word_slices
+from quillspark.llm.textkit import gram_hashes, gram_valid, window_min, word_slices
 
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -59,12 +64,15 @@ class Runs:
         self.anchor = grams[self.place]
         self.doc = doc[start]
 
-    def span_hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hash of the words lo..hi-1, and of their number."""
-        up, down = _power(0).upto(len(self.hashes) + 1)
-        prefix = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * up[: len(self.hashes)], out=prefix[1:])
-        return mix64((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+def sequence_digests(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, skip: np.ndarray | None = None) -> pa.Array:
+    """Digest of the words lo..hi-1 for each pair, and of where the anchor lies in them (`skip`)."""
+    raw = hashes.tobytes()
+    if skip is None:
+        found = b"".join(blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
+    else:
+        found = b"".join(blake2b(raw[8 * a : 8 * b], digest_size=16, salt=n.to_bytes(4, "little")).digest() for a, b, n in zip(lo.tolist(), hi.tolist(), skip.tolist(), strict=True))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lo), [None, pa.py_buffer(found)]).cast(pa.binary())
 
 
 def repeated_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -81,8 +89,8 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def occurrences(docs: DataFrame, window: int, gram: int, reach: int = 0, clip: bool = False) -> DataFrame:
     """(k, lo, size, place, h, ctx) of the repeated anchors: the runs of windows, word
-    positions counted within the document.  ctx hashes all words of the run's windows;
-    with `clip`, the words within `reach` of the anchor's gram instead."""
+    positions counted within the document.  ctx is the digest of all words of the run's
+    windows; with `clip`, of the words within `reach` of the anchor's gram instead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +100,14 @@ def occurrences(docs: DataFrame, window: int, gram: int, reach: int = 0, clip: b
                 first, last = words.first[r.doc], words.first[r.doc + 1]
                 if clip:
                     lo, hi = np.maximum(r.place - reach, first), np.minimum(r.place + gram + reach, last)
-                    ctx = mix64(r.span_hash(lo, hi) + (r.place - lo).astype(np.uint64))
+                    ctx = sequence_digests(r.hashes, lo, hi, r.place - lo)
                 else:
-                    ctx = r.span_hash(r.lo, r.lo + r.size + window - 1)
+                    ctx = sequence_digests(r.hashes, r.lo, r.lo + r.size + window - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + r.doc]), pa.array((r.lo - first).astype(np.int32)), pa.array(r.size.astype(np.int32)), pa.array((r.place - first).astype(np.int32)), pa.array(r.anchor.view(np.int64)), pa.array(ctx.view(np.int64))],
+                    [pa.array(keys[a + r.doc]), pa.array((r.lo - first).astype(np.int32)), pa.array(r.size.astype(np.int32)), pa.array((r.place - first).astype(np.int32)), pa.array(r.anchor.view(np.int64)), ctx],
                     names=["k", "lo", "size", "place", "h", "ctx"],
                 )
 
-    rows = docs.select("k", "text").mapInArrow(run, "k bigint, lo int, size int, place int, h bigint, ctx bigint")
+    rows = docs.select("k", "text").mapInArrow(run, "k bigint, lo int, size int, place int, h bigint, ctx binary")
     # a table, so that both sides of the join are plain exchanges, which can be split where an anchor is hot
     return saved(rows.join(saved(repeated_anchors(docs, window, gram).select("h"), "anchors"), "h"), "occurrences")

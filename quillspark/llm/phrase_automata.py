@@ -7,18 +7,22 @@ covered by a recurring window is removed; windows are judged on the input.
 1. Confirm: anchors (see :mod:`passages`) that occur twice are joined with their
    occurrences.  Occurrences whose whole run of windows reads the same as another's
    are recurring outright; where an anchor has several readings, the windows of one
-   occurrence of each are counted by hash.  Both counts are ordinary aggregations with
-   map-side partial sums, so a phrase in a third of all documents is no hot task.
-2. Compile: documents with a recurring window form shards, a bounded block of
-   documents each.  A shard's automaton holds the confirmed windows of its documents,
-   laid edge to edge over every recurring stretch; words are mapped to characters, so a
-   pattern is ``window`` nodes long, not a string of letters.
-3. Stream: all documents of the shard run through its automaton, which locates every
-   occurrence; the union of the matches is removed.
+   occurrence of each are counted.  "The same" is the 128-bit digest of the word
+   sequence.  Both counts are ordinary aggregations with map-side partial sums, so a
+   phrase in a third of all documents is no hot task.
+2. Compile: confirmed windows are routed to the documents that hold their anchor, and
+   documents with any form shards, a bounded block of documents each.  A shard's
+   automaton holds the windows routed to it, laid edge to edge over every recurring
+   stretch; a pattern is a sequence of words, each numbered exactly by its bytes.
+3. Stream: all documents of the shard run through its automaton, word by word, which
+   locates every occurrence; the union of the matches is removed.  Documents without
+   any repeated anchor can't hold a confirmed window and skip the automata.
 
 Defined cases: null or empty texts have no words; texts shorter than a window keep
-all; equal rows count as two places; very long texts are windowed whole; an empty
-table gives no rows; extra columns are ignored.
+all; equal rows count as two places and return a row each; a null id is an id like
+others; very long texts, and any number of distinct words, are windowed whole; ties (a
+window at many places) are all removed; an empty table gives no rows; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved, small_batches
-from quillspark.llm.passages import keyed, occurrences
-from quillspark.llm.textkit import Words, gram_hashes, slices, text_buffer
+from quillspark.llm.passages import keyed, occurrences, sequence_digests
+from quillspark.llm.textkit import Words, slices, text_buffer
 
 WINDOW = 35
 GRAM = 8
@@ -50,7 +54,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probe_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(k, place, win, weight): hashes of the windows of the runs to be compared."""
+    """(k, place, win, weight): digests of the windows of the runs to be compared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +64,6 @@ def _probe_windows(texts: DataFrame, window: int) -> DataFrame:
             for a, b in slices(offsets):
                 part = offsets[a : b + 1]
                 words = Words(data[part[0] : part[-1]], part - part[0])
-                wins = gram_hashes(words.hashes(), window)
                 # a probe is lo, size, weight packed into one number
                 own = probes[at[a] : at[b]].astype(np.uint64)
                 doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
@@ -69,18 +72,19 @@ def _probe_windows(texts: DataFrame, window: int) -> DataFrame:
                 lo = (own >> np.uint64(22)).astype(np.int64)
                 many = np.repeat(np.arange(len(own)), size)
                 place = lo[many] + np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size)
+                at_word = words.first[doc[many]] + place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + doc[many]]), pa.array(place), pa.array(wins[words.first[doc[many]] + place].view(np.int64)), pa.array(weight[many])],
+                    [pa.array(keys[a + doc[many]]), pa.array(place), sequence_digests(words.hashes(), at_word, at_word + window), pa.array(weight[many])],
                     names=["k", "place", "win", "weight"],
                 )
 
-    return texts.select("k", "text", "probes").mapInArrow(run, "k bigint, place bigint, win bigint, weight bigint")
+    return texts.select("k", "text", "probes").mapInArrow(run, "k bigint, place bigint, win binary, weight bigint")
 
 
-def _covered(codes: list[str], starts: list[np.ndarray], window: int) -> list[np.ndarray]:
+def _covered(codes: list[str], starts: list[np.ndarray], window: int, width: int = 1) -> list[np.ndarray]:
     """Word masks of the documents of one shard: compile its automaton, stream every document.
 
-    codes: documents, one character a word; starts: known recurring windows of each."""
+    codes: documents, `width` characters a word; starts: recurring windows routed to each."""
     automaton = ahocorasick.Automaton()
     for code, own in zip(codes, starts, strict=True):
         if not len(own):
@@ -88,27 +92,30 @@ def _covered(codes: list[str], starts: list[np.ndarray], window: int) -> list[np
         new = np.flatnonzero(np.r_[True, np.diff(own) > 1])
         for a, b in zip(own[new].tolist(), own[np.r_[new[1:], len(own)] - 1].tolist(), strict=True):
             for s in [*range(a, b, window), b]:
-                automaton.add_word(code[s : s + window], True)
+                automaton.add_word(code[s * width : (s + window) * width], True)
     out = []
     if len(automaton):
         automaton.make_automaton()
     for code in codes:
-        change = np.zeros(len(code) + 1, np.int32)
+        change = np.zeros(len(code) // width + 1, np.int32)
         if len(automaton):
             ends = [e for e, _ in automaton.iter(code)]
             if ends:
-                stop = np.array(ends) + 1
+                stop = np.array(ends) // width + 1
                 np.add.at(change, stop - window, 1)
                 np.add.at(change, stop, -1)
         out.append(np.cumsum(change[:-1]) > 0)
     return out
 
 
-def _characters(hashes: np.ndarray) -> np.ndarray:
-    """A code point for each distinct word of a shard (surrogates left out)."""
-    _, code = np.unique(hashes, return_inverse=True)
-    code = code.astype(np.uint32) + 1
-    return np.where(code >= 0xD800, code + np.uint32(0x800), code).astype("<u4")
+def _characters(code: np.ndarray) -> tuple[np.ndarray, int]:
+    """Code points for word numbers, and how many a word takes: one, or from a million
+    distinct words on two of unlike ranges, so that matches begin and end at words."""
+    if not len(code) or int(code.max()) < 1_000_000:
+        code = code.astype(np.uint32) + np.uint32(1)
+        return np.where(code >= 0xD800, code + np.uint32(0x800), code).astype("<u4"), 1
+    pairs = np.stack([(code >> 15) + 0x10000, (code & 0x7FFF) + 0x1000], 1)
+    return pairs.astype("<u4").reshape(-1), 2
 
 
 def _cut(located: DataFrame, window: int) -> DataFrame:
@@ -122,15 +129,15 @@ def _cut(located: DataFrame, window: int) -> DataFrame:
             for a, b in slices(offsets, SHARD_BYTES):
                 part = offsets[a : b + 1]
                 words = Words(data[part[0] : part[-1]], part - part[0])
-                points = _characters(words.hashes())
-                codes = [points[x:y].tobytes().decode("utf-32-le") for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                points, width = _characters(words.codes())
+                codes = [points[x * width : y * width].tobytes().decode("utf-32-le") for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
                 starts = []
                 for i in range(a, b):
                     own = full[full_at[i] : full_at[i + 1]].astype(np.uint64)
                     lo, size = (own >> np.uint64(22)).astype(np.int64), (own >> np.uint64(2) & np.uint64((1 << 20) - 1)).astype(np.int64)
                     runs = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                     starts.append(np.unique(np.concatenate([runs, hits[hits_at[i] : hits_at[i + 1]]]).astype(np.int64)))
-                covered = _covered(codes, starts, window)
+                covered = _covered(codes, starts, window, width)
                 raw = data[part[0] : part[-1]].tobytes()
                 kept, removed, size = [], [], []
                 for i in range(b - a):

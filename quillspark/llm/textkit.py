@@ -1,9 +1,14 @@
 """Vectorised text primitives shared by the corpus operators.
 
 Every function works on a whole Arrow batch of UTF-8 text at once: the bytes of
-all documents lie in one ``uint8`` buffer, words are runs of bytes other than
-``0x20`` and ``0x09``-``0x0D``, and each word gets a 64-bit polynomial hash from
-two prefix sums, so no Python code runs per word.
+all documents lie in one ``uint8`` buffer, and words are runs of bytes other than
+``0x20`` and ``0x09``-``0x0D``.
+
+A word of up to eight bytes has its own number, so two such words never share a
+hash; a longer one has the 64-bit BLAKE2b digest of its bytes, computed once for the
+distinct long words of a slice (told apart by their bytes, not by a weaker hash).
+:meth:`Words.codes` numbers the words of a slice exactly, for operators that confirm
+by comparison what hashes proposed.
 
 Empty and null texts have no words.  Texts of any length are handled whole; a
 batch is cut into slices of about ``SLICE_BYTES`` between documents (a longer
@@ -13,7 +18,7 @@ document is a slice of its own), which bounds the memory of the temporaries.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,15 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SEED = 20240611
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _word = (~_space).astype(np.uint8)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_CLOSE = np.array([0xFF << 8 * n if n < 8 else 0 for n in range(9)], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -40,12 +47,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=4)
-def _byte_table(seed: int, lower: bool) -> np.ndarray:
-    table = np.random.default_rng(_SEED + seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return table[_lower] if lower else table
-
-
 class _Powers:
     """p**i and p**-i modulo 2**64, grown on demand."""
 
@@ -125,25 +126,93 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.first = np.searchsorted(self.start, offsets)
-        self._prefix: dict[tuple[int, bool], np.ndarray] = {}
+        self._bytes: dict[bool, np.ndarray] = {}
+        self._known: dict[tuple[bool, int | None], np.ndarray] = {}
 
     def doc(self) -> np.ndarray:
         """The document of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, lower: bool = False, seed: int = 0, leading: int | None = None) -> np.ndarray:
+    def _folded(self, lower: bool) -> np.ndarray:
+        """The bytes, in lower case if asked, with eight spare bytes behind them."""
+        if lower not in self._bytes:
+            self._bytes[lower] = np.concatenate([_lower[self.data] if lower else self.data, np.zeros(8, np.uint8)])
+        return self._bytes[lower]
+
+    def _pieces(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each place as a number; a byte that no text holds closes shorter ones."""
+        eight = np.lib.stride_tricks.as_strided(data[: len(data) // 8 * 8].view("<u8"), (len(data) - 7,), (1,))[at]
+        short = np.minimum(size, 8).astype(np.int64)
+        return (eight & _KEEP[short]) | _CLOSE[short]
+
+    def hashes(self, lower: bool = False, leading: int | None = None) -> np.ndarray:
         """A hash of each word, or of its `leading` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = _power(seed).upto(len(self.data) + 1)
-        if (seed, lower) not in self._prefix:
-            prefix = np.empty(len(self.data) + 1, np.uint64)
-            prefix[0] = 0
-            np.cumsum(_byte_table(seed, lower)[self.data] * up[: len(self.data)], out=prefix[1:])
-            self._prefix[seed, lower] = prefix
-        prefix = self._prefix[seed, lower]
-        end = self.end if leading is None else np.minimum(self.end, self.start + leading)
-        return mix64((prefix[end] - prefix[self.start]) * down[self.start])
+        if (lower, leading) in self._known:
+            return self._known[lower, leading]
+        data = self._folded(lower)
+        size = self.end - self.start if leading is None else np.minimum(self.end - self.start, leading)
+        out = mix64(self._pieces(data, self.start, size))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            index, first = self._equal(data, self.start[long], size[long])
+            raw = data.tobytes()
+            digests = b"".join(blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(self.start[long][first].tolist(), size[long][first].tolist(), strict=True))
+            out[long] = np.frombuffer(digests, np.uint64)[index]
+        self._known[lower, leading] = out
+        return out
+
+    def _equal(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of equal byte runs of more than eight bytes: each one's class, and a member of each class."""
+        weak = self._pieces(data, start, size) ^ mix64(self._pieces(data, start + size - 8, size) + size.astype(np.uint64))
+        step, left = 8, np.flatnonzero(size > 16)
+        while len(left) and step < _LONG:
+            weak[left] = mix64(weak[left] ^ self._pieces(data, start[left] + step, size[left]))
+            step += 8
+            left = left[size[left] > step + 8]
+        _, first, index = np.unique(weak, return_index=True, return_inverse=True)
+        rep = first[index]
+        same = size == size[rep]
+        # piece by piece; the last one overlaps the one before it
+        left, step = np.flatnonzero(same & (rep != np.arange(len(rep)))), 0
+        while len(left) and step < _LONG:
+            shift = np.minimum(step, size[left] - 8)
+            equal = self._pieces(data, start[left] + shift, size[left]) == self._pieces(data, start[rep[left]] + shift, size[left])
+            same[left[~equal]] = False
+            step += 8
+            left = left[equal & (step < size[left])]
+        for i in left.tolist():
+            same[i] = np.array_equal(data[start[i] : start[i] + size[i]], data[start[rep[i]] : start[rep[i]] + size[i]])
+        odd = np.flatnonzero(~same)
+        if len(odd):  # unlike words under one weak hash: by their bytes
+            raw, names, firsts = data.tobytes(), {}, first.tolist()
+            for i in first.tolist():
+                names[raw[start[i] : start[i] + size[i]]] = len(names)
+            for i in odd.tolist():
+                word = raw[start[i] : start[i] + size[i]]
+                if word not in names:
+                    names[word] = len(firsts)
+                    firsts.append(i)
+                index[i] = names[word]
+            first = np.array(firsts)
+        return index, first
+
+    def codes(self, lower: bool = False) -> np.ndarray:
+        """A number below the count of distinct words for each word; equal only for equal words."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
+        data = self._folded(lower)
+        size = self.end - self.start
+        short = size <= 8
+        out = np.zeros(len(size), np.int64)
+        base = 0
+        if short.any():
+            names, out[short] = np.unique(self._pieces(data, self.start[short], size[short]), return_inverse=True)
+            base = len(names)
+        if not short.all():
+            out[~short] = base + self._equal(data, self.start[~short], size[~short])[0]
+        return out
 
 
 def word_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:

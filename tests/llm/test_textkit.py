@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from quillspark.llm.textkit import gram_hashes, window_min, word_slices
 
-text = st.text(alphabet=" \t\nabcAB.é　", max_size=40)
+text = st.one_of(st.text(alphabet=" \t\nabcAB.é　", max_size=40), st.text(alphabet=" ab", min_size=30, max_size=60))
 
 
 @settings(max_examples=80, deadline=None)
@@ -16,16 +16,27 @@ def test_words_and_hashes(texts, limit):
     got, seen = [], {}
     for a, b, words in word_slices(pa.array(texts, pa.string()), limit):
         raw = words.data.tobytes()
-        hashes = words.hashes(lower=True)
+        hashes, codes = words.hashes(lower=True), words.codes(lower=True)
+        numbers = {}
         for i in range(b - a):
             own = range(words.first[i], words.first[i + 1])
             got.append([raw[words.start[j] : words.end[j]] for j in own])
             for j in own:
                 assert seen.setdefault(raw[words.start[j] : words.end[j]].lower(), hashes[j]) == hashes[j]
+                assert numbers.setdefault(raw[words.start[j] : words.end[j]].lower(), codes[j]) == codes[j]
+        assert len(set(numbers.values())) == len(numbers)
     assert got == [(t or "").encode().split() for t in texts]
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words():
+    stem = "x" * 300
+    texts = [stem + "a" + stem, stem + "b" + stem, "y" * 8, "y" * 8 + "\0", "y\0", "y", stem + "a" + stem, "abcdefghijklmnop", "abcdefgh_jklmnop"]
+    ((_, _, words),) = word_slices(pa.array([" ".join(texts)]))
+    for numbers in (words.hashes(), words.codes()):
+        assert numbers[0] == numbers[6] and len(set(numbers.tolist())) == len(texts) - 1
+
+
 def test_grams_depend_on_order_and_place_does_not_matter():
     words = np.array([5, 6, 7, 5, 6, 7, 6], np.uint64)
     g = gram_hashes(words, 3)
