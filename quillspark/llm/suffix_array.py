@@ -18,7 +18,7 @@ A passage of ``window`` words or more that occurs at several places keeps one pl
    suffix of every range go to a second, small comparison across the ranges.
 5. Settle: a phrase that many texts hold parts suffixes whose common words lie to the
    left of it, so neighbours alone don't find all.  Where a gram has several readings,
-   the windows anchored in it are counted by hash, one place a class, with partial sums;
+   the windows anchored in it are counted by digest, one place a class, with partial sums;
    those that occur twice are repeats of their least place.  Equal windows have equal
    anchors, so with this every repeated window is found.
 
@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import few_samples, fresh, saved, small_batches
-from quillspark.llm.passages import keyed, occurrences
-from quillspark.llm.textkit import Words, gram_hashes, slices, text_buffer
+from quillspark.llm.passages import keyed, occurrences, sequence_digests
+from quillspark.llm.textkit import Words, slices, text_buffer
 
 WINDOW = 50
 GRAM = 20
@@ -50,7 +50,7 @@ REACH = 50
 
 
 def _suffixes(chosen: DataFrame, gram: int, reach: int) -> DataFrame:
-    """(h, right, left, k, place) for the classes' suffixes: word hashes of 4 bytes, 0 beyond the text."""
+    """(h, right, left, k, place) for the classes' suffixes: word hashes of 8 bytes, 0 beyond the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +63,7 @@ def _suffixes(chosen: DataFrame, gram: int, reach: int) -> DataFrame:
             for a, b in slices(offsets):
                 part = offsets[a : b + 1]
                 words = Words(data[part[0] : part[-1]], part - part[0])
-                code = np.append((words.hashes() >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+                code = np.append(np.maximum(words.hashes(), np.uint64(1)), np.uint64(0))
                 own = slice(int(at[a]), int(at[b]))
                 doc = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
                 place = spots[own].astype(np.int64)
@@ -75,15 +75,15 @@ def _suffixes(chosen: DataFrame, gram: int, reach: int) -> DataFrame:
                     behind = (first[d] + place[d])[:, None] - 1 - np.arange(reach)[None, :]
                     behind = np.where(behind >= first[d][:, None], behind, len(code) - 1)
                     n = len(ahead)
-                    right = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (gram + reach)), n, [None, pa.py_buffer(code[ahead].astype(">u4").tobytes())]).cast(pa.binary())
-                    left = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * reach), n, [None, pa.py_buffer(code[behind].astype(">u4").tobytes())]).cast(pa.binary())
+                    right = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * (gram + reach)), n, [None, pa.py_buffer(code[ahead].astype(">u8").tobytes())]).cast(pa.binary())
+                    left = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * reach), n, [None, pa.py_buffer(code[behind].astype(">u8").tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(names[own][d]), right, left, pa.array(keys[a + doc[d]]), pa.array(place[d].astype(np.int32))], names=["h", "right", "left", "k", "place"])
 
     return chosen.mapInArrow(run, "h bigint, right binary, left binary, k bigint, place int")
 
 
 def _windows(chosen: DataFrame, window: int) -> DataFrame:
-    """(win, k, place): hashes of the windows anchored in the classes' suffixes."""
+    """(win, k, place): digests of the windows anchored in the classes' suffixes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +95,14 @@ def _windows(chosen: DataFrame, window: int) -> DataFrame:
             for a, b in slices(offsets):
                 part = offsets[a : b + 1]
                 words = Words(data[part[0] : part[-1]], part - part[0])
-                wins = gram_hashes(words.hashes(), window)
                 own = slice(int(at[a]), int(at[b]))
                 size = sizes[own]
                 doc = np.repeat(np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), size)
                 place = np.repeat(lows[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(wins[words.first[doc] + place].view(np.int64)), pa.array(keys[a + doc]), pa.array(place.astype(np.int32))], names=["win", "k", "place"])
+                at_word = words.first[doc] + place
+                yield pa.RecordBatch.from_arrays([sequence_digests(words.hashes(), at_word, at_word + window), pa.array(keys[a + doc]), pa.array(place.astype(np.int32))], names=["win", "k", "place"])
 
-    return chosen.mapInArrow(run, "win bigint, k bigint, place int")
+    return chosen.mapInArrow(run, "win binary, k bigint, place int")
 
 
 class _Block:
@@ -121,7 +121,7 @@ class _Block:
     @staticmethod
     def read(batch: pa.RecordBatch, gram: int, reach: int) -> _Block:
         def codes(col: pa.Array, n: int) -> np.ndarray:
-            return text_buffer(col)[0].view(">u4").reshape(-1, n).astype(np.uint32)
+            return text_buffer(col)[0].view(">u8").reshape(-1, n).astype(np.uint64)
 
         num = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
         return _Block(num(0), codes(batch.column(1), gram + reach), codes(batch.column(2), reach), num(3), num(4).astype(np.int64))
@@ -170,7 +170,7 @@ def _neighbours(suffixes: DataFrame, gram: int, reach: int, window: int) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: _Block | None = None
-        opened = False
+        seen = 0
         raw_last: pa.RecordBatch | None = None
 
         def edge(row: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,9 +181,9 @@ def _neighbours(suffixes: DataFrame, gram: int, reach: int, window: int) -> Data
         for batch in batches:
             if not len(batch):
                 continue
-            if not opened:
-                opened = True
+            if not seen:
                 yield edge(batch.slice(0, 1))
+            seen += len(batch)
             raw_last = batch.slice(len(batch) - 1, 1)
             block = _Block.read(batch, gram, reach)
             if carry is not None:
@@ -193,7 +193,7 @@ def _neighbours(suffixes: DataFrame, gram: int, reach: int, window: int) -> Data
             yield pa.RecordBatch.from_arrays([*spans.columns, *(pa.nulls(m, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int32()))], names=out)
             tip = len(block.h) - 1
             carry = block.take(np.array([least[tip], tip] if least[tip] != tip else [tip]))
-        if raw_last is not None:
+        if seen > 1:  # the only suffix of a range is no neighbour of itself
             yield edge(raw_last)
 
     return suffixes.mapInArrow(run, "k bigint, start bigint, stop bigint, gone boolean, other bigint, h bigint, right binary, left binary, place int")
