@@ -4,7 +4,8 @@ A document is the set of its distinct ``gram``-word shingles (A-Z lower-cased; a
 shorter text is one shingle, a text without words none).  Two documents link when
 ``100 * |x & y| >= percent * |x | y|``.
 
-1. Equal texts form classes; all later work is on classes.
+1. Equal texts form classes; all later work is on classes.  A class is named by a
+   64-bit hash; names that unlike texts (by their MD5 sums) share are given up for others.
 2. Shingles have one fixed order: by hash, but those frequent in a bounded sample come
    last (any order gives the same links; this one keeps common lines out of the way).
    Linked sets share a shingle among their first ``n - ceil(t n) + 1``; the least class
@@ -19,29 +20,31 @@ shorter text is one shingle, a text without words none).  Two documents link whe
    of bits in which two bitmaps differ is at most the sets' symmetric difference, so a
    bit count bounds the overlap from above.  A first pass carries only the bitmaps and
    leaves the classes with a possible partner; their texts are then joined, and pairs
-   that pass and aren't connected yet are decided by exact intersection of the sorted
-   shingle arrays.
+   that pass and aren't connected yet are intersected: first the sorted arrays of
+   shingle hashes, then, where those link, the shingles themselves, word by word.
 5. The tiles' links (a forest each) become connected components; classes are joined
    back to documents.
 
 Defined cases: null and empty texts have n_shingles 0 and stand alone; equal rows and
 ties go to the same component; a null id takes part but never names a component with
-another id; very long texts are shingled whole; an empty table gives no rows.
+another id; very long texts are shingled whole; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import md5
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved, small_batches
 from quillspark.llm.components import components
-from quillspark.llm.textkit import gram_hashes, mix64, word_slices
+from quillspark.llm.textkit import Words, gram_hashes, mix64, text_buffer, word_slices
 
 GRAM = 5
 PERCENT = 80
@@ -67,9 +70,42 @@ def shingle_sets(words, gram: int) -> list[np.ndarray]:
     return out
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def shared_shingles(x: bytes, y: bytes, gram: int) -> tuple[int, int]:
+    """How many distinct shingles two texts share, and have together; by their words, not by hashes.
+
+    A text of fewer words than `gram` is one shingle, which only an equal text shares."""
+    offsets = np.array([0, len(x), len(x) + len(y)])
+    words = Words(np.frombuffer(x + y, np.uint8), offsets)
+    code = words.codes(lower=True)
+    a, b = np.diff(words.first).tolist()
+    if min(a, b) < gram:
+        return (1, 1) if a == b and np.array_equal(code[:a], code[a:]) else (0, 2)
+    ids = code[: len(code) - gram + 1]
+    for k in range(1, gram):
+        ids = np.unique(ids * (int(code.max()) + 1) + code[k : len(code) - gram + 1 + k], return_inverse=True)[1]
+    left, right = np.unique(ids[: a - gram + 1]), np.unique(ids[a:])
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return shared, len(left) + len(right) - shared
+
+
+def _class_name(text: Column, attempt: int) -> Column:
+    return F.xxhash64(text) if attempt == 0 else F.xxhash64(F.md5(text), F.lit(attempt))
+
+
+def _classes(docs: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, text), and a table of (doc_id, cls, n, bits); one class a text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("cls"), text.alias("text"))
+    plain = docs.select("doc_id", text.alias("text"))
+    named, attempt = plain.select("doc_id", _class_name(F.col("text"), 0).alias("cls"), "text"), 0
+    while True:
+        sizes = saved(_sizes(named, gram), "shingle-counts")
+        sums = sizes.groupBy("cls").agg(F.min("sum").alias("a"), F.max("sum").alias("b")).where("a <> b").select("cls")
+        shared = saved(sums, "shared-names")
+        if not shared.limit(1).count():
+            return named, sizes.drop("sum")
+        attempt += 1
+        kept = F.when(F.col("other").isNull(), F.col("cls")).otherwise(_class_name(F.col("text"), attempt))
+        named = named.join(shared.withColumnRenamed("cls", "other"), F.col("cls") == F.col("other"), "left").select("doc_id", kept.alias("cls"), "text")
 
 
 def _sizes(docs: DataFrame, gram: int) -> DataFrame:
@@ -77,17 +113,21 @@ def _sizes(docs: DataFrame, gram: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sums = [md5(t.encode(), usedforsecurity=False).digest() for t in batch.column(2).to_pylist()]
             for a, b, words in word_slices(batch.column(2)):
                 sets = shingle_sets(words, gram)
                 n = np.array([len(s) for s in sets], np.int64)
                 bits = [bitmap(s, int(w)).tobytes() for s, w in zip(sets, _width(n), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(bits, pa.binary())], names=["doc_id", "cls", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(bits, pa.binary()), pa.array(sums[a:b], pa.binary())], names=["doc_id", "cls", "n", "bits", "sum"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, cls bigint, n bigint, bits binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, cls bigint, n bigint, bits binary, sum binary")
 
 
 def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which rows are the first of their class in this task."""
+    """Which rows are the first of their class in this task (as far as a bounded memory goes:
+    a class that comes up again only repeats rows that are made distinct later)."""
+    if len(seen) > 1_000_000:
+        seen.clear()
     fresh = np.zeros(len(keys), bool)
     for i, key in enumerate(keys.tolist()):
         if key not in seen:
@@ -137,8 +177,10 @@ def _members(docs: DataFrame, common: np.ndarray, gram: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(keys[a:b], size))], names=["token", "cls"])
 
     rows = docs.select("cls", "text").mapInArrow(run, "token bigint, cls bigint")
-    pairs = rows.withColumn("hub", F.min("cls").over(Window.partitionBy("token"))).where("hub <> cls").select("hub", "cls").distinct()
-    return pairs
+    rows = saved(rows, "leading-shingles")
+    # partial minima and a join that can be split, as a shingle may lead a third of all classes
+    hubs = saved(rows.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("token", "hub"), "shingle-hubs")
+    return rows.join(hubs, "token").where("hub <> cls").select("hub", "cls").distinct()
 
 
 def _width(n: np.ndarray) -> np.ndarray:
@@ -216,8 +258,8 @@ def passing(size: np.ndarray, signatures: list[np.ndarray], side: np.ndarray, pe
                 yield i, others[good]
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile."""
+def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int, confirm=lambda i, j: True) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a tile; `confirm` has the last word on a pair."""
     size = np.array([len(s) for s in sets])
     signatures = [bitmap(s, 2 * int(w)) for s, w in zip(sets, _width(size), strict=True)]
     root = list(range(len(sets)))
@@ -236,7 +278,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
                 continue
             x, y = sets[i], sets[j]
             shared = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
+            if 100 * shared >= percent * (len(x) + len(y) - shared) and confirm(i, j):
                 root[a] = b
                 links.append((i, j))
     return links
@@ -294,7 +336,13 @@ def _links(tiled: DataFrame, gram: int, percent: int) -> DataFrame:
         for tile in _by_tile(batches):
             keys = tile["cls"].to_numpy()
             sets = [s for _, _, words in word_slices(tile["text"]) for s in shingle_sets(words, gram)]
-            pairs = np.array(tile_links(sets, tile["side"].to_numpy(), percent), np.int64).reshape(-1, 2)
+            data, at = text_buffer(tile["text"])
+
+            def linked(i: int, j: int, data=data, at=at) -> bool:
+                shared, together = shared_shingles(data[at[i] : at[i + 1]].tobytes(), data[at[j] : at[j + 1]].tobytes(), gram)
+                return 100 * shared >= percent * together
+
+            pairs = np.array(tile_links(sets, tile["side"].to_numpy(), percent, linked), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(keys[pairs[:, 1]])], names=["a", "b"])
 
     return tiled.mapInArrow(run, "a bigint, b bigint")
@@ -304,8 +352,7 @@ def link_documents(docs: DataFrame, *, gram: int = GRAM, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id) for every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = _classes(docs)
-    sizes = saved(_sizes(docs, gram), "shingle-counts")
+    docs, sizes = _classes(docs, gram)
     common = _common(docs, gram, sizes.count(), sample)
     reps = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     pairs = saved(_members(docs, common, gram, percent), "hubs")
