@@ -5,10 +5,14 @@ the held-out remainder and scores every document.  The unigram base needs the co
 of every word of every text.  The counts are one table keyed by a 64-bit word hash;
 its most frequent ``head`` words (a fixed bound) are broadcast and resolve almost
 all tokens in the scan; the other tokens go through a shuffled join with the whole
-table, so no word is dropped and nothing that is broadcast grows with the corpus.
+table, so no word is dropped and nothing that is broadcast grows with the corpus.  The
+(context, byte) pairs of the tree are looked up the same way: the most frequent
+``head_pairs`` are broadcast, all others are joined.
 
 Defined cases: null and empty texts hold the end token alone; a null id trains and
-is not held out; repeated rows are scored each; an empty table gives no rows.
+is not held out; repeated rows are scored each; very long texts are scored whole; ties
+of frequency go to the joined side together; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import fold, saved, small_batches
-from quillspark.llm.context_tree import CAPACITY, DEPTH, Scorer, canonical, gram_keys, train, training_part
+from quillspark.llm.context_tree import DEPTH, Scorer, canonical, gram_keys, pair_scores
 from quillspark.llm.textkit import offsets_of, word_slices
 
 HEAD = 400_000
+HEAD_PAIRS = 1_600_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -54,17 +59,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words with at least 2**b occurrences for the least b that leaves at most `most` of them."""
+def frequent(counts: DataFrame, most: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the rows whose count `n` is at least 2**b, for the least b that leaves at most `most`."""
+    counts = counts.where("n > 0")
     sizes = {r["b"]: r["m"] for r in counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("b")).agg(F.count("*").alias("m")).collect()}
     least, kept = max(sizes, default=0) + 1, 0
     while least > 0 and kept + sizes.get(least - 1, 0) <= most:
         least -= 1
         kept += sizes.get(least, 0)
-    got = counts.where(F.col("n") >= (1 << least)).toArrow()
-    words, n = got["word"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(words)
-    return words[order], n[order]
+    got = counts.where(F.col("n") >= (1 << least)).select(key, value).toArrow()
+    keys, values = got[key].to_numpy().view(np.uint64), got[value].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 class _Table:
@@ -88,57 +94,81 @@ class _Table:
         return out
 
 
-def score_corpus(docs: DataFrame, *, depth: int = DEPTH, capacity: int = CAPACITY, head: int = HEAD, modulus: int = 7, held: int = 2) -> DataFrame:
+def score_corpus(docs: DataFrame, *, depth: int = DEPTH, head: int = HEAD, head_pairs: int = HEAD_PAIRS, modulus: int = 7, held: int = 2) -> DataFrame:
+    """One row a document: the contract's columns, with ``n_bytes`` of the canonical text and ``bits_per_byte``."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    part = training_part(docs, modulus, held)
-    tree = train(part, depth, capacity)
+    out = F.coalesce(fold("doc_id", modulus) == held, F.lit(False))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), out.alias("held_out"))
+    part = docs.where("NOT held_out")
+    pairs = saved(pair_scores(docs.select("text", (~F.col("held_out")).alias("train")), depth), "pair-scores")
     counts = saved(word_counts(part), "word-counts")
     totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     texts = part.count()
     n_all, v_all = totals["n"] + texts, totals["v"] + (texts > 0)
-    shipped = spark.sparkContext.broadcast((tree, *frequent(counts, head)))
+    shipped = spark.sparkContext.broadcast((frequent(counts, head, "word", "n"), frequent(pairs, head_pairs, "pair", "log")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def lists(keys: np.ndarray, known: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The unknown keys of each document, of which `first` holds the places."""
+        unknown = offsets_of(~known)
+        return pa.ListArray.from_arrays(pa.array(unknown[first].astype(np.int32)), pa.array(keys[~known].view(np.int64)))
+
+    def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1)
+        np.cumsum(values, out=total[1:])
+        return total[first[1:]] - total[first[:-1]]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, n = shipped.value
-        scorer, known = Scorer(model), _Table(keys, n)
+        (words_held, n_held), (pairs_held, logs_held) = shipped.value
+        scorer, table = Scorer(pairs_held, logs_held), _Table(words_held, n_held)
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 36
         for batch in batches:
             for a, b, words in word_slices(batch.column(1)):
                 padded, at, ends = canonical(words, depth)
-                logs = np.add.reduceat(scorer(gram_keys(padded, at, depth)), ends[:-1])
+                keys = gram_keys(padded, at, depth)
+                logs = scorer(keys)
+                sure = ~np.isnan(logs)
                 hashes = words.hashes(lower=True)
-                c = known.get(hashes)
+                c = table.get(hashes)
                 found = c >= 0
-                sums = np.zeros(len(c) + 1)
-                np.cumsum(np.where(found, np.log10(np.maximum(c, 0) + 1.0), 0.0), out=sums[1:])
                 hits = offsets_of(found)
-                first, last = words.first[:-1], words.first[1:]
-                rare = pa.ListArray.from_arrays(pa.array((np.r_[0, np.cumsum((last - first) - (hits[last] - hits[first]))]).astype(np.int32)), pa.array(hashes[~found].view(np.int64)))
                 m = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), batch.column(0).slice(a, m), pa.array((last - first).astype(np.int64)), pa.array((hits[last] - hits[first]).astype(np.int64)), pa.array(sums[last] - sums[first]), pa.array(logs), pa.array(np.diff(ends)), rare],
-                    names=["row", "doc_id", "words", "known_words", "log_counts", "score", "n_bytes", "rare"],
+                    [
+                        pa.array(np.arange(row, row + m)),
+                        batch.column(0).slice(a, m),
+                        batch.column(2).slice(a, m),
+                        pa.array(np.diff(words.first).astype(np.int64)),
+                        pa.array(np.diff(hits[words.first]).astype(np.int64)),
+                        pa.array(sums(np.where(found, np.log10(np.maximum(c, 0) + 1.0), 0.0), words.first)),
+                        pa.array(sums(np.where(sure, logs, 0.0), ends)),
+                        pa.array(np.diff(ends)),
+                        lists(hashes, found, words.first),
+                        lists(keys, sure, ends),
+                    ],
+                    names=["row", "doc_id", "held_out", "words", "known_words", "log_counts", "log_pairs", "n_bytes", "rare", "rare_pairs"],
                 )
                 row += m
 
-    schema = f"row bigint, doc_id {kind}, words bigint, known_words bigint, log_counts double, score double, n_bytes bigint, rare array<bigint>"
+    schema = f"row bigint, doc_id {kind}, held_out boolean, words bigint, known_words bigint, log_counts double, log_pairs double, n_bytes bigint, rare array<bigint>, rare_pairs array<bigint>"
     scored = saved(docs.mapInArrow(run, schema), "scored")
-    rest = scored.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+    rest = scored.select("row", F.explode("rare").alias("word")).join(counts.hint("merge"), "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+    # merged at every size, as in a corpus of which the table would never fit a broadcast
+    deep = scored.select("row", F.explode("rare_pairs").alias("pair")).join(pairs.select("pair", "log").hint("merge"), "pair").groupBy("row").agg(F.sum("log").alias("rare_pair_logs"))
     end = float(np.log10(texts + 1.0))
     every = float(np.log10(n_all + 1.0 * (v_all + 1)))
-    none = F.lit(0)
-    return scored.drop("rare").join(rest, "row", "left").select(
+    none, zero = F.lit(0), F.lit(0.0)
+    score = F.col("log_pairs") + F.coalesce("rare_pair_logs", zero)
+    return scored.drop("rare", "rare_pairs").join(rest, "row", "left").join(deep, "row", "left").select(
         "doc_id",
-        F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"),
+        "held_out",
         (F.col("words") + 1).alias("n_tokens"),
         (F.col("known_words") + F.coalesce("rare_known", none) + int(texts > 0)).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(end) - (F.col("words") + 1) * F.lit(every)).alias("base_score"),
-        "score",
+        (F.col("log_counts") + F.coalesce("rare_logs", zero) + F.lit(end) - (F.col("words") + 1) * F.lit(every)).alias("base_score"),
+        score.alias("score"),
         "n_bytes",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-score / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillspark.llm.context_tree import ContextTree, canonical, gram_keys
+from quillspark.llm.context_tree import DEPTH, Crown, canonical, gram_keys, partial, subtree
 from quillspark.llm.lm_scoring import score_corpus
 from quillspark.llm.textkit import word_slices
+from tests.llm.conftest import sentence
 
 
 def brute(train: list[bytes], text: bytes, depth: int) -> float:
@@ -56,25 +57,48 @@ def canon(t):
     return b" ".join((t or "").encode().lower().split()) + b"\n"
 
 
-def test_tree_equals_the_plain_recursion():
+def model(keys, counts, depth, floor):
+    levels = subtree(keys, counts, depth, floor)
+    crown = Crown(levels.roots, floor)
+    return lambda asked: crown.log10(asked, partial(levels, asked))
+
+
+@pytest.mark.parametrize("floor", [0, 1, 2, 3])
+def test_tree_equals_the_plain_recursion(floor):
     import pyarrow as pa
 
-    train, test, depth = ["the cat sat", "The hat, the mat", "", "aaaa"], ["the cat", "zebra  hat", None], 2
+    train, test, depth = ["the cat sat", "The hat, the mat", "", "aaaa"], ["the cat", "zebra  hat", None, "\x7f\x80"], 3
     held = [gram_keys(*canonical(w, depth)[:2], depth) for _, _, w in word_slices(pa.array(train))]
     keys, n = np.unique(np.concatenate(held), return_counts=True)
-    tree = ContextTree(depth, keys, n.astype(float), np.full(len(keys), depth))
+    log10 = model(keys, n, depth, floor)
     for _, _, w in word_slices(pa.array(test, pa.string())):
         padded, at, ends = canonical(w, depth)
-        got = np.add.reduceat(tree.log10(gram_keys(padded, at, depth)), ends[:-1])
-    assert got == pytest.approx([brute([canon(t) for t in train], canon(t), depth) for t in test], abs=1e-4)
+        got = np.add.reduceat(log10(gram_keys(padded, at, depth)), ends[:-1])
+    assert got == pytest.approx([brute([canon(t) for t in train], canon(t), depth) for t in test], abs=1e-6)
 
 
-def test_a_distribution_over_bytes():
+@pytest.mark.parametrize("floor", [0, 1])
+def test_a_distribution_over_bytes(floor):
     keys = np.array([(ord("a") << 56) | ord("b"), (ord("a") << 56) | ord("c"), (ord("b") << 56) | ord("a")], np.uint64)
-    tree = ContextTree(1, keys, np.array([5.0, 2.0, 9.0]), np.full(3, 1))
+    log10 = model(keys, np.array([5, 2, 9]), 1, floor)
     for context in (ord("a"), ord("z")):
         every = np.array([(context << 56) | b for b in range(256)], np.uint64)
-        assert (10 ** tree.log10(every)).sum() == pytest.approx(1)
+        assert (10 ** log10(every)).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("head_pairs", [10**6, 40, 0])
+def test_corpus_scores_equal_the_plain_recursion(spark, head_pairs):
+    texts = [(i, sentence(i, 3 + i % 4)) for i in range(24)] + [(30, None), (None, "The hat  and\nthe mat"), (31, "")]
+    got = score_corpus(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), head_pairs=head_pairs).collect()
+    train = [canon(t) for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    assert any(r["held_out"] for r in got)
+    want = {i: brute(train, canon(t), DEPTH) for i, t in texts}
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-3)
+
+
+def test_without_training_every_bit_is_even(spark):
+    (row,) = score_corpus(spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "ab")], "doc_id bigint, text string")).collect()
+    assert row["score"] == pytest.approx(24 * math.log10(0.5)) and row["held_out"] and row["train_tokens"] == 0
 
 
 @pytest.mark.parametrize("head", [400_000, 3])
@@ -92,11 +116,5 @@ def test_base_and_held_out(docs, texts, head):
     assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
 
 
-def test_capacity_rolls_counts_up(docs):
-    whole = {r["doc_id"]: r["score"] for r in score_corpus(docs).where("doc_id > 99").collect()}
-    small = {r["doc_id"]: r["score"] for r in score_corpus(docs, capacity=300).where("doc_id > 99").collect()}
-    assert sum(small.values()) < sum(whole.values()) < 0
-
-
 def test_empty(empty):
     assert score_corpus(empty).count() == 0
