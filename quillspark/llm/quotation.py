@@ -2,12 +2,15 @@
 
 1. Parse: the leading ``>`` signs of a line are its quote level; consecutive lines of
    a level are one passage, and a passage belongs to the message whose quote encloses
-   it.  A message's own text is its level-0 lines without attribution lines (a line
-   that ends in a colon right above a quote and holds "wrote", "said" or "writes").
-2. Link: a quoted passage is normalised (letters and digits in lower case, white
-   space collapsed) and hashed; so is every own paragraph and whole own text of every
-   message.  An equality join within the conversation finds the original messages; of
-   several, the latest one before the quoting message counts, then the least turn.
+   it.  A line that announces a deeper quote (it ends in a colon, holds "wrote", "said"
+   or "writes", and the next line that isn't blank is deeper) is an attribution and
+   belongs to no passage, at whatever level.  A message's own text is its level-0 lines.
+2. Link: passages are normalised (letters and digits in lower case, white space
+   collapsed) and hashed as a whole, by paragraph, and by line (of ``LINE_WORDS`` words
+   or more); so are the whole own text, the paragraphs and the lines of every message.
+   An equality join within the conversation finds the original messages.  A trimmed
+   quote links by what is left of it: the whole counts before a paragraph, a paragraph
+   before a line; of several messages the latest one before the quoting one counts.
 3. Order: a message replies to the original of its first outermost quote that links,
    else to the message before it (the earliest of a conversation has no parent).  A
    thread is read depth first: a chain of messages that each answer the one before,
@@ -21,8 +24,9 @@ joins, and their length is the nesting of branches, not the number of messages.
 
 Defined cases: null text has no lines; a null role is kept; a null conversation id is
 a conversation of its own group, ordered by turn; messages repeated as whole rows
-collapse to one; ties of turn are parted by role and text; extra columns are ignored;
-an empty table gives no rows.
+collapse to one; ties of turn are parted by role and text; very long texts are parsed
+whole, in time that grows with their length; extra columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,28 +46,46 @@ _marks = regex.compile(r"^[ \t]*((?:>[ \t]*)+)")
 _attribution = regex.compile(r"\b(?:wrote|said|writes)\b.*:\s*$", regex.I)
 _word = regex.compile(r"[\p{L}\p{N}]+")
 
+LINE_WORDS = 4
+
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text of a message, and its quoted passages as (level, text) in order."""
-    own: list[str] = []
-    quotes: list[tuple[int, list[str]]] = []
-    lines = (text or "").split("\n")
     levels = []
-    for line in lines:
+    for line in (text or "").split("\n"):
         m = _marks.match(line)
         levels.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
+    # the level of the next line that isn't blank, from the end back
+    ahead, following = [0] * len(levels), 0
+    for k in range(len(levels) - 1, -1, -1):
+        ahead[k] = following
+        if levels[k][1].strip():
+            following = levels[k][0]
+    own: list[str] = []
+    quotes: list[tuple[int, list[str]]] = []
     open_level = 0
-    for k, (level, body) in enumerate(levels):
+    for (level, body), deeper in zip(levels, ahead, strict=True):
+        announces = deeper > level and _attribution.search(body)
         if level == 0:
-            nxt = next((lv for lv, b in levels[k + 1 :] if b.strip() or lv), 0)
-            if not (nxt and _attribution.search(body)):
+            if not announces:
                 own.append(body)
         elif level == open_level and quotes:
-            quotes[-1][1].append(body)
+            quotes[-1][1].extend([] if announces else [body])
         else:
-            quotes.append((level, [body]))
+            quotes.append((level, [] if announces else [body]))
         open_level = level
-    return "\n".join(own).strip(), [(lv, "\n".join(b).strip()) for lv, b in quotes]
+    return "\n".join(own).strip(), [(lv, "\n".join(b).strip()) for lv, b in quotes if any(x.strip() for x in b)]
+
+
+def quoted_parts(text: str) -> Iterator[tuple[int, int]]:
+    """(rank, hash) of a quoted passage: the whole, its paragraphs, its longer lines."""
+    seen = set()
+    for rank, parts in enumerate(([text], text.split("\n\n"), text.split("\n"))):
+        for part in parts:
+            h = normalised_hash(part)
+            if h is not None and h not in seen and (rank < 2 or len(_word.findall(part)) >= LINE_WORDS):
+                seen.add(h)
+                yield rank, h
 
 
 def normalised_hash(text: str) -> int | None:
@@ -81,27 +103,28 @@ def link(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, hashes, quotes = [], [], []
+            own, hashes, quotes, passages = [], [], [], []
             for text in batch.column(3).to_pylist():
                 body, found = parse(text)
                 own.append(body)
                 parts = [body, *body.split("\n\n"), *body.split("\n")]
                 hashes.append(sorted({h for p in parts if (h := normalised_hash(p)) is not None}))
-                quotes.append([{"level": lv, "hash": h} for lv, p in found if (h := normalised_hash(p)) is not None])
+                quotes.append([{"q": q, "level": lv, "rank": rank, "hash": h} for q, (lv, p) in enumerate(found) for rank, h in quoted_parts(p)])
+                passages.append(sum(normalised_hash(p) is not None for _, p in found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])))],
-                names=["conv_id", "turn", "role", "own", "hashes", "quotes"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(passages, pa.int64()), pa.array(quotes, pa.list_(pa.struct([("q", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.int64())])))],
+                names=["conv_id", "turn", "role", "own", "hashes", "n_quotes", "quotes"],
             )
 
-    schema = f"conv_id {conv}, turn {turn}, role string, own string, hashes array<bigint>, quotes array<struct<level:int,hash:bigint>>"
+    schema = f"conv_id {conv}, turn {turn}, role string, own string, hashes array<bigint>, n_quotes bigint, quotes array<struct<q:int,level:int,rank:int,hash:bigint>>"
     # g: the message's place among all messages, conversation by conversation
     numbered = saved(ranked(base.mapInArrow(run, schema), ["conv_id", "turn", "role", "own"], "messages"), "numbered")
     spans = saved(numbered.groupBy("conv_id").agg(F.min("g").alias("first"), F.max("g").alias("last")), "conversations")
 
-    wanted = numbered.select("conv_id", "g", F.posexplode("quotes").alias("q", "quote")).select("conv_id", "g", "q", F.col("quote.level").alias("level"), F.col("quote.hash").alias("h"))
+    wanted = numbered.select("conv_id", "g", F.explode("quotes").alias("quote")).select("conv_id", "g", "quote.q", "quote.level", "quote.rank", F.col("quote.hash").alias("h"))
     held = numbered.select("conv_id", F.col("g"), F.explode("hashes").alias("h"))
     linked = _latest_before(wanted, held)
-    parents = linked.groupBy("g").agg(F.count("*").alias("n_linked"), F.min_by("source", F.struct("level", "q")).alias("quoted"))
+    parents = linked.groupBy("g").agg(F.count_distinct("q").alias("n_linked"), F.min_by("source", F.struct("level", "q", "rank", (-F.col("source")).alias("latest"))).alias("quoted"))
     # a message that quotes an earlier one than its neighbour opens a branch
     joined = numbered.join(parents, "g", "left").join(spans.withColumnRenamed("conv_id", "c3"), F.col("conv_id").eqNullSafe(F.col("c3"))).drop("c3")
     opens = (F.col("g") == F.col("first")) | (F.col("quoted") < F.col("g") - 1)
@@ -124,7 +147,7 @@ def link(messages: DataFrame) -> DataFrame:
 
     placed = nodes.join(chains, "g").join(paths.select(F.col("start").alias("chain"), "path", "depth"), "chain")
     laid = placed.select(
-        "conv_id", "turn", "role", F.col("own").alias("text"), "first", "g", "n_linked", "path", F.size("quotes").cast("long").alias("n_quotes"),
+        "conv_id", "turn", "role", F.col("own").alias("text"), "first", "g", "n_linked", "path", "n_quotes",
         F.when(F.col("g") > F.col("first"), F.coalesce("quoted", F.col("g") - 1)).alias("parent"), (F.col("depth") + F.col("g") - F.col("chain")).alias("depth"),
     )
     final = ranked(laid, ["first", "path", "g"], "reply-order", "place")
@@ -143,18 +166,18 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def _latest_before(quotes: DataFrame, held: DataFrame) -> DataFrame:
-    """(g, q, level, source): for each quote the latest earlier message of its conversation
+    """(g, q, level, rank, source): for each hash of a quote the latest earlier message of its conversation
     that holds its hash.  One sorted pass over quotes and holders together, so a passage
     that is quoted often and held often costs its rows, not their product."""
     none = F.lit(None)
     quotes = quotes.join(held.select("conv_id", "h").distinct(), [quotes.conv_id.eqNullSafe(held.conv_id), quotes.h == held.h], "left_semi")
-    rows = quotes.select("conv_id", "h", "g", F.lit(0).alias("kind"), "q", "level").union(held.select("conv_id", "h", "g", F.lit(1), none.cast("int"), none.cast("int")))
+    rows = quotes.select("conv_id", "h", "g", F.lit(0).alias("kind"), "q", "level", "rank").union(held.select("conv_id", "h", "g", F.lit(1), *[none.cast("int")] * 3))
     order = saved(ranked(rows, ["conv_id", "h", "g", "kind", "q"], "quotes", "place"), "quotes-placed")
     groups = order.groupBy("conv_id", "h").agg(F.min("place").alias("low")).withColumnsRenamed({"conv_id": "c2", "h": "h2"})
     last = _last_open(order.select(F.col("place").alias("g"), (F.col("kind") == 1).alias("opens"))).withColumnsRenamed({"g": "place", "chain": "at"})
     asked = order.where("kind = 0").join(last, "place").join(groups, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("h") == F.col("h2"))).where("at >= low")
     holders = order.where("kind = 1").select(F.col("place").alias("at"), F.col("g").alias("source"))
-    return asked.join(holders, "at").select("g", "q", "level", "source")
+    return asked.join(holders, "at").select("g", "q", "level", "rank", "source")
 
 
 def _last_open(nodes: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +57,61 @@ def test_parse_levels():
     assert parse(None) == ("", []) and parse("5 > 3") == ("5 > 3", [])
 
 
+def test_attributions_at_every_level():
+    own, quotes = parse("On Tue B wrote:\n> B's reply\n> On Mon A wrote:\n>\n>> A's text\n> B's end\nmine")
+    assert own == "mine" and quotes == [(1, "B's reply"), (2, "A's text"), (1, "B's end")]
+
+
+def test_long_texts_parse_in_time_that_grows_with_them():
+    began = time.process_time()
+    own, quotes = parse("\n" * 300_000 + "> a\nb\n" * 100_000)
+    assert len(quotes) == 100_000 and own.count("b") == 100_000 and time.process_time() - began < 10
+
+
+def test_trimmed_and_nested_quotes_link(spark):
+    first = "Opening words of the first message.\nA second line that goes on.\n\nAnother paragraph is here.\n\nThe last one"
+    rows = [
+        (1, 0, "u", first),
+        (1, 1, "a", "> A second line that goes on.\nB's own reply"),
+        (1, 2, "u", "something in between"),
+        (1, 3, "a", "On Tue B wrote:\n> B's own reply\n> On Mon A wrote:\n>> Another paragraph is here.\n>>\n>> The last one\nC's words"),
+        (1, 4, "u", "> Another paragraph is here.\n> with a line that nobody wrote\nend"),
+        (1, 5, "u", "> words of nobody\nend"),
+    ]
+    got = {r["turn"]: r for r in link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {t: (r["reply_to"], r["n_quotes"], r["n_linked"]) for t, r in got.items()} == {0: (None, 0, 0), 1: (1, 1, 1), 2: (2, 0, 0), 3: (2, 2, 2), 4: (1, 1, 1), 5: (5, 1, 0)}
+
+
+def links_by_hand(rows):
+    """The latest earlier message of the conversation with equal text, for each quoted passage: by plain comparison."""
+    clean = lambda t: tuple("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    out = {}
+    for i, (_, own, quotes) in enumerate(rows):
+        found = []
+        for level, passage in quotes:
+            for units in (lambda t: [t], lambda t: t.split("\n\n"), lambda t: [x for x in t.split("\n") if len(clean(x)) >= 4]):
+                wanted = {clean(u) for u in units(passage)} - {()}
+                holders = [j for j in range(i) if wanted & {clean(u) for u in [rows[j][1], *rows[j][1].split("\n\n"), *rows[j][1].split("\n")]}]
+                if holders:
+                    found.append((level, max(holders)))
+                    break
+        out[i] = (min(found, key=lambda x: x[0])[1] + 1 if found else i or None, len(found))
+    return out
+
+
+def test_links_equal_plain_comparison(spark):
+    r = random.Random(4)
+    pool = [" ".join(r.choice("ab cd ef gh ij kl mn".split()) for _ in range(5)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        own = "\n".join(r.choice(pool) + r.choice(["", "\n"]) for _ in range(r.randrange(1, 4)))
+        quotes = [(level, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 3)))) for level in r.sample([1, 2], r.randrange(3))]
+        text = "\n".join([*("\n".join(">" * lv + " " + x for x in q.split("\n")) for lv, q in quotes), own])
+        rows.append((text, *parse(text)))
+    got = link(spark.createDataFrame([(1, i, "u", t) for i, (t, _, _) in enumerate(rows)], "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {x["turn"]: (x["reply_to"], x["n_linked"]) for x in got} == links_by_hand(rows)
+
+
 def test_reply_order(spark):
     rows = [
         (1, 0, "u", "Hello there friend.\n\nSecond para here"), (1, 1, "a", "An answer"), (1, 2, "u", "Bob wrote:\n> Hello there  friend.\nI reply to first"),
