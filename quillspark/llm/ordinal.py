@@ -11,12 +11,16 @@ whole sample is are left out, and weights are fitted by FTRL-proximal steps, who
 term keeps small weights at exactly zero, so that long clean texts are not judged by
 noise.
 
-Training takes at most ``sample`` labelled documents (a documented bound: those
-with the least hash of their id); scoring covers every document.
+Training takes at most ``sample`` labelled documents of together at most
+``sample_bytes`` bytes (documented bounds: those with the least hash of their id, as far
+as they fit); scoring covers every document.
 
 Defined cases: null and empty texts have no features and get the prior; labels of
-absent documents are ignored; a document with several labels trains with each;
-without labels every document gets expected grade K-1 (nothing is known against it).
+absent documents are ignored; a document with several labels trains with each, and an id
+with several texts with each, as far as the bounds go; without labels every document
+gets expected grade K-1 (nothing is known against it); very long texts are scored whole,
+and train if they fit; equal texts get equal scores, ties of the tail are kept alike; an
+empty table gives no rows; extra columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from quillspark.llm.textkit import Words, mix64, slices, text_buffer
 
 BITS = 20
 SAMPLE = 20_000
+SAMPLE_BYTES = 96 << 20
 
 _classes = np.full(256, 2, np.uint8)
 _classes[[0x20, *range(0x09, 0x0E)]] = 0
@@ -137,12 +142,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
     return Ordinal(weights.astype(np.float32), cuts)
 
 
-def train(docs: DataFrame, ratings: DataFrame, *, n_grades: int, bits: int = BITS, sample: int = SAMPLE) -> Ordinal:
+def train(docs: DataFrame, ratings: DataFrame, *, n_grades: int, bits: int = BITS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Ordinal:
     """The model of `ratings` (doc_id, grade) over the texts of `docs`."""
-    few = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
+    # a threshold on the hash first, so that a partition keeps no more rows than its share of the sample
+    place, rows = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), rated.count()
+    most = (1 << 30) if rows <= sample else int((1 << 30) * min(1.0, 1.2 * sample / rows + 100 / rows))
+    few = rated.where(place < most).orderBy(place, "doc_id", "grade").limit(sample)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # at most `sample` rows of two numbers: a proven bound for the broadcast
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("grade", "text")
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(few), "doc_id")
+    sizes = sizes.groupBy("doc_id", "grade").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy(place, "doc_id", "grade")
+    chosen, n_left, bytes_left = [], sample, sample_bytes
+    for r in sizes.collect():
+        if r["n"] <= n_left and r["size"] <= bytes_left:
+            chosen.append((r["doc_id"], r["grade"]))
+            n_left, bytes_left = n_left - r["n"], bytes_left - r["size"]
+    picked = docs.sparkSession.createDataFrame(chosen, few.schema)
+    labelled = texts.join(F.broadcast(picked), "doc_id").select("grade", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import sentence
 from quillspark.llm.language_id import identify
-from quillspark.llm.ordinal import graded, score, select_documents, train
+from quillspark.llm.ordinal import Ordinal, features, fit, graded, score, select_documents, train
 
 
 def test_ordinal_separates_held_out_grades(spark):
@@ -33,6 +36,62 @@ def test_ordinal_separates_held_out_grades(spark):
     assert (again.weights == model.weights).all()
 
 
+def likelihood(rows, grades, weights, cuts):
+    """Sum of log P(grade) by the definition of the cumulative link."""
+    total = 0.0
+    for r, g in zip(rows, grades, strict=True):
+        z = float(weights[r].sum())
+        above = [1.0, *(1 / (1 + math.exp(c - z)) for c in cuts), 0.0]
+        total += math.log(above[g] - above[g + 1])
+    return total
+
+
+def test_fit_nears_the_likelihood_of_plain_gradient_ascent():
+    """With presence features and no feature selection, FTRL ends near the optimum that slow
+    numeric ascent on the definition finds."""
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 6, 3)) for _ in range(300)]
+    true = np.array([1.5, -1.0, 0.5, 0.0, -0.5, 1.0])
+    z = np.array([true[x].sum() for x in rows]) + r.logistic(size=300)
+    grades = (z > 0).astype(int) + (z > 1.5)
+    model = fit(rows, grades, 3, 3, epochs=60, l1=0.0, l2=0.01, least=0, deviation=-1.0)
+    w, cuts = np.zeros(8), np.array([-0.5, 0.5])
+
+    def slope(f, x):
+        out = np.zeros(len(x))
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-4
+            down[i] -= 1e-4
+            out[i] = (f(up) - f(down)) / 2e-4
+        return out
+
+    for _ in range(150):
+        w += 0.01 * slope(lambda v: likelihood(rows, grades, v, cuts), w)
+        cuts = np.sort(cuts + 0.01 * slope(lambda c: likelihood(rows, grades, w, c), cuts))
+    best = likelihood(rows, grades, w, cuts)
+    assert likelihood(rows, grades, model.weights.astype(float), model.thresholds) > 1.03 * best  # both are negative
+
+
+def test_training_bounds(spark):
+    docs = spark.createDataFrame([(i, f"good{i % 5} words " * 20) for i in range(300)] + [(7, "bad words " * 100_000)], "doc_id bigint, text string")
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, grade int")
+    few = train(docs, ratings, n_grades=2, sample=50, sample_bytes=5000)
+    assert np.isfinite(few.weights).all() and score(docs, few).count() == 301
+    assert (train(docs, ratings, n_grades=2, sample=10, sample_bytes=10).weights == 0).all()  # nothing fits
+
+
+def test_scores_by_the_definition(spark):
+    model = Ordinal(np.random.default_rng(2).normal(size=1 << 12).astype(np.float32), np.array([-0.5, 0.7]))
+    texts = ["One two, two THREE.", "", None, "word " * 50]
+    got = score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, bits=12).collect()
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        _, found = features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 12)
+        tails = [1 / (1 + math.exp(c - float(model.weights[found].sum()))) for c in model.thresholds]
+        assert r["tails"] == pytest.approx(tails, rel=1e-5) and r["expected_grade"] == pytest.approx(sum(tails), rel=1e-5)
+
+
 def test_ordinal_edges(spark, docs, empty, texts):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (999, 1, 1), (None, 1, 0), (8, None, None)], "doc_id bigint, quality int, toxic int")
     scored, keep = select_documents(docs, labels)
