@@ -73,7 +73,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.transport_stream import decode, encode
 
-    return decode(encode(table(spark, sf_dir, "documents")), with_payload=False).drop("pts", "random_access")
+    return decode(encode(table(spark, sf_dir, "documents")), with_payload=False)
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
