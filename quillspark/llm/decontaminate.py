@@ -4,10 +4,10 @@ Texts and items are compared as UTF-8 bytes with A-Z lower-cased and runs of whi
 space as one space.  A document leaks an item when some substring of it is within
 ``floor(max_edit * item length)`` edits of the item.
 
-1. Windows: item-sized windows are taken where a document shares ``SEED``-byte seeds
-   with an item at one offset (up to the allowed shift): two, and one for every
-   ``SUPPORT`` bytes of the item.  A seed is found by a bitmap over all positions of all
-   texts, then exactly.
+1. Windows: item-sized windows (of an item over ``LONGEST`` bytes, windows of its parts)
+   are taken where a document shares ``SEED``-byte seeds with an item at one offset (up
+   to the allowed shift): two, and one for every ``SUPPORT`` bytes of the item.  A seed is
+   found by a bitmap over all positions of all texts, then exactly.
 2. Embed: the CGK random walk reads a string with a pointer that moves on or stays by
    a random bit for each (step, byte), so strings at a small edit distance give outputs
    at a small Hamming distance.  ``WALKS`` walks are used.
@@ -28,10 +28,12 @@ The items are the stated query set.  They are processed in blocks of at most
 ``BLOCK_BYTES`` of item text, one broadcast and one scan a block, so what is broadcast
 is bounded whatever the benchmark's size.
 
-Defined cases: null and empty texts leak nothing; items shorter than ``LEAST`` bytes
-are no evidence and are left out; equal items are reported each; equal rows of
-documents are reported each; very long texts are scanned whole; an empty benchmark or
-table gives no rows.
+Defined cases: null, empty and blank texts leak nothing, and such items are leaked by
+nothing; short items (no edits below five bytes) and items of any length are looked for;
+equal items are reported each; equal rows of documents, and null ids, are reported each;
+of several places of an item in a document the one with the fewest edits counts, then the
+first; very long texts are scanned whole; an empty benchmark or table gives no rows;
+extra columns, whatever their names, are ignored (and pass through `decontaminated`).
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ from quillspark.llm.textkit import mix64, offsets_of, slices, text_buffer
 
 SEED = 12
 SUPPORT = 40
-LEAST = 24
+LONGEST = 512
 MAX_EDIT = 0.2
 WALKS = 16
 TABLES = 8
@@ -59,6 +61,9 @@ FILTER_BITS = 22
 PIECE = 4
 PIECE_BITS = 18
 CHUNK = 1 << 16
+ENTRIES = 4 << 20
+
+_BYTES = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
@@ -86,24 +91,31 @@ def seed_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[SEED - 8 : SEED - 8 + n])
 
 
+def walk_bits(walk: int, step: int) -> np.ndarray:
+    """Whether the pointer moves on after each byte: a random bit, from a hash instead of a table."""
+    return (mix64(_BYTES + np.uint64((walk << 40) + (step << 8))) >> np.uint64(63)).astype(np.int64)
+
+
 @dataclass
 class Items:
-    """A block of benchmark items with their seeds and sampled embeddings."""
+    """A block of benchmark items, cut into parts of at most ``LONGEST`` bytes, with the
+    parts' seeds and sampled embeddings."""
 
-    names: list
+    whole: np.ndarray
+    offset: np.ndarray
     texts: list[bytes]
     max_edit: float
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
     near: np.ndarray
-    bits: np.ndarray
     spots: np.ndarray
     marks: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[object, bytes]], max_edit: float) -> Items:
-        names, texts = [r[0] for r in rows], [r[1] for r in rows]
+    def of(items: list[bytes], max_edit: float) -> Items:
+        cuts = [(i, k * len(t) // m, (k + 1) * len(t) // m) for i, t in enumerate(items) for m in [-(-len(t) // LONGEST)] for k in range(m)]
+        texts = [items[i][a:b] for i, a, b in cuts]
         hashes = [seed_hashes(np.frombuffer(t, np.uint8)) for t in texts]
         seeds = np.concatenate(hashes)
         item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
@@ -111,16 +123,13 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         near = np.zeros(1 << FILTER_BITS, bool)
         near[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        random = np.random.default_rng(20240611)
-        longest = max(map(len, texts))
-        bits = random.integers(0, 2, (WALKS, 2 * longest, 256), dtype=np.uint8)
-        spots = random.random((WALKS, TABLES, SAMPLES))
-        out = Items(names, texts, max_edit, seeds[order], item[order], place[order], near, bits, spots, np.zeros(0))
-        out.marks = out.sampled(texts, np.arange(len(texts)))
+        spots = np.random.default_rng(20240611).random((WALKS, TABLES, SAMPLES))
+        out = Items(np.array([i for i, _, _ in cuts]), np.array([a for _, a, _ in cuts]), texts, max_edit, seeds[order], item[order], place[order], near, spots, np.zeros(0))
+        out.marks = np.concatenate([out.sampled(texts[a : a + 4000], np.arange(a, min(a + 4000, len(texts)))) for a in range(0, len(texts), 4000)])
         return out
 
     def sampled(self, strings: list[bytes], of: np.ndarray) -> np.ndarray:
-        """Sampled positions of the embeddings of strings, each as a window for item `of`."""
+        """Sampled positions of the embeddings of strings, each as a window for part `of`."""
         size = np.array([len(self.texts[i]) for i in of])
         width = int(size.max()) + 1
         text = np.zeros((len(strings), width), np.uint8)
@@ -139,7 +148,7 @@ class Items:
             for t in range(steps):
                 c = flat[at]
                 walked[:, t] = c
-                at = np.minimum(at + self.bits[w, t][c], stop)
+                at = np.minimum(at + walk_bits(w, t)[c], stop)
             out[:, w] = walked[rows[:, None, None], spots[:, w]]
         return out
 
@@ -204,9 +213,12 @@ def propose(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Settler:
-    """Places that can hold an item within its edits, found by the item's parts of up to 64 bytes."""
+    """Places that can hold an item within its edits, found by the item's parts of up to 64 bytes.
 
-    def __init__(self, texts: list[bytes], max_edit: float) -> None:
+    Serves items that are cut into pieces of one length; see :func:`settlers`."""
+
+    def __init__(self, names: list[int], texts: list[bytes], max_edit: float, piece: int) -> None:
+        self.names = np.array(names)
         lengths = np.array([len(t) for t in texts])
         parts = -(-lengths // 64)
         self.item_size, self.item_edits = lengths, np.array([int(max_edit * len(t)) for t in texts])
@@ -216,8 +228,7 @@ class Settler:
         cuts = [t[x:y] for x, y, t in cuts]
         # one part of an item has at most its share of the edits
         self.size, self.edits = np.array([len(c) for c in cuts]), np.repeat(self.item_edits // parts, parts)
-        # so short that more pieces than edits are left
-        self.piece = next((q for q in range(PIECE, 1, -1) if (self.size // q > self.edits).all()), 1)
+        self.piece = piece
         self.need = np.maximum(self.size // self.piece - self.edits, 1)
         # consecutive chunks overlap by the longest occurrence
         self.chunk = CHUNK + int((self.size + self.edits).max())
@@ -232,12 +243,19 @@ class Settler:
         self.span = (self.chunk + 256).bit_length()
         self.key = ((part[order].astype(np.int64) << self.span) + 64 - place[order]).astype(np.int32 if len(cuts) << self.span < 1 << 31 else np.int64)
         # parts end at the top bit; the bits below them match anything and count nothing
-        free = (64 - self.size).astype(np.uint64)
-        self.steps = ~np.uint64(0) << free
-        self.equal = np.repeat(~self.steps, 256).reshape(-1, 256)
-        for row, c, f in zip(self.equal, cuts, free.tolist(), strict=True):
-            for i, x in enumerate(c):
-                row[x] |= np.uint64(1 << (f + i))
+        self.steps = ~np.uint64(0) << (64 - self.size).astype(np.uint64)
+        self.bytes = np.zeros((len(cuts), 64), np.uint8)
+        for row, c in zip(self.bytes, cuts, strict=True):
+            row[: len(c)] = np.frombuffer(c, np.uint8)
+
+    def masks(self, parts: np.ndarray) -> np.ndarray:
+        """For each part and byte the positions that it equals, flat; made for the parts at hand only."""
+        free = (64 - self.size[parts]).astype(np.uint64)
+        out = np.repeat(~self.steps[parts], 256)
+        for i in range(64):
+            rows = np.flatnonzero(self.size[parts] > i)
+            out[rows * 256 + self.bytes[parts[rows], i]] |= np.uint64(1) << (free[rows] + np.uint64(i))
+        return out
 
     def slots(self, data: np.ndarray) -> np.ndarray:
         """A table slot for the piece at each position; unlike pieces may share one."""
@@ -251,14 +269,19 @@ class Settler:
         """(part, start, stop): regions with enough pieces of a part at shifts close to each other."""
         out = []
         slot = self.slots(data)
-        for a in range(0, len(slot), CHUNK):
-            own = slot[a : a + self.chunk]
+        a, step = 0, CHUNK
+        while a < len(slot):
+            at, own = a, slot[a : a + step + self.chunk - CHUNK]
             count = self.count[own]
-            hit = np.flatnonzero(count)
-            count = count[hit]
-            total = int(count.sum())
+            total = int(count.sum(dtype=np.int64))
+            if total > ENTRIES and step > 512:  # pieces that many parts hold: less text at once
+                step //= 2
+                continue
+            a, step = a + step, min(2 * step, CHUNK)
             if not total:
                 continue
+            hit = np.flatnonzero(count)
+            count = count[hit]
             entry = np.repeat(self.first[own[hit]] - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(total, dtype=np.int32)
             keys = np.sort(self.key[entry] + np.repeat(hit.astype(self.key.dtype), count))
             part = keys >> self.span
@@ -271,8 +294,8 @@ class Settler:
             new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (low[1:] > high[:-1])])
             end = np.r_[new[1:], len(full)] - 1
             part = part[new].astype(np.int64)
-            start = a - 64 + (low[new] - (part << self.span)) - self.edits[part]
-            stop = a - 64 + (high[end] - (part << self.span)) + self.edits[part] + self.size[part]
+            start = at - 64 + (low[new] - (part << self.span)) - self.edits[part]
+            stop = at - 64 + (high[end] - (part << self.span)) + self.edits[part] + self.size[part]
             out.append(np.stack([part, np.maximum(start, 0), np.minimum(stop, len(data))], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
@@ -280,11 +303,13 @@ class Settler:
         """The places that hold their part within its share of the edits."""
         keep = np.zeros(len(places), bool)
         by_size = np.argsort(places[:, 2] - places[:, 1], kind="stable")
-        one, equal = np.uint64(1), self.equal.ravel()
+        one = np.uint64(1)
         for c in range(0, len(by_size), 4096):
             rows = by_size[c : c + 4096]
             part, start, stop = places[rows].T
-            row, stop = part << 8, stop - 1
+            own, index = np.unique(part, return_inverse=True)
+            equal = self.masks(own)
+            row, stop = index << 8, stop - 1
             score = self.size[part].astype(np.int8)
             best = score.copy()
             pv, mv = self.steps[part], np.zeros(len(part), np.uint64)
@@ -316,10 +341,21 @@ class Settler:
             for d in range(int(np.searchsorted(offsets, x, "right")) - 1, int(np.searchsorted(offsets, y, "left"))):
                 lo, hi = max(x, int(offsets[d])), min(y, int(offsets[d + 1]))
                 if hi - lo >= self.item_size[i] - self.item_edits[i]:
-                    out.add((d, i, lo, hi))
+                    out.add((d, int(self.names[i]), lo, hi))
         return sorted(out)
 
 
+def settlers(texts: list[bytes], max_edit: float) -> list[Settler]:
+    """The items by the length of their pieces: so short that more pieces than edits are left."""
+    groups: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        parts = -(-len(t) // 64)
+        least, edits = len(t) // parts, int(max_edit * len(t)) // parts
+        piece = next((q for q in range(min(PIECE, least), 1, -1) if least // q > edits), 1)
+        groups.setdefault(piece, []).append(i)
+    return [Settler(own, [texts[i] for i in own], max_edit, piece) for piece, own in sorted(groups.items())]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", max_edit: float = MAX_EDIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, start, stop): leaked items, with the place in the normalised text."""
     spark = docs.sparkSession
@@ -330,17 +366,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", max
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def scan(items: list[tuple[object, bytes]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast((Items.of(items, max_edit), Settler([t for _, t in items], max_edit)))
+        patterns = [t for _, t in items]
+        shipped = spark.sparkContext.broadcast(([n for n, _ in items], patterns, Items.of(patterns, max_edit), settlers(patterns, max_edit)))
 
         def verify(pattern: bytes, region: bytes, row: int, item: int, start: int, hits: list) -> None:
+            exact = region.find(pattern)
+            if exact >= 0:
+                hits.append((row, item, 0, start + exact, start + exact + len(pattern)))
+                return
             edits, end = edit_search(pattern, region)
             if edits <= int(max_edit * len(pattern)):
                 _, back = edit_search(pattern[::-1], region[:end][::-1])
                 hits.append((row, item, edits, start + end - back, start + end))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, settler = shipped.value
-            names = pa.array(own.names)
+            names, whole, own, settling = shipped.value
+            names = pa.array(names)
             for batch in batches:
                 windows, regions, of, rows, starts, hits = [], [], [], [], [], []
                 data, offsets = text_buffer(batch.column(1))
@@ -348,23 +389,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", max
                     part = offsets[a : b + 1]
                     text, at = normalise(data[part[0] : part[-1]], part - part[0])
                     for d, i, s in propose(own, text, at).tolist():
-                        n = len(own.texts[i])
-                        slack = int(max_edit * n) + 1
+                        n, item = len(own.texts[i]), len(whole[own.whole[i]])
+                        slack = int(max_edit * item) + 1
                         lo, hi = int(at[d]), int(at[d + 1])
                         s = max(s, lo)
                         windows.append(text[s : min(s + n, hi)].tobytes())
-                        begin = max(s - slack, lo)
-                        regions.append(text[begin : min(s + n + slack, hi)].tobytes())
-                        starts.append(begin - lo)
+                        begin = max(s - int(own.offset[i]) - slack, lo)
+                        regions.append((begin, min(s - int(own.offset[i]) + item + slack, hi)))
+                        starts.append((lo, text))
                         of.append(i)
                         rows.append(a + d)
-                    for d, i, begin, stop in settler.regions(text, at):
-                        verify(own.texts[i], text[begin:stop].tobytes(), a + d, i, begin - int(at[d]), hits)
+                    for settler in settling:
+                        for d, i, begin, stop in settler.regions(text, at):
+                            verify(whole[i], text[begin:stop].tobytes(), a + d, i, begin - int(at[d]), hits)
                 for c in range(0, len(of), 1000):
                     which = np.array(of[c : c + 1000])
                     for j in np.flatnonzero(own.lsh(windows[c : c + 1000], which)).tolist():
                         j += c
-                        verify(own.texts[of[j]], regions[j], rows[j], of[j], starts[j], hits)
+                        (begin, stop), (lo, text), item = regions[j], starts[j], int(own.whole[of[j]])
+                        verify(whole[item], text[begin:stop].tobytes(), rows[j], item, begin - lo, hits)
                 hits.sort()
                 first = [h for k, h in enumerate(hits) if k == 0 or h[:2] != hits[k - 1][:2]]  # the best place of each item
                 cols = np.array(first, np.int64).reshape(-1, 5)
@@ -377,7 +420,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", max
     for row in benchmark.where(F.col("text").isNotNull()).select(id_col, F.col("text").cast("string").alias("text")).toLocalIterator():
         raw = np.frombuffer(row["text"].strip().encode(), np.uint8)
         text = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-        if len(text) < LEAST:
+        if not text:
             continue
         if block and held + len(text) > block_bytes:
             out, block, held = out.union(scan(block)), [], 0
@@ -387,6 +430,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", max
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that leak an item; a null id can't be told and stays."""
-    bad = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows that leak an item; another text under the same id stays."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct("doc_id", F.md5(text).alias("sum"))
+    bad = leaks(docs.select(row.alias("doc_id"), "text"), benchmark, **options).select("doc_id.*").distinct().withColumnsRenamed({"doc_id": "_bad_id", "sum": "_bad_sum"})
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.md5(text) == F.col("_bad_sum")), "left_anti")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.decontaminate import Items, Settler, decontaminated, edit_search, leaks, normalise, propose
+from quillspark.llm.decontaminate import Items, decontaminated, edit_search, leaks, normalise, propose, settlers
 from tests.llm.conftest import sentence
 
 
@@ -44,7 +44,7 @@ def edited(r: random.Random, s: bytes, n: int) -> bytes:
 def test_target_recall(share, recall):
     r = random.Random(4)
     texts = [normalise(*(lambda b: (b, np.array([0, len(b)])))(np.frombuffer(sentence(900 + i, 18 + i % 30).encode(), np.uint8)))[0].tobytes() for i in range(150)]
-    items = Items.of(list(enumerate(texts)), 0.2)
+    items = Items.of(texts, 0.2)
     windows = [edited(r, t, int(share * len(t))) for t in texts]
     around = [b"some words before " + w + b" and some after it" for w in windows]
     data, offsets = np.frombuffer(b"".join(around), np.uint8), np.cumsum([0, *map(len, around)])
@@ -88,21 +88,50 @@ def test_spread_edits_are_found(spark, kind):
     rows = [(i, sentence(8200 + i, 30) + " " + spread(t, kind) + " " + sentence(8400 + i, 30)) for i, t in enumerate(items)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]) for x in leaks(frame, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
-    near = [(i, i) for i, t in enumerate(items) if len(t) >= 24 and edit_search(t.encode(), rows[i][1].lower().encode())[0] <= int(0.2 * len(t))]
+    near = [(i, i) for i, t in enumerate(items) if edit_search(t.encode(), rows[i][1].lower().encode())[0] <= int(0.2 * len(t))]
     assert len(near) >= 60 and set(near) <= got
 
 
 @pytest.mark.parametrize("max_edit", [0.05, 0.2, 0.3])
 def test_settler_equals_brute_force(max_edit):
     r = random.Random(3)
-    items = [bytes(r.choice(b"abcde ") for _ in range(r.randrange(24, 150))) for _ in range(40)]
-    texts = [b"".join(bytes(r.choice(b"abcde ") for _ in range(r.randrange(60))) + edited(r, t, r.randrange(int(max_edit * len(t)) + 3)) for t in r.sample(items, 2)) for _ in range(40)] + [b"", b"abc"]
-    settler = Settler(items, max_edit)
+    items = [bytes(r.choice(b"abcde ") for _ in range(r.randrange(1, 150))) for _ in range(60)]
+    texts = [b"".join(bytes(r.choice(b"abcde ") for _ in range(r.randrange(60))) + edited(r, t, r.randrange(min(int(max_edit * len(t)) + 3, len(t)))) for t in r.sample(items, 2)) for _ in range(40)] + [b"", b"abc"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    found = {(d, i) for d, i, a, b in settler.regions(data, offsets) if edit_search(items[i], data[a:b].tobytes())[0] <= int(max_edit * len(items[i]))}
+    found = {(d, i) for settler in settlers(items, max_edit) for d, i, a, b in settler.regions(data, offsets) if edit_search(items[i], data[a:b].tobytes())[0] <= int(max_edit * len(items[i]))}
     assert found == {(d, i) for d, t in enumerate(texts) for i, p in enumerate(items) if edit_search(p, t)[0] <= int(max_edit * len(p))}
 
 
+def test_leaks_equal_brute_force(spark):
+    """All distances up to the largest, items from one byte on, edits of every kind."""
+    r = random.Random(21)
+    items = [b"q", b"zzzz", b"vwxyz", *(bytes(r.choice(b"abcdefghij ") for _ in range(r.randrange(6, 200))).strip() or b"x" for _ in range(25))]
+    rows = []
+    for i in range(120):
+        t = items[i % len(items)]
+        rows.append((i, (bytes(r.choice(b"klmno ") for _ in range(r.randrange(50))) + edited(r, t, r.randrange(min(int(0.2 * len(t)) + 2, len(t)))) + bytes(r.choice(b"klmno ") for _ in range(r.randrange(50)))).decode()))
+    norm = lambda t: normalise(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in leaks(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), spark.createDataFrame([(i, t.decode()) for i, t in enumerate(items)], "item_id bigint, text string")).collect()}
+    want = {}
+    for d, t in rows:
+        for i, p in enumerate(items):
+            p = norm(p).strip()
+            edits = distance_to_substring(p, norm(t.encode()))
+            if edits <= int(0.2 * len(p)):
+                want[d, i] = edits
+    assert len(want) > 100 and got == want
+
+
+def test_a_very_long_item(spark):
+    """A megabyte: parts bound the tables, and an exact place needs no edit distance."""
+    r = random.Random(6)
+    long = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(95_000))
+    assert len(long) > 1_000_000
+    docs = spark.createDataFrame([(1, "gammY " + long.upper() + " after"), (2, "gamey"), (3, "nothing of it")], "doc_id bigint, text string")
+    got = leaks(docs, spark.createDataFrame([(9, long), (8, "gammy")], "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"], x["edits"]) for x in got} == {(1, 9, 0), (1, 8, 0), (2, 8, 1)}
+
+
 def test_empty(spark, docs, empty, texts):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(docs, none).count() == 0 and decontaminated(docs, none).count() == len(texts)
