@@ -212,21 +212,22 @@ class Scorer:
         order = np.argsort(keys)
         self.known, self.known_log = keys[order], logs[order].astype(np.float32)
         self.bits = max(8, (2 * len(keys)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.logs = np.full(1 << self.bits, np.nan, np.float32)
+        # key and value side by side, so that a look-up touches memory once
+        self.table = np.zeros((1 << self.bits, 2), np.uint64)
+        self.table[:, 1] = np.full(1, np.nan).view(np.uint64)
         slot = self._slot(self.known)
         _, first = np.unique(slot, return_index=True)  # one pair a slot; the rest is found by order
-        self.keys[slot[first]] = self.known[first]
-        self.logs[slot[first]] = self.known_log[first]
+        self.table[slot[first], 0] = self.known[first]
+        self.table[slot[first], 1] = self.known_log[first].astype(float).view(np.uint64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) ^ (keys >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """log10 of each pair's probability, not a number where it isn't held."""
-        slot = self._slot(keys)
-        out = self.logs[slot].astype(float)
-        miss = np.flatnonzero(self.keys[slot] != keys)
+        found = self.table.take(self._slot(keys).view(np.int64), axis=0)
+        out = found[:, 1].copy().view(float)
+        miss = np.flatnonzero(found[:, 0] != keys)
         out[miss] = np.nan
         if len(miss) and len(self.known):
             want = keys[miss]
