@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); where that is unset, a temporary
+    one on a single machine, and an error on a cluster, whose machines share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -126,10 +129,6 @@ def fold(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
 
 
-def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def binary_column(data: bytes, offsets) -> pa.Array:
     """A large_binary Arrow column over one buffer and n+1 int64 offsets, without copying each value."""
     import numpy as np
