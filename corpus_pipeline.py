@@ -4,6 +4,13 @@
 returns a DataFrame that is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents; each works on all that its
 predecessor kept.
+
+Defined cases, alike for every stage: a null text is treated as an empty one and stays
+null; empty texts have no near copies, passages or leaks and are kept unless the
+classifier rejects them; a null id is an id like others; very long texts are used whole;
+of rows that are equal in id and text one stays; rows of one id with unlike texts are
+documents of their own; ties go to the least id; empty tables give empty results; extra
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +40,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id, once."""
-    groups = link_documents(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # a row is known by its id and text, so that an id may stand for several texts
+    groups = link_documents(docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(text).alias("sum")).alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.doc_id", "doc_id.sum").distinct().withColumnsRenamed({"doc_id": "_first_id", "sum": "_first_sum"})
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first_id")) & (F.md5(text) == F.col("_first_sum")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
