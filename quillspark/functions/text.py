@@ -96,6 +96,14 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(grams)
 
 
+def shared_trigrams(text: Column, grams: list[str]) -> Column:
+    """How many of `grams` the text has: its words are laid out with their blanks and searched,
+    which builds no set of the text's own."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    laid = F.concat(F.lit("  "), F.array_join(words, "   "), F.lit(" "))
+    return F.size(F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains(laid, g))) if grams else F.lit(0)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two trigram sets."""
     both = F.size(F.array_intersect(a, b))
@@ -110,16 +118,43 @@ def natural_key(text: Column) -> Column:
 
 
 def plural_variants(term: Column) -> Column:
-    """A term with its plural by ending; none where it ends in s."""
-    n = F.length(term)
-    one = (
-        F.when(term.endswith("s"), F.array(term))
-        .when(term.rlike("[^aeiou]y$"), F.array(term, F.concat(F.substr(term, F.lit(1), n - 1), F.lit("ies"))))
-        .when(term.rlike("(x|z|ch|sh)$"), F.array(term, F.concat(term, F.lit("es"))))
-        .when(term.endswith("fe"), F.array(term, F.concat(F.substr(term, F.lit(1), n - 2), F.lit("ves")), F.concat(term, F.lit("s"))))
-        .when(term.endswith("f"), F.array(term, F.concat(F.substr(term, F.lit(1), n - 1), F.lit("ves")), F.concat(term, F.lit("s"))))
+    """A term with its plural, which its last word forms; only the term where that ends in s or
+    is no word.  What follows the last word stays behind it."""
+    word, after = F.regexp_extract(term, "([A-Za-z]+)[^A-Za-z]*$", 1), F.regexp_extract(term, "([^A-Za-z]*)$", 1)
+    head = F.substr(term, F.lit(1), F.length(term) - F.length(after))
+    low = F.lower(word)
+
+    def ending(cut: int, end: str) -> Column:
+        return F.concat(F.substr(head, F.lit(1), F.length(head) - cut), F.lit(end), after)
+
+    plural = (
+        F.when(low.rlike("(x|z|ch|sh)$"), ending(0, "es"))
+        .when(low.rlike("[^aeiou]y$"), ending(1, "ies"))
+        .when(low.endswith("fe"), ending(2, "ves"))
+        .when(low.endswith("f") & (F.length(low) > 1), ending(1, "ves"))
+        .otherwise(ending(0, "s"))
     )
-    return one.otherwise(F.array(term, F.concat(term, F.lit("s"))))
+    return F.when((word == "") | low.endswith("s"), F.array(term)).otherwise(F.array(term, plural))
+
+
+#: How structured references are written, and the kind of what they name.
+REFERENCES = {
+    "Section": r"(?i)\b(?:s|sect|section)\s*([0-9]+[A-Z]*-[0-9A-Z]+|[0-9]+[A-Z]*)\b",
+    "Division": r"(?i)\bdiv(?:ision)?\s*([0-9]+[A-Z]?)\b",
+    "Subdivision": r"(?i)\bsubdiv(?:ision)?\s*([0-9]+-[A-Z])\b",
+    "Part": r"(?i)\bpart\s*([IVXLCDM]+|[0-9A-Z\-]+)\b",
+    "RefId": r"(?i)\b([A-Z][A-Z0-9]{1,10}:\s*(?:Act|Schedule(?::\s*\d+)?|Part|Division|Subdivision|Section|Definition)\s*:\s*[A-Za-z0-9_\-:.]+)\b",
+    "LocalId": r"(?i)\b([0-9]+[A-Z]*-[0-9A-Z]+)\b",
+}
+
+
+def structured_references(text: Column) -> Column:
+    """All structured references of a text as structs (kind, value), kind by kind, in their order."""
+    def of(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(REFERENCES[kind]), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(v, r"\s*:\s*", ":").alias("value")))
+
+    found = map(of, REFERENCES)
+    return F.concat(*found)
 
 
 def minmax(value: Column, low: Column, high: Column, top: float = 100.0) -> Column:
@@ -145,3 +180,59 @@ def term_markers(text: Column) -> Column:
     """Terms that an asterisk marks, sorted: "*term" up to a sign that ends it."""
     found = F.regexp_extract_all(text, F.lit(r"(?:^|[\s(])\*([a-zA-Z0-9][a-zA-Z0-9\-]*)(?=[\s,.;:)*]|$)"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+
+
+#: The kinds of headings that have a label of their own, and its short forms.
+KINDS = {"act": "Act", "chapter": "Chapter", "part": "Part", "division": "Division", "subdivision": "Subdivision", "section": "Section", "schedule": "Schedule"}
+SHORT = {"Chapter": ["Ch"], "Part": ["Pt"], "Division": ["Div"], "Subdivision": ["Subdiv"], "Section": ["Sect", "s"], "Schedule": ["Sch"]}
+SCHEDULE_PARTS = ["part", "division", "subdivision", "section"]
+
+
+def heading_label(kind: Column, title: Column, local_id: Column, ref_id: Column) -> Column:
+    """struct(label, variants, heading) of a node: its preferred label, all forms of the label in
+    order, and the label joined with the title unless that begins with it.
+
+    `kind` is a type such as "Section" or "Schedule:1:Part"; an identifier that `local_id`
+    lacks comes from the reference or the title."""
+    identifier = r"(?i)([0-9]+[A-Z]*-[0-9A-Z]+|[0-9]+[A-Z]*|[IVXLCDM]+)"
+    name = _strip(F.coalesce(title, F.lit("")))
+    segments = F.filter(F.transform(F.split(F.coalesce(kind, F.lit("")), ":"), _strip), lambda x: x != "")
+    base = F.lower(F.coalesce(F.get(segments, F.lit(0)), F.lit("")))
+    word = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[base]
+    tail = F.element_at(F.split(F.coalesce(ref_id, F.lit("")), ":"), -1)
+    from_ref = F.when(tail.rlike(identifier), _strip(tail)).otherwise(F.regexp_extract(F.coalesce(ref_id, F.lit("")), identifier, 1))
+    own = F.coalesce(F.nullif(_strip(F.coalesce(local_id, F.lit(""))), F.lit("")), F.nullif(from_ref, F.lit("")), F.nullif(F.regexp_extract(name, identifier, 1), F.lit("")), F.lit(""))
+    schedule = _strip(F.concat_ws(" ", F.lit("Schedule"), F.get(segments, F.lit(1))))
+    brief = F.regexp_replace(schedule, "^Schedule", "Sch")
+    last = F.lower(F.when(F.size(segments) > 2, F.element_at(segments, -1)).otherwise(F.lit("")))
+    inner = F.when(last.isin(*SCHEDULE_PARTS), F.initcap(last))
+
+    def joined(*parts: Column) -> Column:
+        return _strip(F.concat_ws(" ", *parts))
+
+    def forms(w: str) -> Column:
+        made = [joined(F.lit(w), own), joined(F.lit(w.lower()), own)]
+        shorter = [f for short in SHORT.get(w, []) for f in (joined(F.lit(short), own), joined(F.lit(short.lower()), own))]
+        return F.when(own == "", F.array(*made)).otherwise(F.array(*made, *shorter))
+
+    def within(w: str) -> Column:
+        made = [joined(schedule, F.lit(w), own), joined(F.lower(schedule), F.lit(w.lower()), own)]
+        for short in SHORT[w]:
+            made += [joined(schedule, F.lit(short), own), joined(brief, F.lit(short), own), joined(F.lower(brief), F.lit(short.lower()), own)]
+        return F.array(*made, schedule, F.lower(schedule), brief, F.lower(brief))
+
+    named = F.when(name != "", name)
+    variants = F.when(base == "act", F.array(F.coalesce(named, F.lit("Act")), F.lit("Act")))
+    for w in ("Chapter", "Part", "Division", "Subdivision", "Section"):
+        variants = variants.when(word == w, forms(w))
+    for w in ("Part", "Division", "Subdivision", "Section"):
+        variants = variants.when((word == "Schedule") & (inner == w), within(w))
+    variants = variants.when(word == "Schedule", F.array(schedule, F.lower(schedule), brief, F.lower(brief)))
+    given = F.when(_strip(F.coalesce(ref_id, F.lit(""))) != "", _strip(ref_id))
+    # guides, operative provisions, definitions and unknown kinds go by their title
+    plain = F.coalesce(named, F.nullif(own, F.lit("")), given, F.lit("Provision"))
+    variants = F.array_distinct(F.array_compact(F.concat(variants.otherwise(F.array(plain)), F.array(given))))
+    label = F.get(variants, F.lit(0))
+    begins = F.substr(F.lower(name), F.lit(1), F.length(label)) == F.lower(label)
+    heading = F.when(name == "", label).when(begins, name).otherwise(F.concat(label, F.lit(" — "), name))
+    return F.struct(label.alias("label"), variants.alias("variants"), heading.alias("heading"))

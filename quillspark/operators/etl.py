@@ -5,31 +5,46 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import document_snippet, plural_variants
+
 # Fixed values that decide results.
 EMBED_CHARS, EMBED_OVERLAP, BREAK_FROM = 2200, 350, 0.6
 PACK_FROM, PACK_TO = 8000, 2000
 
 
-def split_for_embedding(text: str, size: int = EMBED_CHARS, overlap: int = EMBED_OVERLAP, compat: bool = True) -> list[str]:
-    """Chunks of at most `size`, broken at the last blank after 60 % of it.  With `compat` the
-    next chunk starts one character before the last one's end, whatever the overlap."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            blank = text.rfind(" ", start + int(size * BREAK_FROM), end)
-            end = blank if blank > start else end
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= n:
-            break
-        back = min(overlap, 1) if compat else min(overlap, end - start - 1)
-        start = max(end - back, start + 1)
+def embedding_cuts(texts: list[str], size: int = EMBED_CHARS, overlap: int = EMBED_OVERLAP, compat: bool = True) -> list[list[str]]:
+    """The chunks of each text of a batch, stripped: at most `size` characters, up to the last
+    blank behind 60 % of that.  With `compat` neighbours share one character whatever the
+    overlap (none if that is 0), as the loads that this engine must equal were made.
+
+    All texts of a batch advance together, one cut a round: a blank is looked up in a table
+    of the last blank at or before each place."""
+    texts = [t.strip() for t in texts]
+    if size <= 0:
+        return [[t] if t else [] for t in texts]
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    base = np.cumsum([0, *map(len, texts)])
+    length = np.diff(base)
+    blank = np.maximum.accumulate(np.where(flat == 32, np.arange(len(flat)), -1)) if len(flat) else flat
+    shared = min(overlap, 1) if compat else overlap
+    out: list[list[str]] = [[] for _ in texts]
+    going, start = np.flatnonzero(length > 0), np.zeros(len(texts), np.int64)
+    while len(going):
+        begin, n, at = start[going], length[going], base[going]
+        end = np.minimum(begin + size, n)
+        near = blank[at + end - 1] - at
+        end = np.where((end < n) & (near >= begin + int(size * BREAK_FROM)) & (near > begin), near, end)
+        for i, x, y in zip(going.tolist(), begin.tolist(), end.tolist(), strict=True):
+            piece = texts[i][x:y].strip()
+            if piece:
+                out[i].append(piece)
+        start[going] = np.maximum(end - np.minimum(shared, end - begin - 1), begin + 1)
+        going = going[end < n]
     return out
 
 
@@ -59,28 +74,42 @@ def pack_blocks(text: str, least: int = PACK_FROM, most: int = PACK_TO) -> list[
 
 
 def _exploded(docs: DataFrame, cut) -> DataFrame:
+    """One row a chunk; `cut` takes the texts of a batch."""
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, c, len(c)) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if t for i, c in enumerate(cut(t))]
+            rows = [(d, i, c, len(c)) for d, chunks in zip(batch["doc_id"], cut([t or "" for t in batch["text"]]), strict=True) for i, c in enumerate(chunks)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk", "n_chars"])
 
     return docs.mapInPandas(run, "doc_id bigint, chunk_index int, chunk string, n_chars bigint")
 
 
 def embedding_chunks(docs: DataFrame, compat: bool = True) -> DataFrame:
-    return _exploded(docs, lambda t: split_for_embedding(t, compat=compat))
+    return _exploded(docs, lambda texts: embedding_cuts(texts, compat=compat))
 
 
 def pack_markdown(docs: DataFrame) -> DataFrame:
-    return _exploded(docs, pack_blocks)
+    return _exploded(docs, lambda texts: [pack_blocks(t) if t else [] for t in texts])
+
+
+def first_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, title, snippet, first): documents with the first of their chunks (doc_id,
+    chunk_index, chunk); one without chunks isn't there."""
+    first = chunks.where("chunk_index = 0").select("doc_id", F.col("chunk").alias("first"))
+    return docs.join(first, "doc_id").select("doc_id", "title", document_snippet(F.col("first")).alias("snippet"), "first")
+
+
+def search_documents(docs: DataFrame, chunks: DataFrame, query: str, limit: int, offset: int) -> DataFrame:
+    """A page by title of the documents whose title or first chunk contains the query (all for a
+    blank one), with the number of all hits.  The query's wildcards are not escaped."""
+    found, pattern = first_chunks(docs, chunks), f"%{query.strip()}%"
+    if query.strip():
+        found = found.where(F.ilike("title", F.lit(pattern)) | F.ilike("first", F.lit(pattern)))
+    total = found.agg(F.count("*").alias("total"))
+    page = found.orderBy("title", "doc_id").offset(max(offset, 0)).limit(max(limit, 1))
+    return page.select("doc_id", "title", "snippet").crossJoin(F.broadcast(total))
 
 
-def document_page(docs: DataFrame, pattern: str, limit: int, offset: int) -> DataFrame:
-    """A page by title, with the number of all hits.  The pattern's wildcards are not escaped."""
-    hits = docs.where(F.ilike("text", F.lit(f"%{pattern}%"))).select("doc_id", "title")
-    total = hits.agg(F.count("*").alias("total"))
-    page = hits.orderBy("title", "doc_id").offset(max(offset, 0)).limit(min(max(limit, 1), 100))
-    return page.crossJoin(F.broadcast(total))
 
 
 def salvaged(answer: Column, fields: str) -> Column:
@@ -92,16 +121,14 @@ def salvaged(answer: Column, fields: str) -> Column:
     return F.array_distinct(F.filter(F.when(valid, whole).otherwise(single), lambda o: o.isNotNull()))
 
 
-def compile_terms(terms: list[str]) -> tuple[re.Pattern[str], dict[str, str]]:
-    """One alternation of all terms with their plurals, longest first, and the canonical form of each."""
+def compile_terms(forms_of: list[tuple[str, list[str]]]) -> tuple[re.Pattern[str], dict[str, str]]:
+    """One alternation of all terms with their other forms (term, forms), longest first, and the
+    term that each form stands for."""
     forms: dict[str, str] = {}
-    for term in terms:
-        if sum(c.isalnum() for c in term) < 2:
-            continue
-        low = term.lower()
-        ends = [low] if low.endswith("s") else [low, low + "s", *([low[:-1] + "ies"] if re.search("[^aeiou]y$", low) else []), *([low + "es"] if re.search("(x|z|ch|sh)$", low) else [])]
-        for form in ends:
-            forms.setdefault(form, term)
+    for term, variants in forms_of:
+        if sum(c.isalnum() for c in term) > 1:
+            for form in variants:
+                forms.setdefault(form.lower(), term)
     longest = sorted(forms, key=lambda t: (-len(t), t))
     body = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in longest) or r"(?!)"
     return re.compile(rf"\[[^\]]*\]\([^)]*\)|(?<![^\W_])({body})(?![^\W_])", re.I), forms
@@ -114,8 +141,9 @@ def tag(text: str, pattern: re.Pattern[str], forms: dict[str, str]) -> list[str]
 
 
 def tag_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms): texts with the terms of a stated dictionary; the pattern is compiled once a worker."""
-    pattern, forms = compile_terms(terms)
+    """(doc_id, terms): texts with the terms of a stated dictionary and their plurals."""
+    listed = docs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    pattern, forms = compile_terms([tuple(r) for r in listed.select("term", plural_variants(F.col("term"))).collect()])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

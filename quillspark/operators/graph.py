@@ -2,14 +2,17 @@
 
 Iterations write each round (or every few) to the shared folder, so plans stay short
 and a lost executor costs nothing.
+
+Provisions that use a term are all neighbours of each other, which would be quadratic as
+edges.  :class:`Mixed` keeps such a clique as a star: a step collects what a term's users
+hold, hands it back to them and takes each one's own share off, which is the same product
+with the same numbers and as many rows as there are uses.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ GAMMA_BASELINE, GAMMA_QUERY = 0.50, 0.55
 PAGERANK_DAMPING = 0.85
 PER_TERM = 200
 EPS, TOP = 1e-6, 200
+BASELINE_ROUNDS, PAGERANK_ROUNDS, DIFFUSION_ROUNDS = 50, 100, 20
 LOCAL_NODES, LOCAL_EDGES, NEIGHBOURS = 5000, 40000, 80
 
 
@@ -50,9 +54,22 @@ def term_idf(terms: DataFrame) -> DataFrame:
     return by.withColumn("idf", F.greatest(F.lit(0.2), F.least(F.lit(2.0), 1 / F.log(1.0 + F.col("df")))))
 
 
+def term_uses(terms: DataFrame) -> DataFrame:
+    """(id, term, df, idf): one row a provision and term."""
+    users = terms.select(F.lower(F.trim("term_text")).alias("term"), F.col("source_internal_id").alias("id")).distinct()
+    return users.join(term_idf(terms), "term").select("id", "term", "df", "idf")
+
+
+def term_links(terms: DataFrame) -> DataFrame:
+    """(id, terms, links, w): a provision's row of the co-usage matrix, summed up: the pairs it
+    forms with other users of its terms, and their weight."""
+    return term_uses(terms).groupBy("id").agg(F.count("*").alias("terms"), F.sum(F.col("df") - 1).alias("links"), F.sum(F.col("idf") * (F.col("df") - 1)).alias("w"))
+
+
 def term_cooccurrence(terms: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     """(a, b, terms, w), a < b: provisions that share terms, over the first `per_term` users of
-    each term by id.  The bound is the operator's own and keeps pairs at per_term**2 / 2 a term."""
+    each term by id.  For the local graph of a query, whose size is bounded; the whole graph
+    needs no pairs (see :class:`Mixed`)."""
     users = terms.select(F.lower(F.trim("term_text")).alias("term"), F.col("source_internal_id").alias("id")).distinct()
     # two steps: the least of each bucket, then of the term, so a term used everywhere is no hot task
     bucket = Window.partitionBy("term", "bucket").orderBy("id")
@@ -63,133 +80,141 @@ def term_cooccurrence(terms: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     return left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("terms"), F.sum("idf").alias("w"))
 
 
-def mixed(p: DataFrame, refs: DataFrame, terms: DataFrame, per_term: int = PER_TERM) -> DataFrame:
-    """(src, dst, p): the views' edges, weighted, added up and normalised by row; a node
-    without edges loops."""
-    term = term_cooccurrence(terms, per_term).select("a", "b", "w")
-    both = term.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(term.select("b", "a", "w"))
-    known = p.select(F.col("internal_id").alias("dst"))
-    views = [citation_edges(refs).withColumn("w", F.col("w") * WEIGHT["cit"]), hierarchy_edges(p).withColumn("w", F.col("w") * WEIGHT["hier"]), both.withColumn("w", F.col("w") * WEIGHT["term"])]
-    edges = views[0].union(views[1]).union(views[2]).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    total = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    rows = edges.join(total, "src").where("total > 0").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
-    alone = known.join(total.where("total > 0").select(F.col("src").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("src"), "dst", F.lit(1.0).alias("p"))
-    return rows.union(alone)
-
-
-def power_iteration(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int, every: int = 4) -> DataFrame:
-    """(id, pi): `rounds` rounds of pi' = (1 - gamma) / n + gamma * pi P from the uniform start.
-
-    edges: (src, dst, p) with rows that sum to one."""
-    ids = saved(nodes.select("id").distinct())
-    n = ids.count()
-    edges = saved(edges.select("src", "dst", "p"))
-    pi = ids.withColumn("pi", F.lit(1.0 / max(n, 1)))
+@dataclass
+class Mixed:
+    """The weighted views of a corpus as tables.
+
+    ``links`` (id, node, term, p, gate): where a node's mass goes.  To another node with the
+    share p; to a term with 1 / total, which ``uses`` (id, term, w) hands on to all users; and
+    back from itself with the negative share that its own use of a term would return.  `gate`
+    is the share that a single neighbour gets.  A node without neighbours links to itself."""
+
+    nodes: DataFrame
+    links: DataFrame
+    uses: DataFrame
+
+    @staticmethod
+    def of(p: DataFrame, refs: DataFrame, terms: DataFrame) -> Mixed:
+        nodes = saved(p.select(F.col("internal_id").alias("id")).distinct())
+        views = citation_edges(refs).withColumn("w", F.col("w") * WEIGHT["cit"]).union(hierarchy_edges(p).withColumn("w", F.col("w") * WEIGHT["hier"]))
+        uses = term_uses(terms).where("df > 1").select("id", "term", (WEIGHT["term"] * F.col("idf")).alias("w"), "df")
+        return Mixed._linked(nodes, views, saved(uses.join(nodes, "id", "left_semi")))
+
+    @staticmethod
+    def plain(nodes: DataFrame, edges: DataFrame) -> Mixed:
+        """A graph of (src, dst, w) edges alone."""
+        nodes = saved(nodes.select("id").distinct())
+        none = nodes.select("id", F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("df")).limit(0)
+        return Mixed._linked(nodes, edges, none)
+
+    @staticmethod
+    def _linked(nodes: DataFrame, edges: DataFrame, uses: DataFrame) -> Mixed:
+        known = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        direct = saved(known.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0").select(F.col("src").alias("id"), F.col("dst").alias("node"), "w"))
+        weights = direct.select("id", "w").union(uses.select("id", F.col("w") * (F.col("df") - 1)))
+        totals = saved(weights.groupBy("id").agg(F.sum("w").alias("total")).where("total > 0"))
+        share, none = F.col("w") / F.col("total"), F.lit(None).cast("string")
+        to_node = direct.join(totals, "id").select("id", "node", none.alias("term"), share.alias("p"), share.alias("gate"))
+        using = uses.join(totals, "id")
+        to_term = using.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("node"), "term", (1 / F.col("total")).alias("p"), share.alias("gate"))
+        back = using.select("id", F.col("id").alias("node"), none, -share, share)
+        alone = nodes.join(totals, "id", "left_anti").select("id", F.col("id").alias("node"), none, F.lit(1.0), F.lit(1.0))
+        return Mixed(nodes, saved(to_node.union(to_term).union(back).union(alone)), saved(uses.select("id", "term", "w")))
+
+    def step(self, held: DataFrame, *keys: str, least: float = 0.0) -> DataFrame:
+        """(keys, id, x): what each node gets when every node passes its x of `held` (keys, id, x) on.
+        With `least`, what a single neighbour would get below that is dropped."""
+        moved = held.join(self.links, "id")
+        if least:
+            moved = moved.where(F.col("x") * F.col("gate") >= least)
+        got = moved.groupBy(*keys, "node", "term").agg(F.sum(F.col("x") * F.col("p")).alias("x"))
+        direct = got.where("term IS NULL").select(*keys, F.col("node").alias("id"), "x")
+        shared = got.where("term IS NOT NULL").select(*keys, "term", "x").join(self.uses, "term").select(*keys, "id", (F.col("x") * F.col("w")).alias("x"))
+        return direct.union(shared).groupBy(*keys, "id").agg(F.sum("x").alias("x"))
+
+    def rows(self) -> DataFrame:
+        """(src, dst, via, p): the transition matrix; a row through a term (via = 'term', dst = its
+        text) stands for equal shares to the term's other users.  Rows of a node sum to one."""
+        users = self.uses.groupBy("term").agg(F.count("*").alias("n"))
+        star = self.links.where("term IS NOT NULL").join(users, "term").select(F.col("id").alias("src"), F.col("term").alias("dst"), F.lit("term").alias("via"), (F.col("gate") * (F.col("n") - 1)).alias("p"))
+        via = F.when(F.col("id") == F.col("node"), "self").otherwise("edge")
+        return self.links.where("term IS NULL AND p > 0").select(F.col("id").alias("src"), F.col("node").alias("dst"), via.alias("via"), "p").union(star)
+
+
+def power_iteration(graph: Mixed, gamma: float, rounds: int = BASELINE_ROUNDS, tolerance: float = 1e-14, every: int = 5) -> DataFrame:
+    """(id, pi): pi' = (1 - gamma) / n + gamma * pi P from the uniform start, normalised at the
+    end; `rounds` rounds, or fewer if one (each `every`-th is looked at) changes less than `tolerance` altogether."""
+    ids = graph.nodes
+    n = max(ids.count(), 1)
+    pi = ids.withColumn("x", F.lit(1.0 / n))
     for k in range(rounds):
-        flow = edges.join(pi, edges.src == pi.id).groupBy("dst").agg(F.sum(F.col("p") * F.col("pi")).alias("got"))
-        pi = ids.join(flow, ids.id == flow.dst, "left").select("id", ((1 - gamma) / max(n, 1) + gamma * F.coalesce("got", F.lit(0.0))).alias("pi"))
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            pi = saved(pi)
-    return pi
+        last = pi
+        flow = graph.step(pi).withColumnRenamed("x", "got")
+        pi = saved(ids.join(flow, "id", "left").select("id", ((1 - gamma) / n + gamma * F.coalesce("got", F.lit(0.0))).alias("x")))
+        if (k + 1) % every == 0:
+            moved = pi.join(last.withColumnRenamed("x", "before"), "id").agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                break
+    total = pi.agg(F.sum("x")).first()[0] or 1.0
+    return pi.select("id", (F.col("x") / F.lit(total)).alias("pi"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = PAGERANK_DAMPING, rounds: int = 10, every: int = 4) -> DataFrame:
-    """(id, rank): PageRank over (src, dst); what ends in nodes without outgoing edges is spread evenly."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = PAGERANK_DAMPING, rounds: int = PAGERANK_ROUNDS, tolerance: float = 1e-13, every: int = 5) -> DataFrame:
+    """(id, rank): PageRank over (src, dst); what ends in nodes without outgoing edges is spread
+    evenly.  Ends when a round (each `every`-th is looked at) changes less than `tolerance` altogether."""
     ids = saved(nodes.select("id").distinct())
     n = ids.count()
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     steps = saved(edges.join(out, "src").select("src", "dst", (1 / F.col("deg")).alias("p")))
     ends = saved(ids.join(out, ids.id == out.src, "left_anti"))
-    rank = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    rank = before = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
         flow = steps.join(rank, steps.src == rank.id).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         lost = rank.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         rank = ids.join(flow, ids.id == flow.dst, "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            rank = saved(rank)
+        rank = saved(rank)
+        if (k + 1) % every == 0:
+            moved = rank.join(before.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                break
+        before = rank
     return rank
 
 
-def diffuse(seeds: DataFrame, edges: DataFrame, gamma: float, rounds: int, every: int = 3) -> DataFrame:
+def diffuse(seeds: DataFrame, graph: Mixed, gamma: float, rounds: int = DIFFUSION_ROUNDS, every: int = 3) -> DataFrame:
     """(seed, id, mass): personalised diffusion by `rounds` exact steps, for many seeds at once.
 
-    seeds: (seed, id, w) with weights that sum to one a seed; edges: (src, dst, p)."""
-    edges = saved(edges.select("src", "dst", "p"))
-    start = saved(seeds.select("seed", "id", F.col("w").alias("r")))
-    step, mass = start, start.select("seed", "id", (F.lit(1 - gamma) * F.col("r")).alias("mass"))
+    seeds: (seed, id, w) with weights that sum to one a seed."""
+    step = saved(seeds.select("seed", "id", F.col("w").alias("x")))
+    mass = step.select("seed", "id", (F.lit(1 - gamma) * F.col("x")).alias("mass"))
     for k in range(rounds):
-        step = step.join(edges, step.id == edges.src).groupBy("seed", "dst").agg((F.lit(gamma) * F.sum(F.col("r") * F.col("p"))).alias("r")).select("seed", F.col("dst").alias("id"), "r")
-        if (k + 1) % every == 0:
-            step = saved(step)
+        step = saved(graph.step(step, "seed").withColumn("x", gamma * F.col("x")))
         share = 1.0 if k + 1 == rounds else 1 - gamma
-        mass = mass.union(step.select("seed", "id", (F.lit(share) * F.col("r")).alias("mass")))
+        mass = mass.union(step.select("seed", "id", (F.lit(share) * F.col("x")).alias("mass")))
         if (k + 1) % every == 0:
             mass = saved(mass.groupBy("seed", "id").agg(F.sum("mass").alias("mass")))
     return mass.groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
 
 
-def push(adjacency: dict[str, list[tuple[str, float]]], seeds: dict[str, float], gamma: float, eps: float, top: int) -> tuple[list[tuple[str, float]], float]:
-    """Forward push in first-in, first-out order: increments under eps are dropped, a node that
-    isn't in the graph loops.  The `top` masses (ties by id) and their sum."""
-    mass: dict[str, float] = {}
-    rest = dict(seeds)
-    queue = deque(n for n, w in seeds.items() if w >= eps)
-    while queue:
-        node = queue.popleft()
-        amount = rest.get(node, 0.0)
-        if amount < eps:
-            continue
-        rest[node] = 0.0
-        mass[node] = mass.get(node, 0.0) + (1 - gamma) * amount
-        for other, share in adjacency.get(node) or [(node, 1.0)]:
-            more = gamma * amount * share
-            if more < eps:
-                continue
-            before = rest.get(other, 0.0)
-            rest[other] = before + more
-            if before < eps <= before + more:
-                queue.append(other)
-    best = sorted(mass.items(), key=lambda x: (-x[1], x[0]))[:top]
-    return best, sum(m for _, m in best)
-
-
-#: Adjacency rows that a broadcast may hold; a larger graph is diffused by joins.
-PUSH_EDGES = 5_000_000
-
-
-def push_seeds(seeds: DataFrame, edges: DataFrame, gamma: float = GAMMA_BASELINE, eps: float = EPS, top: int = TOP) -> DataFrame:
-    """(seed, id, mass, captured) by forward push, one queue a seed, seeds in parallel.
-
-    The adjacency is broadcast after its size is checked; beyond the bound
-    :func:`diffuse` gives the masses by joins."""
-    edges = saved(edges.select("src", "dst", "p"))
-    if edges.count() > PUSH_EDGES:
-        masses = diffuse(seeds.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("w")), edges, gamma, 20)
-        order = Window.partitionBy("seed").orderBy(F.desc("mass"), "id")
-        best = masses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r")
-        return best.withColumn("captured", F.sum("mass").over(Window.partitionBy("seed")))
-    adjacency: dict[str, list[tuple[str, float]]] = {}
-    for r in edges.orderBy("src", "dst").toLocalIterator():
-        adjacency.setdefault(r["src"], []).append((r["dst"], r["p"]))
-    shipped = seeds.sparkSession.sparkContext.broadcast(adjacency)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for seed in batch["seed"]:
-                best, captured = push(shipped.value, {seed: 1.0}, gamma, eps, top)
-                rows += [(seed, n, m, captured) for n, m in best]
-            yield pd.DataFrame(rows, columns=["seed", "id", "mass", "captured"])
-
-    return seeds.select("seed").mapInPandas(run, "seed string, id string, mass double, captured double")
-
-
-def fingerprints(masses: DataFrame, top: int = TOP) -> DataFrame:
-    """(seed, neighbors, captured): the top masses; the seed leaves after they are ranked and summed."""
-    order = Window.partitionBy("seed").orderBy(F.desc("mass"), "id")
-    best = masses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
-    pair = F.when(F.col("id") != F.col("seed"), F.struct("r", F.col("id").alias("prov_id"), F.col("mass").alias("ppr_mass")))
-    return best.groupBy("seed").agg(F.array_sort(F.collect_list(pair)).alias("ranked"), F.sum("mass").alias("captured")).select("seed", F.transform("ranked", lambda x: F.struct(x["prov_id"].alias("prov_id"), x["ppr_mass"].alias("ppr_mass"))).alias("neighbors"), "captured")
+def push_masses(seeds: DataFrame, graph: Mixed, gamma: float = GAMMA_BASELINE, eps: float = EPS) -> DataFrame:
+    """(seed, id, mass) by forward push, in rounds of joins at every size of the graph.
+
+    A round takes every (seed, node) whose residual is `eps` or more: the node keeps
+    ``1 - gamma`` of it and passes the rest on, except for shares below `eps`.  A seed pushes
+    at most ``1 / ((1 - gamma) * eps)`` times, so its rows are bounded whatever the graph.
+
+    seeds: (seed, id, w)."""
+    rest = saved(seeds.select("seed", "id", F.col("w").alias("x")))
+    settled = None
+    while rest.where(F.col("x") >= eps).limit(1).count():
+        ready = rest.where(F.col("x") >= eps)
+        mass = ready.select("seed", "id", ((1 - gamma) * F.col("x")).alias("mass"))
+        settled = mass if settled is None else settled.union(mass)
+        more = graph.step(ready.withColumn("x", gamma * F.col("x")), "seed", least=eps).where("x > 0")
+        rest = saved(rest.where(F.col("x") < eps).union(more.select("seed", "id", "x")).groupBy("seed", "id").agg(F.sum("x").alias("x")))
+    if settled is None:
+        return rest.select("seed", "id", F.col("x").alias("mass")).limit(0)
+    return settled.groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
 
 
 def within_hops(seeds: DataFrame, refs: DataFrame, hops: int) -> DataFrame:
@@ -205,14 +230,82 @@ def within_hops(seeds: DataFrame, refs: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def closure(start: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, id): all that `start` (root, id) reaches over (src, dst), itself included.  Cycles
-    end because a round keeps only pairs that are new."""
-    seen = saved(start.select("root", "id").distinct())
-    front = seen
-    for _ in range(most):
+    end because a round keeps only pairs that are new; it goes on until there are none."""
+    front = saved(start.select("root", "id").distinct())
+    fronts = [front]
+    while True:
+        seen = fronts[0]
+        for f in fronts[1:]:
+            seen = seen.union(f)
         front = saved(front.join(edges, front.id == edges.src).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"))
         if not front.limit(1).count():
-            break
-        seen = saved(seen.union(front))
-    return seen
+            return seen
+        fronts.append(front)
+        if len(fronts) > 16:  # a long chain: keep plans short
+            fronts = [saved(seen.union(front))]
+
+
+def local_edges(graph_nodes: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """(src, dst, w): the weighted edges of a query's local graph `graph_nodes` (id), with the
+    semantic view (a, b, sim) if there is one; at most ``LOCAL_EDGES``, the heaviest."""
+    def inside(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(F.broadcast(graph_nodes.select(F.col("id").alias(c))), c, "left_semi")
+        return df
+
+    own = p.join(graph_nodes.select(F.col("id").alias("internal_id")), "internal_id", "left_semi")
+    pairs = term_cooccurrence(inside(terms, "source_internal_id")).select("a", "b", (WEIGHT["term"] * F.col("w")).alias("w"))
+    if similar is not None:
+        pairs = pairs.union(inside(similar, "a", "b").select("a", "b", WEIGHT["sem"] * F.greatest("sim", F.lit(0.0))))
+    views = inside(citation_edges(refs), "src", "dst").select("src", "dst", WEIGHT["cit"] * F.col("w")).union(inside(hierarchy_edges(own), "src", "dst").select("src", "dst", WEIGHT["hier"] * F.col("w")))
+    views = views.union(pairs.select("a", "b", "w")).union(pairs.select("b", "a", "w"))
+    edges = views.toDF("src", "dst", "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return edges.orderBy(F.desc("w"), "src", "dst").limit(LOCAL_EDGES)
+
+
+def local_nodes(seeds: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, hop): what `seeds` (id) reach in `hops` steps over citations (either way), parents,
+    children, adjacent siblings, and at most ``NEIGHBOURS`` users of a shared term; at most
+    ``LOCAL_NODES``, the nearest, then the least ids."""
+    side = adjacent_siblings(p)
+    links = refs.where("target_internal_id IS NOT NULL").select(F.col("source_internal_id").alias("a"), F.col("target_internal_id").alias("b"))
+    links = links.union(p.where("parent_internal_id IS NOT NULL").select("internal_id", "parent_internal_id")).union(side).distinct()
+    both = saved(links.union(links.select("b", "a")).toDF("a", "b").distinct())
+    users = saved(term_uses(terms).select("id", "term"))
+    seen = saved(seeds.select("id", F.lit(0).alias("hop")).distinct())
+    front = seen
+    for hop in range(1, hops + 1):
+        reached = both.join(F.broadcast(front.select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id"))
+        shared = users.join(front.select("id"), "id", "left_semi").select("term").distinct()
+        # the least users of each term: of each bucket first, so that a hot term is no hot task
+        near = users.join(F.broadcast(shared), "term").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64)))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("term", "bucket").orderBy("id"))).where(F.col("r") <= NEIGHBOURS)
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("id"))).where(F.col("r") <= NEIGHBOURS).select("id")
+        front = saved(reached.union(near).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        seen = seen.union(front)
+    return saved(seen.orderBy("hop", "id").limit(LOCAL_NODES))
+
+
+def local_fingerprint(seeds: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """(seed, id, mass): weighted seeds (id, w) pushed together over their local graph, as a
+    search does for seeds without a stored fingerprint."""
+    nodes = local_nodes(seeds, p, refs, terms)
+    graph = Mixed.plain(nodes, local_edges(nodes, p, refs, terms, similar))
+    return push_masses(seeds.select(F.lit("q").alias("seed"), "id", "w"), graph, GAMMA_QUERY)
+
+
+def stored_or_pushed(seeds: DataFrame, stored: DataFrame, graph: Mixed, gamma: float = GAMMA_BASELINE, eps: float = EPS) -> DataFrame:
+    """(seed, id, mass) of `seeds` (seed): read from `stored` fingerprints where there are some,
+    pushed for the others (a read-through cache; the caller publishes what is new)."""
+    hit = stored.join(seeds.select("seed"), "seed", "left_semi").select("seed", "id", "mass")
+    missing = seeds.join(stored.select("seed").distinct(), "seed", "left_anti").select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("w"))
+    return hit.union(push_masses(missing, graph, gamma, eps))
+
+
+def top_masses(masses: DataFrame, top: int = TOP) -> DataFrame:
+    """(seed, id, mass, r, captured): the `top` masses of each seed (ties, to 12 digits, by id) and their sum."""
+    order = Window.partitionBy("seed").orderBy(F.desc(F.round("mass", 12)), "id")
+    best = masses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+    return best.withColumn("captured", F.sum("mass").over(Window.partitionBy("seed")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,21 @@ def definitions_of(terms: DataFrame, p: DataFrame) -> DataFrame:
     return grouped.join(body, "definition_internal_id")
 
 
+def definition_references(terms: DataFrame, refs: DataFrame, p: DataFrame) -> DataFrame:
+    """(source_internal_id, definition_internal_id, target_ref_id, target_internal_id, snippet,
+    target_title): what the definitions that a provision uses refer to themselves."""
+    used = terms.where("definition_internal_id IS NOT NULL").select("source_internal_id", "definition_internal_id").distinct()
+    own = references_to(refs, p).withColumnRenamed("source_internal_id", "definition_internal_id")
+    return used.join(own, "definition_internal_id").select("source_internal_id", "definition_internal_id", "target_ref_id", "target_internal_id", "snippet", "target_title")
+
+
+def child_rows(p: DataFrame) -> DataFrame:
+    """(parent_internal_id, place, internal_id, title, type): children without definitions in sibling order."""
+    order = [F.asc_nulls_last("sibling_order"), F.asc("internal_id")]
+    own = p.where("parent_internal_id IS NOT NULL").where((F.lower("type") != "definition") & ~F.col("ref_id").like("%:Definition:%"))
+    return own.select("parent_internal_id", F.row_number().over(Window.partitionBy("parent_internal_id").orderBy(*order)).alias("place"), "internal_id", "title", "type")
+
+
 def etag(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in parts)), 256)
 

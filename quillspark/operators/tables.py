@@ -13,9 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where none is."""
+    """The folder that all executors share; where none is set, a temporary one on a single machine
+    and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -53,8 +56,15 @@ def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, version: int, partition: str = "act_id") -> None:
-    """One more version of a table; readers follow the version pointer, so the switch is atomic."""
-    df.withColumn("graph_version", F.lit(version)).write.partitionBy("graph_version", partition).mode("append").parquet(path)
+    """A version of a table, in the place of what an earlier run of that version left for the same
+    partitions; other versions and partitions stay, and readers ask for theirs."""
+    rows = df.withColumn("graph_version", F.lit(version))
+    rows.write.option("partitionOverwriteMode", "dynamic").partitionBy("graph_version", partition).mode("overwrite").parquet(path)
+
+
+def purge(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key isn't in `gone`; rows without a key stay."""
+    return df.join(gone.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL").distinct(), F.col(key) == F.col("_gone"), "left_anti")
 
 
 def at_version(spark: SparkSession, path: str, version: int) -> DataFrame:

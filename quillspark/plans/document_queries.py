@@ -58,11 +58,16 @@ def embedding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.embedding_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@register("SELECT doc_id, substr(text, 1, 40) AS title, count(*) OVER () AS total FROM documents WHERE text ILIKE '%tion%the%' ORDER BY title, doc_id LIMIT 20 OFFSET 5")
+@register(
+    """WITH d AS (SELECT doc_id, substr(text, 1, 40) AS title, substr(text, 1, 1800) AS first FROM documents WHERE trim(text) <> '')
+SELECT doc_id, title, count(*) OVER () AS total FROM d WHERE title ILIKE '%tion%the%' OR first ILIKE '%tion%the%' ORDER BY title, doc_id LIMIT 20 OFFSET 5"""
+)
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of documents that contain a pattern (the user's wildcards count), by title."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), "text")
-    return E.document_page(docs, "tion%the", 20, 5)
+    """A page of documents by title and first chunk (the user's wildcards count)."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    titled = docs.select("doc_id", F.substring("text", 1, 40).alias("title"))
+    return E.search_documents(titled, chunks, "tion%the", 20, 5).select("doc_id", "title", "total")
 
 
 @register("SELECT page_id, url, sha256(html) AS digest FROM pages WHERE page_id >= 10 UNION ALL SELECT page_id, url, sha256(html) FROM pages WHERE page_id < 5")
@@ -89,10 +94,12 @@ def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("event_id", F.explode("objects").alias("o"), "event_type").select("event_id", F.col("o.k").alias("k"), F.col("event_type").alias("ref_id"))
 
 
-@register("SELECT term, array_to_string(CASE WHEN term LIKE '%s' THEN [term] WHEN regexp_matches(term, '[^aeiou]y$') THEN [term, left(term, -1) || 'ies'] WHEN regexp_matches(term, '(x|z|ch|sh)$') THEN [term, term || 'es'] WHEN term LIKE '%fe' THEN [term, left(term, -2) || 'ves', term || 's'] WHEN term LIKE '%f' THEN [term, left(term, -1) || 'ves', term || 's'] ELSE [term, term || 's'] END, ',') AS variants FROM (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT unnest(['policy', 'box', 'knife', 'half', 'loss', 'day']))")
+@register("""SELECT term, array_to_string(CASE WHEN term LIKE '%s' THEN [term] WHEN regexp_matches(term, '(x|z|ch|sh)$') THEN [term, term || 'es'] WHEN regexp_matches(term, '[^aeiou]y$') THEN [term, left(term, -1) || 'ies']
+  WHEN term LIKE '%fe' THEN [term, left(term, -2) || 'ves'] WHEN term LIKE '_%f' THEN [term, left(term, -1) || 'ves'] ELSE [term, term || 's'] END, ',') AS variants
+FROM (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT unnest(['policy', 'box', 'knife', 'half', 'loss', 'day', 'capital gain', 'wharf', 'church']))""")
 def plural_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
-    more = spark.createDataFrame([(w,) for w in ("policy", "box", "knife", "half", "loss", "day")], "term string")
+    more = spark.createDataFrame([(w,) for w in ("policy", "box", "knife", "half", "loss", "day", "capital gain", "wharf", "church")], "term string")
     return words.union(more).distinct().select("term", F.array_join(X.plural_variants(F.col("term")), ",").alias("variants"))
 
 
@@ -112,10 +119,15 @@ def citation_token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("token", F.col("p.act").alias("act"), F.col("p.section").alias("section"), F.array_join("p.terms", "|").alias("terms"))
 
 
-@register("SELECT doc_id, list_transform(regexp_extract_all(lower(text), '([0-9]+)-([0-9]+)'), lambda x: 's ' || x)[1] AS first_ref, len(regexp_extract_all(lower(text), '([0-9]+)-([0-9]+)')) AS n_refs FROM documents")
+_REFS = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(ascii, '{pattern}', 1)) AS value FROM t" for kind, pattern in X.REFERENCES.items())
+
+
+@register(f"WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS ascii FROM documents) SELECT doc_id, kind, regexp_replace(value, '\\s*:\\s*', ':', 'g') AS value, count(*) AS n FROM ({_REFS}) GROUP BY 1, 2, 3")
 def structured_ref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all(F.lower("text"), F.lit("([0-9]+-[0-9]+)"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s "), F.get(found, F.lit(0))).alias("first_ref"), F.size(found).cast("long").alias("n_refs"))
+    """All six kinds of references in every document (what counts as a letter is ASCII here)."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.structured_references(plain)).alias("r"))
+    return found.groupBy("doc_id", "r.kind", "r.value").agg(F.count("*").alias("n"))
 
 
 @register(

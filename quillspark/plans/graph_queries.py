@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 from quillspark.operators import vectors as V
+from quillspark.operators.ordering import ranked
+from quillspark.operators.tables import saved
 from quillspark.plans.catalog import register
 from quillspark.sources.model import provisions, references, table, term_usage
 
-ROUNDS = 8
+PAGERANK_SQL_ROUNDS = 100
 
 _EDGES = """cit AS (SELECT source_internal_id AS src, target_internal_id AS dst, count(*)::DOUBLE AS w FROM refs WHERE target_internal_id IS NOT NULL AND target_internal_id <> source_internal_id GROUP BY 1, 2),
 sib AS (SELECT * FROM (SELECT internal_id AS a, lead(internal_id) OVER (PARTITION BY parent_internal_id ORDER BY sibling_order NULLS LAST, internal_id) AS b FROM provisions) WHERE b IS NOT NULL),
 hone AS (SELECT internal_id AS a, parent_internal_id AS b, 1.0::DOUBLE AS w FROM provisions WHERE parent_internal_id IS NOT NULL UNION ALL SELECT a, b, 0.8 FROM sib),
 hier AS (SELECT a AS src, b AS dst, w FROM hone UNION ALL SELECT b, a, w FROM hone),
 idf AS (SELECT lower(trim(term_text)) AS term, count(DISTINCT source_internal_id) AS df, greatest(0.2, least(2.0, 1 / ln(1 + count(DISTINCT source_internal_id)))) AS idf FROM terms GROUP BY 1),
-few AS (SELECT term, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY id) AS r FROM (SELECT DISTINCT lower(trim(term_text)) AS term, source_internal_id AS id FROM terms)) WHERE r <= 200),
-co AS (SELECT x.id AS a, y.id AS b, count(*) AS terms, sum(idf) AS w FROM few x JOIN few y ON x.term = y.term AND x.id < y.id JOIN idf ON idf.term = x.term GROUP BY 1, 2),
-raw AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 0.45 * w AS w FROM cit UNION ALL SELECT src, dst, 0.20 * w FROM hier UNION ALL SELECT a, b, 0.20 * w FROM co UNION ALL SELECT b, a, 0.20 * w FROM co) GROUP BY 1, 2),
-mix AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM raw UNION ALL SELECT internal_id, internal_id, 1.0 FROM provisions WHERE internal_id NOT IN (SELECT src FROM raw))"""
+uses AS (SELECT DISTINCT source_internal_id AS id, term, df, idf, 0.20 * idf AS w FROM terms JOIN idf ON idf.term = lower(trim(term_text))),
+direct AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 0.45 * w AS w FROM cit UNION ALL SELECT src, dst, 0.20 * w FROM hier) GROUP BY 1, 2),
+total AS (SELECT id, sum(w) AS total FROM (SELECT src AS id, w FROM direct UNION ALL SELECT id, w * (df - 1) FROM uses) GROUP BY 1 HAVING sum(w) > 0)"""
+_FIXED = _EDGES.replace("uses AS (", "uses AS MATERIALIZED (").replace("direct AS (", "direct AS MATERIALIZED (").replace("total AS (", "total AS MATERIALIZED (")
+
+
+def _step_sql(held: str, keys: str = "", least: float = 0.0) -> str:
+    """Rows (keys, id, x): what each node gets from `held` (keys, id, x), shares below `least` dropped."""
+    enough = f"q.q * w >= {least}" if least else "true"
+    k, g = (f"{keys}, ", f"{keys}, ") if keys else ("", "")
+    q = f"(SELECT {k}h.id, x / total AS q FROM {held} h JOIN total ON total.id = h.id)"
+    own = f"q.{keys}, " if keys else ""
+    return f"""SELECT {g}id, sum(x) AS x FROM (
+  SELECT {own}dst AS id, q.q * w AS x FROM {q} q JOIN direct ON src = q.id WHERE {enough}
+  UNION ALL SELECT {"s." + keys + ", " if keys else ""}u.id, u.w * s.s FROM uses u JOIN (SELECT {own}term, sum(q.q) AS s FROM uses JOIN {q} q ON q.id = uses.id WHERE {enough} GROUP BY ALL) s ON s.term = u.term
+  UNION ALL SELECT {own}u.id, -u.w * q.q FROM uses u JOIN {q} q ON q.id = u.id WHERE {enough}
+  UNION ALL SELECT {k}h.id, x FROM {held} h WHERE h.id NOT IN (SELECT id FROM total)) GROUP BY ALL"""
 
 
 @register("--cte " + _EDGES + " SELECT a, b FROM sib", tables=True)
@@ -33,31 +51,85 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.term_idf(term_usage(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-@register("--cte " + _EDGES + " SELECT a, b, terms, round(w, 6) AS w FROM co", tables=True)
+@register("--cte " + _EDGES + " SELECT id, count(*) AS terms, sum(df - 1)::BIGINT AS links, round(sum(idf * (df - 1)), 6) AS w FROM uses GROUP BY 1", tables=True)
 def term_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.term_links(term_usage(spark, sf_dir)).select("id", "terms", "links", F.round("w", 6).alias("w"))
+
+
+@register(
+    "--cte " + _EDGES + """, few AS (SELECT term, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY id) AS r FROM uses) WHERE r <= 200)
+SELECT x.id AS a, y.id AS b, count(*) AS terms, round(sum(idf), 6) AS w FROM few x JOIN few y ON x.term = y.term AND x.id < y.id JOIN idf ON idf.term = x.term GROUP BY 1, 2""",
+    tables=True,
+)
+def term_pairs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit pairs with the bound of a query's local graph, which is the feature."""
     return G.term_cooccurrence(term_usage(spark, sf_dir)).select("a", "b", "terms", F.round("w", 6).alias("w"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.mixed(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir))
+_published: dict[tuple[str, str], Any] = {}
+
+
+def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
+    """What an index build publishes once and queries only read, by session and corpus."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _published:
+        _published[key] = build()
+    return _published[key]
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Provisions, references and term uses as tables."""
+    return published(spark, sf_dir, "corpus", lambda: tuple(saved(f(spark, sf_dir)) for f in (provisions, references, term_usage)))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> G.Mixed:
+    return published(spark, sf_dir, "mixed", lambda: G.Mixed.of(*corpus(spark, sf_dir)))
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir, "baseline", lambda: saved(G.power_iteration(mixed(spark, sf_dir), G.GAMMA_BASELINE)))
+
 
+def every_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, id, mass, r, captured) with every provision as a seed."""
 
-@register("--cte " + _EDGES + " SELECT src, dst, round(p, 6) AS p FROM mix", tables=True)
+    def build() -> DataFrame:
+        graph = mixed(spark, sf_dir)
+        # numbers in place of names for the rounds, which hold seeds times reached nodes
+        names = saved(ranked(graph.nodes, ["id"], "g").select("id", F.col("g").cast("int").alias("g")))
+
+        def coded(df: DataFrame, column: str) -> DataFrame:
+            return df.join(names.withColumnRenamed("id", column), column, "left").drop(column).withColumnRenamed("g", column)
+
+        small = G.Mixed(names.select(F.col("g").alias("id")), saved(coded(coded(graph.links, "id"), "node").select("id", "node", "term", "p", "gate")), saved(coded(graph.uses, "id").select("id", "term", "w")))
+        seeds = names.select(F.col("g").alias("seed"), F.col("g").alias("id"), F.lit(1.0).alias("w"))
+        best = G.top_masses(G.push_masses(seeds, small))
+        back = best.join(names.select(F.col("g").alias("seed"), F.col("id").alias("s")), "seed").join(names.withColumnRenamed("id", "n"), best.id == names.g)
+        return saved(back.select(F.col("s").alias("seed"), F.col("n").alias("id"), "mass", "r", "captured"))
+
+    return published(spark, sf_dir, "fingerprints", build)
+
+
+@register(
+    "--cte " + _EDGES + """ SELECT src, dst, 'edge' AS via, round(w / total, 6) AS p FROM direct JOIN total ON id = src
+UNION ALL SELECT uses.id, term, 'term', round(w * (df - 1) / total, 6) FROM uses JOIN total ON total.id = uses.id WHERE df > 1
+UNION ALL SELECT internal_id, internal_id, 'self', 1.0 FROM provisions WHERE internal_id NOT IN (SELECT id FROM total)""",
+    tables=True,
+)
 def edge_mix_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).select("src", "dst", F.round("p", 6).alias("p"))
+    return G.Mixed.of(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir)).rows().select("src", "dst", "via", F.round("p", 6).alias("p"))
 
 
 def _iterate(gamma: float, rounds: int) -> str:
-    parts = ["n AS (SELECT count(*) AS n FROM provisions)", "t0 AS MATERIALIZED (SELECT internal_id AS id, 1.0 / n AS pi FROM provisions, n)"]
+    parts = ["n AS MATERIALIZED (SELECT count(*) AS n FROM provisions)", "names AS MATERIALIZED (SELECT internal_id AS id FROM provisions)", "t0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS x FROM names, n)"]
     for k in range(rounds):
-        parts.append(f"t{k + 1} AS MATERIALIZED (SELECT v.internal_id AS id, (1 - {gamma}) / n + {gamma} * coalesce(got, 0) AS pi FROM n, provisions v LEFT JOIN (SELECT dst, sum(p * pi) AS got FROM mix JOIN t{k} ON id = src GROUP BY 1) f ON f.dst = v.internal_id)")
-    return ", ".join(parts)
+        parts.append(f"t{k + 1} AS MATERIALIZED (SELECT v.id, (1 - {gamma}) / n + {gamma} * coalesce(f.x, 0) AS x FROM n, names v LEFT JOIN ({_step_sql(f't{k}')}) f ON f.id = v.id)")
+    return ", ".join([*parts, f"base AS (SELECT id, x / (SELECT sum(x) FROM t{rounds}) AS pi FROM t{rounds})"])
 
 
-@register("--cte " + _EDGES.replace("mix AS (", "mix AS MATERIALIZED (") + ", " + _iterate(0.5, ROUNDS) + f" SELECT id, round(pi, 10) AS pi FROM t{ROUNDS}", tables=True)
+@register("--cte " + _FIXED + ", " + _iterate(0.5, G.BASELINE_ROUNDS) + " SELECT id, round(pi, 10) AS pi FROM base", tables=True)
 def baseline_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = provisions(spark, sf_dir).select(F.col("internal_id").alias("id"))
-    return G.power_iteration(nodes, _mix(spark, sf_dir), G.GAMMA_BASELINE, ROUNDS).select("id", F.round("pi", 10).alias("pi"))
+    return baseline(spark, sf_dir).select("id", F.round("pi", 10).alias("pi"))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -75,52 +147,48 @@ def _rank_sql(rounds: int) -> str:
     return ", ".join(parts)
 
 
-@register("--cte " + _rank_sql(ROUNDS) + f" SELECT id, round(rank, 10) AS rank FROM t{ROUNDS}", tables=True)
+@register("--cte " + _rank_sql(PAGERANK_SQL_ROUNDS) + f" SELECT id, round(rank, 10) AS rank FROM t{PAGERANK_SQL_ROUNDS}", tables=True)
 def citation_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the citation graph with a placeholder node for each external target."""
     refs = references(spark, sf_dir).where("source_internal_id <> coalesce(target_internal_id, '')")
     edges = refs.select(F.col("source_internal_id").alias("src"), F.coalesce("target_internal_id", "target_ref_id").alias("dst")).distinct()
     nodes = provisions(spark, sf_dir).select(F.col("internal_id").alias("id")).union(edges.select("dst"))
-    return G.pagerank(nodes, edges, rounds=ROUNDS).select("id", F.round("rank", 10).alias("rank"))
+    return G.pagerank(nodes, edges).select("id", F.round("rank", 10).alias("rank"))
 
 
 def _diffuse_sql(gamma: float, rounds: int) -> str:
-    parts = ["s AS (SELECT internal_id AS seed FROM provisions WHERE type IN ('Act', 'Division'))", "r0 AS MATERIALIZED (SELECT seed, seed AS id, 1.0::DOUBLE AS r FROM s)"]
+    parts = ["r0 AS MATERIALIZED (SELECT internal_id AS seed, internal_id AS id, 1.0::DOUBLE AS x FROM provisions WHERE level = 1)"]
     for k in range(rounds):
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT seed, dst AS id, {gamma} * sum(r * p) AS r FROM r{k} JOIN mix ON src = id GROUP BY 1, 2)")
-    terms = " UNION ALL ".join(f"SELECT seed, id, {1 if k == rounds else f'(1 - {gamma})'} * r AS mass FROM r{k}" for k in range(rounds + 1))
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT seed, id, {gamma} * x AS x FROM ({_step_sql(f'r{k}', 'seed')}))")
+    terms = " UNION ALL ".join(f"SELECT seed, id, {1 if k == rounds else f'(1 - {gamma})'} * x AS mass FROM r{k}" for k in range(rounds + 1))
     return ", ".join(parts) + f", mass AS (SELECT seed, id, sum(mass) AS mass FROM ({terms}) GROUP BY 1, 2)"
 
 
-_MASS = "--cte " + _EDGES.replace("mix AS (", "mix AS MATERIALIZED (") + ", " + _diffuse_sql(0.5, 4)
-
-
-def _masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = provisions(spark, sf_dir).where("type IN ('Act', 'Division')").select(F.col("internal_id").alias("seed"), F.col("internal_id").alias("id"), F.lit(1.0).alias("w"))
-    return G.diffuse(seeds, _mix(spark, sf_dir), G.GAMMA_BASELINE, 4)
-
-
-@register(_MASS + " SELECT seed, id, round(mass, 8) AS mass FROM mass", tables=True)
+@register("--cte " + _FIXED + ", " + _diffuse_sql(0.5, G.DIFFUSION_ROUNDS) + " SELECT seed, id, round(mass, 8) AS mass FROM mass", tables=True)
 def ppr_fixed_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masses(spark, sf_dir).select("seed", "id", F.round("mass", 8).alias("mass"))
+    """Exact steps over all provisions; the stated queries are the acts."""
+    seeds = provisions(spark, sf_dir).where("level = 1").select(F.col("internal_id").alias("seed"), F.col("internal_id").alias("id"), F.lit(1.0).alias("w"))
+    return G.diffuse(seeds, mixed(spark, sf_dir), G.GAMMA_BASELINE).select("seed", "id", F.round("mass", 8).alias("mass"))
 
 
-@register(_MASS + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY mass DESC, id) AS r FROM mass) SELECT seed, count(*) FILTER (id <> seed) AS neighbors, round(sum(mass), 6) AS captured FROM ranked WHERE r <= 200 GROUP BY 1", tables=True)
+@register()
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.fingerprints(_masses(spark, sf_dir)).select("seed", F.size("neighbors").cast("long").alias("neighbors"), F.round("captured", 6).alias("captured"))
+    """Of every provision: the seed leaves after masses are ranked and summed (brute-force test, no SQL)."""
+    kept = every_fingerprint(spark, sf_dir)
+    other = F.col("id") != F.col("seed")
+    return kept.groupBy("seed").agg(F.count_if(other).alias("neighbors"), F.round(F.max("captured"), 6).alias("captured"), F.min_by(F.when(other, F.col("id")), F.when(other, F.col("r"))).alias("nearest"))
 
 
 @register()
 def ppr_forward_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-in, first-out push from every act and division (order-dependent: no SQL)."""
-    seeds = provisions(spark, sf_dir).where("type IN ('Act', 'Division')").select(F.col("internal_id").alias("seed"))
-    return G.push_seeds(seeds, _mix(spark, sf_dir))
+    """The masses that every provision's push leaves with its first 20 nodes, a top-k report (brute-force test, no SQL)."""
+    return every_fingerprint(spark, sf_dir).where("r <= 20").select("seed", "id", "mass", "captured")
 
 
-@register("SELECT p.internal_id AS seed FROM provisions p LEFT JOIN (SELECT 'R' || r_regionkey AS id, 1 AS version FROM region WHERE r_regionkey < 3) c ON c.id = p.internal_id AND c.version = 1 WHERE p.level <= 2 AND c.id IS NULL", tables=True)
+@register("SELECT p.internal_id AS seed FROM provisions p LEFT JOIN (SELECT 'R' || r_regionkey AS id, 1 AS version FROM region WHERE r_regionkey < 3) c ON c.id = p.internal_id AND c.version = 1 WHERE c.id IS NULL", tables=True)
 def fingerprint_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.concat(F.lit("R"), "r_regionkey").alias("seed"), F.lit(1).alias("version"))
-    wanted = provisions(spark, sf_dir).where("level <= 2").select(F.col("internal_id").alias("seed"))
+    wanted = provisions(spark, sf_dir).select(F.col("internal_id").alias("seed"))
     return wanted.join(cached.where("version = 1"), "seed", "left_anti")
 
 
@@ -136,27 +204,35 @@ def local_subgraph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_hops(seed, references(spark, sf_dir), 2)
 
 
+@register()
+def local_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded local graph of a search: citations, hierarchy and term users within two hops of a seed."""
+    p, refs, terms = corpus(spark, sf_dir)
+    nodes = G.local_nodes(p.where("type = 'Paragraph'").agg(F.min("internal_id").alias("id")), p, refs, terms)
+    return G.local_edges(nodes, p, refs, terms)
+
+
 _DEFINES = "SELECT DISTINCT source_internal_id AS src, definition_internal_id AS dst FROM terms WHERE definition_internal_id IS NOT NULL UNION SELECT internal_id, parent_internal_id FROM provisions WHERE type = 'Definition'"
 
 
 @register(
-    f"--cte e AS ({_DEFINES}), reach AS (SELECT internal_id AS root, internal_id AS id FROM provisions WHERE type = 'Paragraph' UNION SELECT root, dst FROM reach JOIN e ON src = id) SELECT root, id FROM reach",
+    f"--cte e AS ({_DEFINES}), reach AS (SELECT internal_id AS root, internal_id AS id FROM provisions UNION SELECT root, dst FROM reach JOIN e ON src = id) SELECT root, id FROM reach",
     tables=True,
     recursive=True,
 )
 def definition_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, terms = provisions(spark, sf_dir), term_usage(spark, sf_dir)
     edges = terms.where("definition_internal_id IS NOT NULL").select(F.col("source_internal_id").alias("src"), F.col("definition_internal_id").alias("dst")).union(p.where("type = 'Definition'").select("internal_id", "parent_internal_id")).distinct()
-    start = p.where("type = 'Paragraph'").select(F.col("internal_id").alias("root"), F.col("internal_id").alias("id"))
+    start = p.select(F.col("internal_id").alias("root"), F.col("internal_id").alias("id"))
     return G.closure(start, edges)
 
 
-_KNN = "knn AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance, b.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank FROM embeddings q JOIN embeddings b ON b.vec_id <> q.vec_id WHERE q.label = 3)"
+_KNN = "knn AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance, b.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank FROM embeddings q JOIN embeddings b ON b.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)"
 
 
 def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     base = table(spark, sf_dir, "embeddings")
-    queries = base.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return V.nearest(queries, base.select("vec_id", "embedding"), k)
 
 

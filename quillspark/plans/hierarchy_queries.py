@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.operators import hierarchy as H
 from quillspark.operators import relations as R
+from quillspark.operators import tables as T
 from quillspark.plans.catalog import register
 from quillspark.sources.model import provisions, references, table, term_usage
 
@@ -65,13 +66,13 @@ SELECT internal_id, built, depth FROM walk""",
     recursive=True,
 )
 def hierarchy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.path_levels(provisions(spark, sf_dir), 4)
+    return H.path_levels(provisions(spark, sf_dir))
 
 
-@register("SELECT internal_id, row_number() OVER (ORDER BY list_transform(string_split(path, '.'), lambda x: left(x, 1) || lpad(substr(x, 2), 12, '0')), coalesce(sibling_order, 2147483647), internal_id) AS place FROM provisions WHERE level <= 3", tables=True)
+@register("SELECT internal_id, row_number() OVER (ORDER BY list_transform(string_split(path, '.'), lambda x: left(x, 1) || lpad(substr(x, 2), 12, '0')), coalesce(sibling_order, 2147483647), internal_id) AS place FROM provisions", tables=True)
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case-insensitive numeric-aware order of the upper levels; a global rank by ranges."""
-    p = provisions(spark, sf_dir).where("level <= 3")
+    """Case-insensitive numeric-aware order; a global rank by ranges."""
+    p = provisions(spark, sf_dir)
     keyed = p.select("internal_id", X.natural_key(F.col("path")).alias("k"), F.coalesce("sibling_order", F.lit(2147483647)).alias("s"))
     from quillspark.operators.ordering import ranked
 
@@ -148,14 +149,37 @@ def acts_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT internal_id, type, CASE type WHEN 'Division' THEN 'Div ' || local_id WHEN 'Section' THEN 's ' || local_id WHEN 'Definition' THEN 'Definition' WHEN 'Act' THEN 'Act' ELSE type || ' ' || local_id END
- || CASE WHEN title = '' OR starts_with(title, CASE type WHEN 'Division' THEN 'Div ' || local_id WHEN 'Section' THEN 's ' || local_id WHEN 'Definition' THEN 'Definition' WHEN 'Act' THEN 'Act' ELSE type || ' ' || local_id END) THEN '' ELSE ' — ' || title END AS heading FROM provisions""",
+    """SELECT internal_id, type, CASE WHEN type IN ('Division', 'Section') THEN type || ' ' || local_id ELSE title END AS label,
+  CASE WHEN type IN ('Division', 'Section') THEN type || ' ' || local_id || ' — ' || title ELSE title END AS heading,
+  CASE type WHEN 'Division' THEN 'Division ' || local_id || '|division ' || local_id || '|Div ' || local_id || '|div ' || local_id || '|' || ref_id
+    WHEN 'Section' THEN 'Section ' || local_id || '|section ' || local_id || '|Sect ' || local_id || '|sect ' || local_id || '|s ' || local_id || '|' || ref_id
+    WHEN 'Act' THEN title || '|Act|' || ref_id ELSE title || '|' || ref_id END AS variants FROM provisions""",
     tables=True,
 )
 def heading_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("type") == "Division", F.concat(F.lit("Div "), "local_id")).when(F.col("type") == "Section", F.concat(F.lit("s "), "local_id")).when(F.col("type").isin("Definition", "Act"), F.col("type")).otherwise(F.concat_ws(" ", "type", "local_id"))
-    heading = F.when((F.col("title") == "") | F.col("title").startswith(label), label).otherwise(F.concat(label, F.lit(" — "), "title"))
-    return provisions(spark, sf_dir).select("internal_id", "type", heading.alias("heading"))
+    label = X.heading_label(F.col("type"), F.col("title"), F.col("local_id"), F.col("ref_id"))
+    found = provisions(spark, sf_dir).select("internal_id", "type", label.alias("h"))
+    return found.select("internal_id", "type", "h.label", "h.heading", F.array_join("h.variants", "|").alias("variants"))
+
+
+@register("SELECT DISTINCT t.source_internal_id, t.definition_internal_id, p.parent_internal_id AS target_internal_id, d.title AS target_title FROM terms t JOIN provisions p ON p.internal_id = t.definition_internal_id JOIN provisions d ON d.internal_id = p.parent_internal_id", tables=True)
+def definition_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What used definitions refer to themselves; in these tables a definition cites its division."""
+    p = provisions(spark, sf_dir)
+    own = p.where("type = 'Definition'").select(F.col("internal_id").alias("source_internal_id"), F.col("parent_internal_id").alias("target_ref_id"), F.col("parent_internal_id").alias("target_internal_id"), F.lit("").alias("snippet"))
+    return R.definition_references(term_usage(spark, sf_dir), own, p).select("source_internal_id", "definition_internal_id", "target_internal_id", "target_title")
+
+
+@register("SELECT parent_internal_id, internal_id, (row_number() OVER (PARTITION BY parent_internal_id ORDER BY sibling_order, internal_id))::INTEGER AS place FROM provisions WHERE parent_internal_id IS NOT NULL AND type <> 'Definition'", tables=True)
+def detail_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.child_rows(provisions(spark, sf_dir)).select("parent_internal_id", "internal_id", "place")
+
+
+@register("SELECT source_internal_id, term_text, definition_internal_id FROM terms WHERE definition_internal_id IS NULL OR definition_internal_id NOT IN (SELECT internal_id FROM provisions WHERE type = 'Definition' AND act_id = 'R1')", tables=True)
+def purge_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term uses after the definitions of an act are gone."""
+    gone = provisions(spark, sf_dir).where("type = 'Definition' AND act_id = 'R1'").select(F.col("internal_id").alias("definition_internal_id"))
+    return T.purge(term_usage(spark, sf_dir), gone, "definition_internal_id")
 
 
 _EXPORT = "'## ' || coalesce(nullif(title, ''), ref_id) || chr(10) || chr(10) || content_md"
@@ -213,10 +237,9 @@ def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.parts(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir), "R1_N1").select("internal_id", "part")
 
 
-@register("SELECT p.internal_id, count(d.internal_id) AS n_visible FROM provisions p JOIN provisions d ON d.path = p.path OR starts_with(d.path, p.path || '.') WHERE p.level <= 2 GROUP BY 1", tables=True)
+@register("SELECT p.internal_id, count(*) AS n_visible FROM (SELECT unnest(list_transform(range(1, len(string_split(path, '.')) + 1), lambda i: array_to_string(string_split(path, '.')[1:i], '.'))) AS up FROM provisions) JOIN provisions p ON p.path = up GROUP BY 1", tables=True)
 def visible_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes an opened node of the upper levels shows, itself included."""
+    """How many nodes an opened node shows, itself included."""
     p = provisions(spark, sf_dir)
-    upper = p.where("level <= 2").select(F.col("path").alias("ancestor_path"), F.col("internal_id").alias("up"))
-    found = p.select("internal_id", F.explode(H.prefixes(F.col("path"))).alias("ancestor_path")).join(F.broadcast(upper), "ancestor_path")
-    return found.groupBy(F.col("up").alias("internal_id")).agg(F.count("*").alias("n_visible"))
+    found = p.select(F.explode(H.prefixes(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_visible"))
+    return found.join(p.select("path", "internal_id"), "path").select("internal_id", "n_visible")

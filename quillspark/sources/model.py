@@ -2,7 +2,7 @@
 
 Acts are regions; the provision tree is region, nation, customer, order, with suppliers
 as definitions under their nation.  Orders cite the suppliers of their line items
-(supplier keys that end in 0 are external) and use the words of part names as terms.
+(supplier keys that end in 0 are external) and use part names as terms.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_internal_id, term_text, definition_internal_id; one row a (source, term)."""
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ")[0].alias("term_text"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("term_text"))
     p = provisions(spark, sf_dir)
     source = p.where("type = 'Paragraph'").select(F.col("local_id").cast("long").alias("okey"), F.col("internal_id").alias("source_internal_id"))
     target = p.where("type = 'Definition'").select(F.regexp_extract("internal_id", "_S([0-9]+)$", 1).cast("long").alias("skey"), F.col("internal_id").alias("tid"))
@@ -110,7 +110,7 @@ refs AS (
   FROM lineitem JOIN provisions s ON s.type = 'Paragraph' AND s.key = l_orderkey JOIN provisions t ON t.type = 'Definition' AND t.key = l_suppkey
 ),
 terms AS (
-  SELECT s.internal_id AS source_internal_id, string_split(p_name, ' ')[1] AS term_text, min(CASE WHEN l_suppkey % 3 <> 0 THEN t.internal_id END) AS definition_internal_id
+  SELECT s.internal_id AS source_internal_id, p_name AS term_text, min(CASE WHEN l_suppkey % 3 <> 0 THEN t.internal_id END) AS definition_internal_id
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN provisions s ON s.type = 'Paragraph' AND s.key = l_orderkey JOIN provisions t ON t.type = 'Definition' AND t.key = l_suppkey
   GROUP BY 1, 2
 )

@@ -96,10 +96,10 @@ def test_cached_extraction(spark):
 def corpus(spark):
     sf = "/root/testdata/sf0.001"
     p, refs, terms = model.provisions(spark, sf).cache(), model.references(spark, sf).cache(), model.term_usage(spark, sf).cache()
-    edges = G.mixed(p, refs, terms, per_term=20)
-    pi = G.power_iteration(p.select(F.col("internal_id").alias("id")), edges, 0.5, 3)
+    graph = G.Mixed.of(p, refs, terms)
+    pi = G.power_iteration(graph, 0.5, 3)
     docs = model.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), "text")
-    return Corpus(p, refs, terms, edges, pi, docs)
+    return Corpus(p, refs, terms, graph, pi, docs)
 
 
 def test_routes(corpus):
@@ -114,8 +114,13 @@ def test_routes(corpus):
     assert text.startswith("## Copied Nodes\n\n### Order") and "## Referenced Nodes" in text
     assert corpus.visible_markdown("R0", node).count() == 2
     hits = corpus.unified_search("supplier means", k=5).collect()
-    assert 0 < len(hits) <= 5 and hits == sorted(hits, key=lambda r: -r["score"])
+    assert 0 < len(hits) <= 5 and hits == sorted(hits, key=lambda r: -r["urs"]) and hits[0]["next_offset"] == 5
+    assert corpus.unified_search("supplier means", k=5, act_id="R0").first()["act_id"] == "R0"
+    full = corpus.full_detail(node)
+    assert set(full) == {"provision", "references_to", "referenced_by", "definitions", "definition_references", "children", "breadcrumbs"} and full["definitions"].count() > 0
+    assert set(corpus.full_detail("R0", references=False, definitions=False, breadcrumbs=False)) == {"provision", "children"}
+    needed = [r["part"] for r in corpus.visible_with_definitions(node).collect()]
+    assert needed[0] == "shown" and len(needed) > 1 and set(needed[1:]) == {"definition"}
     assert corpus.search_markdown("supplier means", 3).count() == 3
     assert corpus.search_documents("tion", 5).count() == 5 and corpus.capabilities().count() > 10
-    with pytest.raises(ValueError):
-        corpus.search_documents("x")
+    assert corpus.search_documents(" ", 3).first()["total"] > 3

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,10 +86,17 @@ def test_chunks(spark):
 
 def test_embedding_chunks():
     text = "word " * 200
-    compat = E.split_for_embedding(text, 100, 30)
-    true = E.split_for_embedding(text, 100, 30, compat=False)
+    (compat,), (true,) = E.embedding_cuts([text], 100, 30), E.embedding_cuts([text], 100, 30, compat=False)
     assert all(len(c) <= 100 for c in compat + true) and len(true) > len(compat)
-    assert E.split_for_embedding("", 10, 2) == [] and E.split_for_embedding("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]
+    assert E.embedding_cuts(["", "x" * 25, "  ab  "], 10, 0) == [[], ["x" * 10, "x" * 10, "x" * 5], ["ab"]]
+    assert E.embedding_cuts(["   " + "abcd efgh " * 3], 12, 4)[0][0] == "abcd efgh"  # cut after the text is stripped
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab é") for _ in range(r.randrange(60))) for _ in range(50)]
+    together = E.embedding_cuts(texts, 9, 3, compat=False)
+    for t, chunks in zip(texts, together, strict=True):
+        assert E.embedding_cuts([t], 9, 3, compat=False) == [chunks]
+        assert all(c == c.strip() and 0 < len(c) <= 9 and c in t for c in chunks)
+        assert set("".join(chunks)) == set(t.strip()) - ({" "} - set("".join(chunks)))
 
 
 def test_packs():
@@ -97,17 +106,42 @@ def test_packs():
     assert E.pack_blocks("short") == ["short"]
 
 
-def test_tagger():
-    pattern, forms = E.compile_terms(["car", "car park", "x", "policy", "R&D"])
-    assert E.tag("Cars in a car  park", pattern, forms) == ["car", "car park"]
-    assert E.tag("[car](link) policies, scar x r&d", pattern, forms) == ["R&D", "policy"]
+def test_tagger(spark):
+    terms = ["car", "car park", "x", "policy", "R&D", "knife", "half", "box"]
+    texts = ["Cars in a car  park", "[car](link) policies, scar x r&d", "knives halves boxes", "knifes halfs boxs policys"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["terms"] for r in E.tag_terms(docs, terms).collect()}
+    assert got == {0: "car,car park", 1: "R&D,policy", 2: "box,half,knife", 3: ""}
 
 
 def test_stems_and_covers():
     assert [stem(w) for w in ("ponies", "cats", "hopping", "agreed", "happy", "sing")] == ["poni", "cat", "hop", "agre", "happi", "sing"]
-    assert lexemes("The cats, and the hat") == ["cat", "hat"]
+    assert lexemes("The cats, and the hat") == [None, "cat", None, None, "hat"]
     near, far = cover_density(["a", "b", "x"], ["a", "b"]), cover_density(["a", "x", "x", "b"], ["a", "b"])
-    assert near == 1.0 and far == pytest.approx(1 / 3) and cover_density(["a"], ["a", "b"]) == 0
+    assert near == pytest.approx(0.1) and far == pytest.approx(0.1 / 3) and cover_density(["a"], ["a", "b"]) == 0
+    assert cover_density(["a", "b", "b", "c"], ["a", "b", "c"]) == pytest.approx(0.1)  # a repeated query word is no other word
+    assert cover_density(["a"], [None]) == 0
+
+
+def test_heading_labels(spark):
+    def f(kind, title, local=None, ref=None):
+        row = spark.createDataFrame([(kind, title, local, ref)], "k string, t string, l string, r string")
+        h = row.select(X.heading_label(F.col("k"), F.col("t"), F.col("l"), F.col("r")).alias("h")).first()["h"]
+        return h["label"], h["heading"], h["variants"]
+
+    assert f("Section", "Ordinary income", "6-5") == ("Section 6-5", "Section 6-5 — Ordinary income", ["Section 6-5", "section 6-5", "Sect 6-5", "sect 6-5", "s 6-5"])
+    assert f("Part", "Part IV stays", None, "ACT:Part:IV") == ("Part IV", "Part IV stays", ["Part IV", "part IV", "Pt IV", "pt IV", "ACT:Part:IV"])
+    assert f("Schedule:1:Part", "Rates", "2")[:2] == ("Schedule 1 Part 2", "Schedule 1 Part 2 — Rates") and "sch 1 pt 2" in f("Schedule:1:Part", "Rates", "2")[2]
+    assert f("Schedule:2", "")[2] == ["Schedule 2", "schedule 2", "Sch 2", "sch 2"]
+    assert f("Chapter", None) == ("Chapter", "Chapter", ["Chapter", "chapter"])
+    assert f("Act", "The Act") == ("The Act", "The Act", ["The Act", "Act"])
+    assert f("Definition", "car", None, "ACT:Definition:car") == ("car", "car", ["car", "ACT:Definition:car"])
+    assert f(None, None) == ("Provision", "Provision", ["Provision"])
+
+
+def test_structured_references(spark):
+    got = [(r["kind"], r["value"]) for r in one(spark, X.structured_references(v), "see s 6-5, div 7A, Subdivision 115-A, Part IV and ACT: Section : 9-1")]
+    assert got == [("Section", "6-5"), ("Division", "7A"), ("Subdivision", "115-A"), ("Part", "IV"), ("RefId", "ACT:Section:9-1"), ("LocalId", "6-5"), ("LocalId", "115-A"), ("LocalId", "9-1")]
 
 
 def test_headings(spark):
