@@ -61,5 +61,18 @@ def test_special_tokens_are_what_the_tokenizer_says(spark):
     assert got[0] == [87, 220, 50256, 331, 1]
 
 
+def test_ids_equal_the_tokenizer_on_arbitrary_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.packing import _encoder
+
+    tok, encode, r = Tokenizer.from_file(tokenizer_path()), _encoder(tokenizer_path()), random.Random(1)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "the", "Ing", "é", "ß", "12345", "'ll", "'", "你好", "\U0001f600", "_", "\t", "a", "zz", "\u00a0", "\u2028", "-", "<|", "|>"]
+    texts = ["".join(r.choices(parts, k=r.randrange(30))) for _ in range(3000)] + ["".join(chr(r.choice([r.randrange(32, 500), r.randrange(0x3000, 0x9000)])) for _ in range(40)) for _ in range(500)]
+    assert encode(texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty(empty):
     assert pack(empty, tokenizer_path()).count() == 0
