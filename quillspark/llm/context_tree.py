@@ -245,7 +245,7 @@ def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys)
+            order = np.argsort(keys, kind="stable")  # sorted runs: merged
             keys, n = keys[order], np.concatenate([c for _, c in held])[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             return keys[first], np.add.reduceat(n, first)
@@ -260,7 +260,7 @@ def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
                     if len(part):
                         found, n = np.unique(part, return_counts=True)
                         held.append((found, n.astype(np.int64) * learn))
-                if len(held) >= 16:
+                if len(held) >= 8:
                     held = [merged()]
                     if len(held[0][0]) > 1_500_000:
                         yield from rows(*held.pop())
