@@ -11,7 +11,8 @@ not 2 only; the prediction sees the text alone.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; ties
 go to the language that sorts first; with no training text all is ``und``; very long
-texts are used whole; a null id trains.
+texts are used whole; a null id trains; repeated rows count and score as rows; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ elementary packets and returns their timestamps and random-access points.
 Both work on whole packet arrays in numpy.  Defined cases: an empty payload is one
 empty elementary packet; bytes that aren't a whole number of packets, a lost sync
 byte, a missing table or a broken table checksum raise ``ValueError``; a lost or
-repeated packet is counted in ``continuity_errors``.
+repeated packet is counted in ``continuity_errors``.  As columns: a null text is an empty
+one, very long texts are one stream each, null ids and repeated rows are carried as rows
+(equal texts give equal values), an empty table gives no rows, and extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -117,3 +118,40 @@ def test_language_id_without_training(docs, empty, texts):
     assert identify(empty).count() == 0
     got = identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(got) == len(texts) and {r["lang_pred"] for r in got} == {"und"}
+
+
+def grams_by_hand(text):
+    """Buckets of the 1- to 3-grams with a letter, one character after the other."""
+    top, out = 1 << 64, []
+    points = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else (ord(c) if c.isalpha() else 32) for c in text]
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            if all(p == 32 for p in points[i : i + n]):
+                continue
+            code = 0
+            for k in range(n):
+                code = (code * 0x100000001B3 + (points[i + k] + k + 1) * 0x9E3779B97F4A7C15) % top
+            out.append(((code ^ (code >> 29)) * 0xD6E8FEB86659FD93 % top) >> 50)
+    return out
+
+
+def test_language_id_equals_naive_bayes_by_hand(spark):
+    r = random.Random(6)
+    words = {"en": ["the", "And", "ering"], "de": ["der", "und", "schön"], "fr": ["été", "que", "leçon"]}
+    rows = [(i, " ".join(r.choice(words[lang] + ["x1", "—"]) for _ in range(r.randrange(1, 6))), lang) for i in range(60) for lang in [r.choice(sorted(words))]]
+    rows += [(100, "7 8", "en"), (101, None, "de"), (102, "Ünd the", None)]
+    counts = {lang: {} for lang in words}
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for g in grams_by_hand(t):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    got = {x["doc_id"]: x for x in identify(spark.createDataFrame([(*x, "z") for x in rows], "doc_id bigint, text string, lang string, n string").repartition(2)).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logs = {lang: sum(math.log((n.get(g, 0) + 0.5) / (sum(n.values()) + 0.5 * (1 << 14))) for g in grams_by_hand(t)) for lang, n in counts.items()}
+        best = max(logs.values())
+        posterior = {lang: math.exp(v - best) / sum(math.exp(x - best) for x in logs.values()) for lang, v in logs.items()}
+        assert got[i]["score"] == pytest.approx(max(posterior.values()), abs=1e-3)
+        assert posterior[got[i]["lang_pred"]] == pytest.approx(max(posterior.values()), abs=1e-3)

@@ -25,6 +25,42 @@ def test_round_trip(payload):
     assert len(program.clock) == n
 
 
+def read_by_hand(media: bytes) -> tuple[bytes, list[int]]:
+    """Payload and timestamps by the published packet layout, one packet after the other."""
+    program_map = stream = None
+    units: list[bytearray] = []
+    for at in range(0, len(media), 188):
+        packet = media[at : at + 188]
+        assert packet[0] == 0x47
+        start, pid, control = packet[1] >> 6 & 1, (packet[1] & 0x1F) << 8 | packet[2], packet[3] >> 4 & 3
+        body = packet[4:] if control == 1 else packet[5 + packet[4] :] if control == 3 else b""
+        if pid == 0:
+            section = body[1 + body[0] :]
+            program_map = (section[10] & 0x1F) << 8 | section[11]
+        elif pid == program_map:
+            section = body[1 + body[0] :]
+            skip = (section[10] & 0xF) << 8 | section[11]
+            stream = (section[13 + skip] & 0x1F) << 8 | section[14 + skip]
+        elif stream is not None and pid == stream:
+            if start:
+                units.append(bytearray())
+            units[-1] += body
+    payload, times = b"", []
+    for unit in units:
+        assert unit[:3] == b"\0\0\1"
+        size, head, p = unit[4] << 8 | unit[5], unit[8], unit[9:14]
+        times.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
+        payload += bytes(unit[9 + head : 6 + size] if size else unit[9 + head :])
+    return payload, times
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 183, 184, 185, 31_999, 32_000, 100_001])
+def test_an_independent_reader_reads_the_same(n):
+    payload = np.random.default_rng(n).bytes(n)
+    media = mux(payload)
+    assert read_by_hand(media) == (payload, demux(media).pts)
+
+
 def test_faults():
     media = mux(bytes(70_000))
     lost = media[: 20 * PACKET] + media[21 * PACKET :]
