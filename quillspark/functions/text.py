@@ -236,3 +236,19 @@ def heading_label(kind: Column, title: Column, local_id: Column, ref_id: Column)
     begins = F.substr(F.lower(name), F.lit(1), F.length(label)) == F.lower(label)
     heading = F.when(name == "", label).when(begins, name).otherwise(F.concat(label, F.lit(" — "), name))
     return F.struct(label.alias("label"), variants.alias("variants"), heading.alias("heading"))
+
+
+def escaped(text: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
+
+
+def marker_indent(text: Column) -> Column:
+    """The indentation class of a paragraph by its leading marker: numbers, then single letters, then
+    Roman numerals or several letters (a single i, v or x is Roman); "" without one."""
+    return (
+        F.when(text.rlike(r"^\s*\(([ivx]+|[a-z]{2,})\)"), "pl-[4.5rem]")
+        .when(text.rlike(r"^\s*\([a-z]\)"), "pl-12")
+        .when(text.rlike(r"^\s*\([0-9]+[A-Z]?\)"), "pl-6")
+        .otherwise("")
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import escaped
+
 
 def references_to(refs: DataFrame, p: DataFrame) -> DataFrame:
     titles = p.select(F.col("internal_id").alias("target_internal_id"), F.col("title").alias("target_title"))
@@ -97,3 +99,42 @@ def degrees(refs: DataFrame, p: DataFrame) -> DataFrame:
     outs = refs.groupBy(F.col("source_internal_id").alias("internal_id")).agg(F.count_distinct("target_ref_id").alias("out_degree"))
     zero = F.lit(0).cast("long")
     return p.select("internal_id").join(ins, "internal_id", "left").join(outs, "internal_id", "left").select("internal_id", F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
+
+
+def clickables(refs: DataFrame, terms: DataFrame, p: DataFrame) -> DataFrame:
+    """(internal_id, text, kind, target): what a reader can follow in a node's text.
+
+    A reference counts by its snippet: "ref" if it leads to a node or into the same act and has
+    a title, "external" if into another act (its target then is the words to search for); a term
+    with a definition counts as it is and between asterisks."""
+    acts = p.select(F.col("internal_id").alias("source_internal_id"), "act_id")
+    cited = references_to(refs, p).where("snippet <> '' AND target_ref_id <> ''").join(acts, "source_internal_id")
+    found = F.col("target_internal_id").isNotNull()
+    inside = found | F.col("target_ref_id").startswith(F.col("act_id"))
+    shown = cited.where(~inside | found | F.col("target_title").isNotNull()).select(
+        F.col("source_internal_id").alias("internal_id"), F.col("snippet").alias("text"), F.when(inside, "ref").otherwise("external").alias("kind"),
+        F.when(inside, F.col("target_ref_id")).otherwise(F.regexp_replace("target_ref_id", "[:_-]+", " ")).alias("target"),
+    )
+    defined = terms.where("definition_internal_id IS NOT NULL AND term_text <> ''")
+    forms = F.explode(F.array("term_text", F.concat(F.lit("*"), "term_text", F.lit("*")))).alias("text")
+    named = defined.select(F.col("source_internal_id").alias("internal_id"), forms, F.lit("term").alias("kind"), F.col("definition_internal_id").alias("target"))
+    return shown.union(named).distinct()
+
+
+def tokenised(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """(internal_id, place, text, kind, target): the text of each node (internal_id, text) in pieces,
+    those that stand for an item (`clickables`) with its kind and target.
+
+    Items are looked for longest first, whatever their case, where no word goes on before or
+    after them; of several with the same text references come first, then the least target.  A
+    node's items are what one text cites, so they fit a row."""
+    rank = F.when(F.col("kind") == "term", 1).otherwise(0)
+    own = items.groupBy("internal_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("text")).alias("n"), rank.alias("rank"), "target", "kind", "text"))).alias("items"))
+    words = F.array_join(F.transform(F.array_distinct(F.transform("items", lambda i: F.struct(i["n"], i["text"]))), lambda i: escaped(i["text"])), "|")
+    told = nodes.where("text <> ''").join(own, "internal_id", "left").withColumn("p", F.concat(F.lit(r"(?iu)(?<!\w)(?:"), F.coalesce(words, F.lit("(?!)")), F.lit(r")(?!\w)")))
+    hits = F.regexp_extract_all("text", F.col("p"), F.lit(0))
+    plain = F.lit(None).cast("struct<n:int,rank:int,target:string,kind:string,text:string>")
+    pieces = F.flatten(F.zip_with(F.split("text", F.col("p"), -1), hits, lambda a, b: F.array(F.struct(a.alias("t"), F.lit(False).alias("hit")), F.struct(b.alias("t"), F.lit(True).alias("hit")))))
+    cut = told.select("internal_id", "items", F.posexplode(F.filter(pieces, lambda x: x["t"] != "")).alias("place", "x"))
+    item = F.when(F.col("x.hit"), F.get(F.filter("items", lambda i: F.lower(i["text"]) == F.lower(F.col("x.t"))), F.lit(0))).otherwise(plain)
+    return cut.withColumn("item", item).select("internal_id", "place", F.col("x.t").alias("text"), F.coalesce("item.kind", F.lit("plain")).alias("kind"), F.col("item.target").alias("target"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,17 @@ def purge(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def at_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("graph_version") == version)
+
+
+class Kept:
+    """Tables built once a version, of which the last `most` stay."""
+
+    def __init__(self, build: Callable[[int], DataFrame], most: int = 2) -> None:
+        self.build, self.most, self.tables = build, most, {}
+
+    def at(self, version: int) -> DataFrame:
+        if version not in self.tables:
+            self.tables[version] = saved(self.build(version))
+            while len(self.tables) > self.most:
+                del self.tables[next(iter(self.tables))]
+        return self.tables[version]

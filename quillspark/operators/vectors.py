@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.etl import embedding_cuts
+from quillspark.operators.tables import upsert
+
+Encoder = Callable[[list[str]], np.ndarray]
+
 
 def l2(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -44,3 +53,56 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     mean = vectors.select(key, F.posexplode("embedding").alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("m"))
     norm = mean.groupBy(key).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     return mean.join(norm, key).select(key, "place", F.when(F.col("norm") > 0, F.col("m") / F.nullif("norm", F.lit(0.0))).otherwise(F.col("m")).alias("value"))
+
+
+def hashed_words(dim: int = 64) -> Encoder:
+    """An encoder without a model: counts of words by the CRC-32 of their bytes, signed."""
+    from zlib import crc32
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for i, text in enumerate(texts):
+            codes = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()], np.int64)
+            np.add.at(out[i], codes % dim, np.where(codes >> 31, 1.0, -1.0))
+        return out
+
+    return encode
+
+
+def encoded(texts: DataFrame, load: Callable[[], Encoder], batch: int = 32, instruction: str | None = None) -> DataFrame:
+    """`texts` (key, place, text) with vectors of unit length (zero ones stay).  `load` runs once a
+    task and gives the model; an instruction is put in front of each text."""
+    head = f"Instruct: {instruction}\nQuery:" if instruction else ""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for rows in batches:
+            for i in range(0, len(rows), batch):
+                part = rows.iloc[i : i + batch]
+                v = np.asarray(encode([head + (t or "") for t in part["text"]]), np.float32)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "place": part["place"].to_numpy(), "embedding": list(v / np.where(norm > 0, norm, 1))})
+
+    return texts.select("key", "place", "text").mapInPandas(run, "key string, place int, embedding array<float>")
+
+
+def embed(p: DataFrame, load: Callable[[], Encoder], model: str, batch: int = 64, instruction: str | None = None) -> DataFrame:
+    """Rows of the embeddings table for provisions: title and text in overlapping chunks, each
+    encoded, their mean scaled to unit length.  One without text is encoded as an empty one."""
+    whole = F.concat_ws("\n", F.btrim(F.coalesce("title", F.lit(""))), F.btrim(F.coalesce("content_md", F.lit(""))))
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for key, chunks in zip(rows["key"], embedding_cuts(list(rows["text"])), strict=True):
+                yield pd.DataFrame({"key": key, "place": range(max(len(chunks), 1)), "text": chunks or [""]})
+
+    chunks = p.where("internal_id IS NOT NULL").select(F.col("internal_id").alias("key"), whole.alias("text")).dropDuplicates(["key"]).mapInPandas(cut, "key string, place int, text string")
+    mean = mean_vectors(encoded(chunks, load, batch, instruction).select("key", "embedding"), "key")
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"].cast("float"))
+    rows = mean.groupBy(F.col("key").alias("entity_id")).agg(vector.alias("vector"))
+    return rows.select(F.lit("provision").alias("entity_kind"), "entity_id", F.lit(model).alias("model"), F.size("vector").alias("dim"), "vector", F.lit(1.0).alias("l2_norm"))
+
+
+def refresh(embeddings: DataFrame, p: DataFrame, load: Callable[[], Encoder], model: str) -> DataFrame:
+    """The embeddings table after the provisions were embedded anew."""
+    return upsert(embeddings, embed(p, load, model), ["entity_kind", "entity_id", "model"])

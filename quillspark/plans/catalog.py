@@ -28,4 +28,4 @@ def register(sql: str | None = None, tables: bool = False, recursive: bool = Fal
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quillspark.plans import document_queries, graph_queries, hierarchy_queries, search_queries  # noqa: F401
+    from quillspark.plans import document_queries, graph_queries, hierarchy_queries, load_queries, search_queries  # noqa: F401

@@ -8,13 +8,12 @@ state that markdown lists need lives within one document, which is one group.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -24,6 +23,8 @@ HEADINGS = {f"ActHead {k}": k for k in range(1, 6)}
 IGNORED = {"Header", "Footer", "ShortT", "LongT", "CompiledActNo"}
 IGNORED_STARTS = ("toc ", "TofSects(")
 
+BLANKS = " \t\r\n\u00a0"
+
 BLOCK_SCHEMA = "path string, ordinal int, kind string, style string, text string, num_id string, list_level int, ordered boolean, indent_points double, lead string"
 
 
@@ -107,7 +108,31 @@ def parse_blocks(path: str, content: bytes) -> list[tuple]:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """One row a block of every .docx under `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return blocks_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def converted(spark: SparkSession, sources: str, done: str, convert: Callable[[bytes], bytes]) -> DataFrame:
+    """(path, content) of the .docx volumes under `done`, and of what `convert` (an office converter
+    where the executors have one) makes of the .rtf volumes under `sources` that have none there
+    or a newer date."""
+    def listed(kind: str, folder: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", "true").load(folder)
+        return files.withColumn("volume", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+
+    old, new = listed("docx", done), listed("rtf", sources)
+    dates = old.select("volume", F.col("modificationTime").alias("converted_at"))
+    stale = new.join(dates, "volume", "left").where("converted_at IS NULL OR converted_at < modificationTime")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": [f"{v}.docx" for v in batch["volume"]], "content": [convert(bytes(c)) for c in batch["content"]]})
+
+    kept = old.join(stale.select("volume"), "volume", "left_anti").select("path", "content")
+    return kept.union(stale.select("volume", "content").mapInPandas(run, "path string, content binary"))
+
+
+def blocks_of(files: DataFrame) -> DataFrame:
+    """One row a block of Word files (path, content)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
@@ -151,12 +176,12 @@ def ignored(style: str | None) -> bool:
     return bool(names & IGNORED) or any(n.startswith(IGNORED_STARTS) for n in names if n)
 
 
-def definition_body(text: str, term: str) -> str:
+def definition_body(text: Column, term: Column) -> Column:
     """The text of a definition without its term and what introduces it."""
-    rest = re.sub("^" + re.escape(term), "", text, count=1, flags=re.I).strip()
-    if rest[:1] in (":", "—", "-") and rest:
-        rest = rest[1:].strip()
-    return rest[6:].strip() if rest.lower().startswith("means:") else rest
+    begins = F.startswith(F.lower(text), F.lower(term))
+    rest = F.btrim(F.when(begins, F.substr(text, F.length(term) + 1)).otherwise(text), F.lit(BLANKS))
+    rest = F.when(rest.rlike("^[:—-]"), F.btrim(F.substr(rest, F.lit(2)), F.lit(BLANKS))).otherwise(rest)
+    return F.when(F.lower(rest).startswith("means:"), F.btrim(F.substr(rest, F.lit(7)), F.lit(BLANKS))).otherwise(rest)
 
 
 def _section_rows(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -192,5 +217,4 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 def definitions(blocks: DataFrame) -> DataFrame:
     """(path, ordinal, term, text): paragraphs that open with a bold and italic term."""
-    body = F.udf(definition_body)
-    return blocks.where("lead <> ''").select("path", "ordinal", F.col("lead").alias("term"), body("text", "lead").alias("text"))
+    return blocks.where("lead <> ''").select("path", "ordinal", F.col("lead").alias("term"), definition_body(F.col("text"), F.col("lead")).alias("text"))
