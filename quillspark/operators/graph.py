@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordering import ranked
 from quillspark.operators.tables import saved
 
 # Fixed values that decide results.
@@ -36,9 +37,13 @@ def citation_edges(refs: DataFrame) -> DataFrame:
 
 
 def adjacent_siblings(p: DataFrame) -> DataFrame:
-    """(a, b): neighbours in sibling order under one parent; roots are siblings of each other."""
-    order = Window.partitionBy("parent_internal_id").orderBy(F.asc_nulls_last("sibling_order"), "internal_id")
-    return p.select(F.col("internal_id").alias("a"), F.lead("internal_id").over(order).alias("b")).where("b IS NOT NULL")
+    """(a, b): neighbours in sibling order under one parent; roots are siblings of each other.
+    Places are counted over range partitions, so a wide parent is no task of its own."""
+    order = [F.asc_nulls_first("parent_internal_id"), F.asc_nulls_last("sibling_order"), F.asc("internal_id")]
+    rows = saved(ranked(p.select("internal_id", "parent_internal_id", "sibling_order"), order, "at"))
+    one = rows.select(F.col("internal_id").alias("a"), F.col("parent_internal_id").alias("up"), "at")
+    two = rows.select(F.col("internal_id").alias("b"), F.col("parent_internal_id").alias("other"), (F.col("at") - 1).alias("at"))
+    return one.join(two, "at").where(F.col("up").eqNullSafe(F.col("other"))).select("a", "b")
 
 
 def hierarchy_edges(p: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import path_label, reference_to_internal
+from quillspark.operators.ordering import ranked
 from quillspark.operators.tables import saved
 
 # Fixed value: what a text must mention to be worth a model call.
@@ -21,8 +22,10 @@ def flatten(nodes: DataFrame) -> DataFrame:
 
     Nodes without a ref id are named by their parent, title and a digest of their place,
     so the same tree always gives the same ids.  Roots count on over batches."""
-    order = Window.partitionBy("parent_node_id").orderBy("batch", "ordinal")
-    all_nodes = saved(nodes.withColumn("sibling_order", (F.row_number().over(order) - 1).cast("int")))
+    rows = ranked(nodes, [F.asc_nulls_first("parent_node_id"), F.asc("batch"), F.asc("ordinal"), F.asc("node_id")], "_at")
+    first = rows.groupBy(F.col("parent_node_id").alias("_up")).agg(F.min("_at").alias("_first"))
+    placed = rows.join(first, F.col("parent_node_id").eqNullSafe(F.col("_up"))).withColumn("sibling_order", (F.col("_at") - F.col("_first")).cast("int"))
+    all_nodes = saved(placed.drop("_at", "_up", "_first"))
     front = all_nodes.where("parent_node_id IS NULL").withColumns({"parent_internal_id": F.lit(None).cast("string"), "parent_path": F.lit(None).cast("string"), "level": F.lit(1)})
     out = None
     while True:

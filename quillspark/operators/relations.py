@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import escaped
+from quillspark.operators.ordering import ranked
+from quillspark.operators.tables import saved
 
 
 def references_to(refs: DataFrame, p: DataFrame) -> DataFrame:
@@ -46,9 +48,11 @@ def definition_references(terms: DataFrame, refs: DataFrame, p: DataFrame) -> Da
 
 def child_rows(p: DataFrame) -> DataFrame:
     """(parent_internal_id, place, internal_id, title, type): children without definitions in sibling order."""
-    order = [F.asc_nulls_last("sibling_order"), F.asc("internal_id")]
     own = p.where("parent_internal_id IS NOT NULL").where((F.lower("type") != "definition") & ~F.col("ref_id").like("%:Definition:%"))
-    return own.select("parent_internal_id", F.row_number().over(Window.partitionBy("parent_internal_id").orderBy(*order)).alias("place"), "internal_id", "title", "type")
+    order = [F.asc("parent_internal_id"), F.asc_nulls_last("sibling_order"), F.asc("internal_id")]
+    rows = saved(ranked(own.select("parent_internal_id", "sibling_order", "internal_id", "title", "type"), order, "at"))
+    first = rows.groupBy("parent_internal_id").agg(F.min("at").alias("first"))
+    return rows.join(first, "parent_internal_id").select("parent_internal_id", (F.col("at") - F.col("first") + 1).cast("int").alias("place"), "internal_id", "title", "type")
 
 
 def etag(*parts: Column) -> Column:

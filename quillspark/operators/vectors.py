@@ -77,11 +77,13 @@ def encoded(texts: DataFrame, load: Callable[[], Encoder], batch: int = 32, inst
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load()
         for rows in batches:
-            for i in range(0, len(rows), batch):
-                part = rows.iloc[i : i + batch]
-                v = np.asarray(encode([head + (t or "") for t in part["text"]]), np.float32)
+            told = [head + (t or "") for t in rows["text"]]
+            found = []
+            for i in range(0, len(told), batch):
+                v = np.asarray(encode(told[i : i + batch]), np.float32)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "place": part["place"].to_numpy(), "embedding": list(v / np.where(norm > 0, norm, 1))})
+                found += list(v / np.where(norm > 0, norm, 1))
+            yield pd.DataFrame({"key": rows["key"].to_numpy(), "place": rows["place"].to_numpy(), "embedding": found})
 
     return texts.select("key", "place", "text").mapInPandas(run, "key string, place int, embedding array<float>")
 
@@ -93,8 +95,8 @@ def embed(p: DataFrame, load: Callable[[], Encoder], model: str, batch: int = 64
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for key, chunks in zip(rows["key"], embedding_cuts(list(rows["text"])), strict=True):
-                yield pd.DataFrame({"key": key, "place": range(max(len(chunks), 1)), "text": chunks or [""]})
+            pieces = [(k, i, c) for k, chunks in zip(rows["key"], embedding_cuts(list(rows["text"])), strict=True) for i, c in enumerate(chunks or [""])]
+            yield pd.DataFrame(pieces, columns=["key", "place", "text"])
 
     chunks = p.where("internal_id IS NOT NULL").select(F.col("internal_id").alias("key"), whole.alias("text")).dropDuplicates(["key"]).mapInPandas(cut, "key string, place int, text string")
     mean = mean_vectors(encoded(chunks, load, batch, instruction).select("key", "embedding"), "key")
