@@ -4,9 +4,9 @@ Iterations write each round (or every few) to the shared folder, so plans stay s
 and a lost executor costs nothing.
 
 Provisions that use a term are all neighbours of each other, which would be quadratic as
-edges.  :class:`Mixed` keeps such a clique as a star: a step collects what a term's users
-hold, hands it back to them and takes each one's own share off, which is the same product
-with the same numbers and as many rows as there are uses.
+edges.  :class:`Mixed` keeps such a clique as a star: a step of a :class:`Walk` collects what a
+term's users hold, hands it back to them and takes each one's own share off, which is the
+same product with the same numbers and as many rows as there are uses.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.ordering import ranked
-from quillspark.operators.tables import saved
+from quillspark.operators.push import EPS, TOP, PushGraph, push_tops
+from quillspark.operators.tables import discard, saved
 
 # Fixed values that decide results.
 WEIGHT = {"cit": 0.45, "hier": 0.20, "term": 0.20, "sem": 0.05}
@@ -25,7 +26,6 @@ SIBLING_WEIGHT = 0.8
 GAMMA_BASELINE, GAMMA_QUERY = 0.50, 0.55
 PAGERANK_DAMPING = 0.85
 PER_TERM = 200
-EPS, TOP = 1e-6, 200
 BASELINE_ROUNDS, PAGERANK_ROUNDS, DIFFUSION_ROUNDS = 50, 100, 20
 LOCAL_NODES, LOCAL_EDGES, NEIGHBOURS = 5000, 40000, 80
 
@@ -89,21 +89,24 @@ def term_cooccurrence(terms: DataFrame, per_term: int = PER_TERM) -> DataFrame:
 class Mixed:
     """The weighted views of a corpus as tables.
 
-    ``links`` (id, node, term, p, gate): where a node's mass goes.  To another node with the
-    share p; to a term with 1 / total, which ``uses`` (id, term, w) hands on to all users; and
-    back from itself with the negative share that its own use of a term would return.  `gate`
-    is the share that a single neighbour gets.  A node without neighbours links to itself."""
+    ``direct`` (id, node, w): edges of citations and hierarchy; ``uses`` (id, term, w, df): what a node's
+    use of a term weighs for each of the term's other users, of nodes only; ``totals`` (id, total): the
+    weight of a node's whole row.  A node without a row links to itself."""
 
     nodes: DataFrame
-    links: DataFrame
+    direct: DataFrame
     uses: DataFrame
+    totals: DataFrame
+    _push: PushGraph | None = None
 
     @staticmethod
     def of(p: DataFrame, refs: DataFrame, terms: DataFrame) -> Mixed:
         nodes = saved(p.select(F.col("internal_id").alias("id")).distinct())
         views = citation_edges(refs).withColumn("w", F.col("w") * WEIGHT["cit"]).union(hierarchy_edges(p).withColumn("w", F.col("w") * WEIGHT["hier"]))
-        uses = term_uses(terms).where("df > 1").select("id", "term", (WEIGHT["term"] * F.col("idf")).alias("w"), "df")
-        return Mixed._linked(nodes, views, saved(uses.join(nodes, "id", "left_semi")))
+        # users that are no nodes count neither in a term's frequency nor in anybody's row
+        own = terms.join(nodes.withColumnRenamed("id", "source_internal_id"), "source_internal_id", "left_semi")
+        uses = term_uses(own).where("df > 1").select("id", "term", (WEIGHT["term"] * F.col("idf")).alias("w"), "df")
+        return Mixed._linked(nodes, views, saved(uses))
 
     @staticmethod
     def plain(nodes: DataFrame, edges: DataFrame) -> Mixed:
@@ -118,108 +121,129 @@ class Mixed:
         direct = saved(known.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0").select(F.col("src").alias("id"), F.col("dst").alias("node"), "w"))
         weights = direct.select("id", "w").union(uses.select("id", F.col("w") * (F.col("df") - 1)))
         totals = saved(weights.groupBy("id").agg(F.sum("w").alias("total")).where("total > 0"))
-        share, none = F.col("w") / F.col("total"), F.lit(None).cast("string")
-        to_node = direct.join(totals, "id").select("id", "node", none.alias("term"), share.alias("p"), share.alias("gate"))
-        using = uses.join(totals, "id")
-        to_term = using.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("node"), "term", (1 / F.col("total")).alias("p"), share.alias("gate"))
-        back = using.select("id", F.col("id").alias("node"), none, -share, share)
-        alone = nodes.join(totals, "id", "left_anti").select("id", F.col("id").alias("node"), none, F.lit(1.0), F.lit(1.0))
-        return Mixed(nodes, saved(to_node.union(to_term).union(back).union(alone)), saved(uses.select("id", "term", "w")))
-
-    def step(self, held: DataFrame, *keys: str, least: float = 0.0) -> DataFrame:
-        """(keys, id, x): what each node gets when every node passes its x of `held` (keys, id, x) on.
-        With `least`, what a single neighbour would get below that is dropped."""
-        moved = held.join(self.links, "id")
-        if least:
-            moved = moved.where(F.col("x") * F.col("gate") >= least)
-        got = moved.groupBy(*keys, "node", "term").agg(F.sum(F.col("x") * F.col("p")).alias("x"))
-        direct = got.where("term IS NULL").select(*keys, F.col("node").alias("id"), "x")
-        shared = got.where("term IS NOT NULL").select(*keys, "term", "x").join(self.uses, "term").select(*keys, "id", (F.col("x") * F.col("w")).alias("x"))
-        return direct.union(shared).groupBy(*keys, "id").agg(F.sum("x").alias("x"))
+        return Mixed(nodes, direct, uses, totals)
 
     def rows(self) -> DataFrame:
         """(src, dst, via, p): the transition matrix; a row through a term (via = 'term', dst = its
         text) stands for equal shares to the term's other users.  Rows of a node sum to one."""
-        users = self.uses.groupBy("term").agg(F.count("*").alias("n"))
-        star = self.links.where("term IS NOT NULL").join(users, "term").select(F.col("id").alias("src"), F.col("term").alias("dst"), F.lit("term").alias("via"), (F.col("gate") * (F.col("n") - 1)).alias("p"))
-        via = F.when(F.col("id") == F.col("node"), "self").otherwise("edge")
-        return self.links.where("term IS NULL AND p > 0").select(F.col("id").alias("src"), F.col("node").alias("dst"), via.alias("via"), "p").union(star)
+        edge = self.direct.join(self.totals, "id").select(F.col("id").alias("src"), F.col("node").alias("dst"), F.lit("edge").alias("via"), (F.col("w") / F.col("total")).alias("p"))
+        star = self.uses.join(self.totals, "id").select(F.col("id").alias("src"), F.col("term").alias("dst"), F.lit("term"), F.col("w") * (F.col("df") - 1) / F.col("total"))
+        alone = self.nodes.join(self.totals, "id", "left_anti").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("self"), F.lit(1.0))
+        return edge.union(star).union(alone)
 
+    def push_graph(self) -> PushGraph:
+        """The rows for forward push, made once."""
+        if self._push is None:
+            self._push = PushGraph.of(self.nodes, self.direct, self.uses, self.totals)
+        return self._push
 
-def power_iteration(graph: Mixed, gamma: float, rounds: int = BASELINE_ROUNDS, tolerance: float = 1e-14, every: int = 5) -> DataFrame:
-    """(id, pi): pi' = (1 - gamma) / n + gamma * pi P from the uniform start, normalised at the
-    end; `rounds` rounds, or fewer if one (each `every`-th is looked at) changes less than `tolerance` altogether."""
-    ids = graph.nodes
-    n = max(ids.count(), 1)
-    pi = ids.withColumn("x", F.lit(1.0 / n))
-    for k in range(rounds):
-        last = pi
-        flow = graph.step(pi).withColumnRenamed("x", "got")
-        pi = saved(ids.join(flow, "id", "left").select("id", ((1 - gamma) / n + gamma * F.coalesce("got", F.lit(0.0))).alias("x")))
-        if (k + 1) % every == 0:
-            moved = pi.join(last.withColumnRenamed("x", "before"), "id").agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0]
-            if (moved or 0.0) < tolerance:
-                break
+
+class Walk:
+    """Steps of a walk over links (id, node, term, p), from a node to a node or to a term, and
+    ``uses`` (id, term, w) that hand on to all users what arrives at a term.
+
+    Links are laid out by node once and kept in memory (an executor's loss reads the tables again), so a
+    step moves sums only: what arrives at a node or a term, added up before it is shuffled.  That much is
+    written each step, one job a step; tables of earlier steps go."""
+
+    def __init__(self, links: DataFrame, uses: DataFrame) -> None:
+        parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.links = links.repartition(parts, "id").persist()
+        self.uses = uses.persist()
+        self.arrived: list[DataFrame] = []
+
+    @staticmethod
+    def of(graph: Mixed) -> Walk:
+        """A clique of a term's users is a star: what they hold is collected at the term, handed back to
+        all, and each one's own use of it takes its share off again."""
+        no_node, no_term = F.lit(None).cast(graph.nodes.schema["id"].dataType).alias("node"), F.lit(None).cast("string").alias("term")
+        share = F.col("w") / F.col("total")
+        to_node = graph.direct.join(graph.totals, "id").select("id", "node", no_term, share.alias("p"))
+        using = graph.uses.join(graph.totals, "id")
+        to_term = using.select("id", no_node, "term", (1 / F.col("total")).alias("p"))
+        own = using.groupBy("id").agg(F.sum(-share).alias("p")).select("id", F.col("id").alias("node"), no_term, "p")
+        alone = graph.nodes.join(graph.totals, "id", "left_anti").select("id", F.col("id").alias("node"), no_term, F.lit(1.0).alias("p"))
+        return Walk(to_node.union(to_term).union(own).union(alone), graph.uses.select("id", "term", "w"))
+
+    def step(self, held: DataFrame, *keys: str) -> DataFrame:
+        """(keys, id, x): what each node gets when every node passes its x of `held` (keys, id, x) on."""
+        got = saved(held.join(self.links, "id").groupBy(*keys, "node", "term").agg(F.sum(F.col("x") * F.col("p")).alias("x")))
+        self.arrived.append(got)
+        discard(*self.arrived[:-3])
+        self.arrived = self.arrived[-3:]
+        direct = got.where("term IS NULL").select(*keys, F.col("node").alias("id"), "x")
+        shared = got.where("term IS NOT NULL").select(*keys, "term", "x").join(self.uses, "term").select(*keys, "id", (F.col("x") * F.col("w")).alias("x"))
+        return direct.union(shared).groupBy(*keys, "id").agg(F.sum("x").alias("x"))
+
+    def close(self) -> None:
+        """Only when no plan reads the last steps."""
+        discard(*self.arrived)
+        self.links.unpersist()
+        self.uses.unpersist()
+
+    def settled(self, nodes: DataFrame, gamma: float, rounds: int, tolerance: float, every: int = 5) -> DataFrame:
+        """(id, x) as a table: x' = (1 - gamma) / n + gamma * x P from the uniform start over `nodes` (id);
+        `rounds` rounds, or fewer if one (each `every`-th is looked at) changes less than `tolerance` altogether."""
+        n = max(nodes.count(), 1)
+        x = nodes.withColumn("x", F.lit(1.0 / n))
+        for k in range(rounds):
+            last, flow = x, self.step(x).withColumnRenamed("x", "got")
+            x = nodes.join(flow, "id", "left").select("id", ((1 - gamma) / n + gamma * F.coalesce("got", F.lit(0.0))).alias("x"))
+            if k and (k + 1) % every == 0 and k + 1 < rounds:
+                moved = x.join(last.withColumnRenamed("x", "before"), "id").agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0]
+                if (moved or 0.0) < tolerance:
+                    break
+        out = saved(x)
+        self.close()
+        return out
+
+
+def power_iteration(graph: Mixed, gamma: float, rounds: int = BASELINE_ROUNDS, tolerance: float = 1e-14) -> DataFrame:
+    """(id, pi): the settled masses of the whole graph, normalised at the end."""
+    pi = Walk.of(graph).settled(graph.nodes, gamma, rounds, tolerance)
     total = pi.agg(F.sum("x")).first()[0] or 1.0
     return pi.select("id", (F.col("x") / F.lit(total)).alias("pi"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = PAGERANK_DAMPING, rounds: int = PAGERANK_ROUNDS, tolerance: float = 1e-13, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = PAGERANK_DAMPING, rounds: int = PAGERANK_ROUNDS, tolerance: float = 1e-13) -> DataFrame:
     """(id, rank): PageRank over (src, dst); what ends in nodes without outgoing edges is spread
-    evenly.  Ends when a round (each `every`-th is looked at) changes less than `tolerance` altogether."""
+    evenly, as by a term that those nodes link to and all nodes use."""
     ids = saved(nodes.select("id").distinct())
-    n = ids.count()
+    n = max(ids.count(), 1)
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    steps = saved(edges.join(out, "src").select("src", "dst", (1 / F.col("deg")).alias("p")))
-    ends = saved(ids.join(out, ids.id == out.src, "left_anti"))
-    rank = before = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
-        flow = steps.join(rank, steps.src == rank.id).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        lost = rank.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = ids.join(flow, ids.id == flow.dst, "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
-        rank = saved(rank)
-        if (k + 1) % every == 0:
-            moved = rank.join(before.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-            if (moved or 0.0) < tolerance:
-                break
-        before = rank
-    return rank
+    no_node, no_term = F.lit(None).cast(ids.schema["id"].dataType).alias("node"), F.lit(None).cast("string").alias("term")
+    steps = edges.join(out, "src").select(F.col("src").alias("id"), F.col("dst").alias("node"), no_term, (1 / F.col("deg")).alias("p"))
+    ends = ids.join(out.withColumnRenamed("src", "id"), "id", "left_anti").select("id", no_node, F.lit("").alias("term"), F.lit(1.0 / n).alias("p"))
+    walk = Walk(saved(steps.union(ends)), ids.select("id", F.lit("").alias("term"), F.lit(1.0).alias("w")))
+    return walk.settled(ids, damping, rounds, tolerance).withColumnRenamed("x", "rank")
 
 
 def diffuse(seeds: DataFrame, graph: Mixed, gamma: float, rounds: int = DIFFUSION_ROUNDS, every: int = 3) -> DataFrame:
     """(seed, id, mass): personalised diffusion by `rounds` exact steps, for many seeds at once.
 
     seeds: (seed, id, w) with weights that sum to one a seed."""
+    walk = Walk.of(graph)
     step = saved(seeds.select("seed", "id", F.col("w").alias("x")))
+    steps = [step]
     mass = step.select("seed", "id", (F.lit(1 - gamma) * F.col("x")).alias("mass"))
     for k in range(rounds):
-        step = saved(graph.step(step, "seed").withColumn("x", gamma * F.col("x")))
+        step = saved(walk.step(step, "seed").withColumn("x", gamma * F.col("x")))
+        steps.append(step)
         share = 1.0 if k + 1 == rounds else 1 - gamma
         mass = mass.union(step.select("seed", "id", (F.lit(share) * F.col("x")).alias("mass")))
-        if (k + 1) % every == 0:
+        if (k + 1) % every == 0 or k + 1 == rounds:
             mass = saved(mass.groupBy("seed", "id").agg(F.sum("mass").alias("mass")))
+            discard(*steps[:-1])
+            steps = [steps[-1], mass]
+    walk.close()
     return mass.groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
 
 
-def push_masses(seeds: DataFrame, graph: Mixed, gamma: float = GAMMA_BASELINE, eps: float = EPS) -> DataFrame:
-    """(seed, id, mass) by forward push, in rounds of joins at every size of the graph.
-
-    A round takes every (seed, node) whose residual is `eps` or more: the node keeps
-    ``1 - gamma`` of it and passes the rest on, except for shares below `eps`.  A seed pushes
-    at most ``1 / ((1 - gamma) * eps)`` times, so its rows are bounded whatever the graph.
+def push_masses(seeds: DataFrame, graph: Mixed, gamma: float = GAMMA_BASELINE, eps: float = EPS, top: int = TOP) -> DataFrame:
+    """(seed, id, mass, r, captured) by forward push with a queue a seed; the `top` largest masses of each.
 
     seeds: (seed, id, w)."""
-    rest = saved(seeds.select("seed", "id", F.col("w").alias("x")))
-    settled = None
-    while rest.where(F.col("x") >= eps).limit(1).count():
-        ready = rest.where(F.col("x") >= eps)
-        mass = ready.select("seed", "id", ((1 - gamma) * F.col("x")).alias("mass"))
-        settled = mass if settled is None else settled.union(mass)
-        more = graph.step(ready.withColumn("x", gamma * F.col("x")), "seed", least=eps).where("x > 0")
-        rest = saved(rest.where(F.col("x") < eps).union(more.select("seed", "id", "x")).groupBy("seed", "id").agg(F.sum("x").alias("x")))
-    if settled is None:
-        return rest.select("seed", "id", F.col("x").alias("mass")).limit(0)
-    return settled.groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
+    return push_tops(seeds, graph.push_graph(), gamma, eps, top)
 
 
 def within_hops(seeds: DataFrame, refs: DataFrame, hops: int) -> DataFrame:
@@ -306,7 +330,7 @@ def stored_or_pushed(seeds: DataFrame, stored: DataFrame, graph: Mixed, gamma: f
     pushed for the others (a read-through cache; the caller publishes what is new)."""
     hit = stored.join(seeds.select("seed"), "seed", "left_semi").select("seed", "id", "mass")
     missing = seeds.join(stored.select("seed").distinct(), "seed", "left_anti").select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("w"))
-    return hit.union(push_masses(missing, graph, gamma, eps))
+    return hit.union(push_masses(missing, graph, gamma, eps).select("seed", "id", "mass"))
 
 
 def top_masses(masses: DataFrame, top: int = TOP) -> DataFrame:

@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _remove_all() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -34,7 +34,7 @@ def _remove_all() -> None:
             pass
 
 
-atexit.register(_remove_all)
+atexit.register(lambda: _remove(_written))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -43,7 +43,17 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames of :func:`saved` that no later plan reads."""
+    paths = {getattr(df, "_table", None) for df in frames}
+    own = [t for t in _written if t[1] in paths]
+    _remove(own)
+    _written[:] = [t for t in _written if t not in own]
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,5 +92,5 @@ class Kept:
         if version not in self.tables:
             self.tables[version] = saved(self.build(version))
             while len(self.tables) > self.most:
-                del self.tables[next(iter(self.tables))]
+                discard(self.tables.pop(next(iter(self.tables))))
         return self.tables[version]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 from quillspark.operators import vectors as V
-from quillspark.operators.ordering import ranked
 from quillspark.operators.tables import saved
 from quillspark.plans.catalog import register
 from quillspark.sources.model import provisions, references, table, term_usage
@@ -95,29 +94,21 @@ def every_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         graph = mixed(spark, sf_dir)
-        # numbers in place of names for the rounds, which hold seeds times reached nodes
-        names = saved(ranked(graph.nodes, ["id"], "g").select("id", F.col("g").cast("int").alias("g")))
-
-        def coded(df: DataFrame, column: str) -> DataFrame:
-            return df.join(names.withColumnRenamed("id", column), column, "left").drop(column).withColumnRenamed("g", column)
-
-        small = G.Mixed(names.select(F.col("g").alias("id")), saved(coded(coded(graph.links, "id"), "node").select("id", "node", "term", "p", "gate")), saved(coded(graph.uses, "id").select("id", "term", "w")))
-        seeds = names.select(F.col("g").alias("seed"), F.col("g").alias("id"), F.lit(1.0).alias("w"))
-        best = G.top_masses(G.push_masses(seeds, small))
-        back = best.join(names.select(F.col("g").alias("seed"), F.col("id").alias("s")), "seed").join(names.withColumnRenamed("id", "n"), best.id == names.g)
-        return saved(back.select(F.col("s").alias("seed"), F.col("n").alias("id"), "mass", "r", "captured"))
+        return saved(G.push_masses(graph.nodes.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("w")), graph))
 
     return published(spark, sf_dir, "fingerprints", build)
 
 
 @register(
-    "--cte " + _EDGES + """ SELECT src, dst, 'edge' AS via, round(w / total, 6) AS p FROM direct JOIN total ON id = src
-UNION ALL SELECT uses.id, term, 'term', round(w * (df - 1) / total, 6) FROM uses JOIN total ON total.id = uses.id WHERE df > 1
+    "--cte " + _EDGES + """ SELECT src, dst, 'edge' AS via, round(w / total + 1e-10, 6) AS p FROM direct JOIN total ON id = src
+UNION ALL SELECT uses.id, term, 'term', round(w * (df - 1) / total + 1e-10, 6) FROM uses JOIN total ON total.id = uses.id WHERE df > 1
 UNION ALL SELECT internal_id, internal_id, 'self', 1.0 FROM provisions WHERE internal_id NOT IN (SELECT id FROM total)""",
     tables=True,
 )
 def edge_mix_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.Mixed.of(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir)).rows().select("src", "dst", "via", F.round("p", 6).alias("p"))
+    """Shares are rounded from a hair above, so that exact halves round alike in every engine."""
+    graph = G.Mixed.of(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir))
+    return graph.rows().select("src", "dst", "via", F.round(F.col("p") + 1e-10, 6).alias("p"))
 
 
 def _iterate(gamma: float, rounds: int) -> str:
@@ -173,16 +164,17 @@ def ppr_fixed_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every provision: the seed leaves after masses are ranked and summed (brute-force test, no SQL)."""
+    """Of every provision: its neighbours by mass (at most 200, itself not among them) and what the push captured (tested against a queue by hand, no SQL)."""
     kept = every_fingerprint(spark, sf_dir)
-    other = F.col("id") != F.col("seed")
-    return kept.groupBy("seed").agg(F.count_if(other).alias("neighbors"), F.round(F.max("captured"), 6).alias("captured"), F.min_by(F.when(other, F.col("id")), F.when(other, F.col("r"))).alias("nearest"))
+    other = F.when(F.col("id") != F.col("seed"), F.struct("r", F.struct(F.col("id").alias("prov_id"), F.col("mass").alias("ppr_mass")).alias("n")))
+    near = F.transform(F.array_sort(F.collect_list(other)), lambda x: x["n"])
+    return kept.groupBy("seed").agg(near.alias("neighbors"), F.round(F.max("captured"), 6).alias("captured"))
 
 
 @register()
 def ppr_forward_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The masses that every provision's push leaves with its first 20 nodes, a top-k report (brute-force test, no SQL)."""
-    return every_fingerprint(spark, sf_dir).where("r <= 20").select("seed", "id", "mass", "captured")
+    """All masses that every provision's push leaves, its 200 largest (tested against a queue by hand, no SQL)."""
+    return every_fingerprint(spark, sf_dir).select("seed", "id", "r", "mass", "captured")
 
 
 @register("SELECT p.internal_id AS seed FROM provisions p LEFT JOIN (SELECT 'R' || r_regionkey AS id, 1 AS version FROM region WHERE r_regionkey < 3) c ON c.id = p.internal_id AND c.version = 1 WHERE c.id IS NULL", tables=True)
