@@ -27,16 +27,15 @@ total AS (SELECT id, sum(w) AS total FROM (SELECT src AS id, w FROM direct UNION
 _FIXED = _EDGES.replace("uses AS (", "uses AS MATERIALIZED (").replace("direct AS (", "direct AS MATERIALIZED (").replace("total AS (", "total AS MATERIALIZED (")
 
 
-def _step_sql(held: str, keys: str = "", least: float = 0.0) -> str:
-    """Rows (keys, id, x): what each node gets from `held` (keys, id, x), shares below `least` dropped."""
-    enough = f"q.q * w >= {least}" if least else "true"
+def _step_sql(held: str, keys: str = "") -> str:
+    """Rows (keys, id, x): what each node gets from `held` (keys, id, x)."""
     k, g = (f"{keys}, ", f"{keys}, ") if keys else ("", "")
     q = f"(SELECT {k}h.id, x / total AS q FROM {held} h JOIN total ON total.id = h.id)"
     own = f"q.{keys}, " if keys else ""
     return f"""SELECT {g}id, sum(x) AS x FROM (
-  SELECT {own}dst AS id, q.q * w AS x FROM {q} q JOIN direct ON src = q.id WHERE {enough}
-  UNION ALL SELECT {"s." + keys + ", " if keys else ""}u.id, u.w * s.s FROM uses u JOIN (SELECT {own}term, sum(q.q) AS s FROM uses JOIN {q} q ON q.id = uses.id WHERE {enough} GROUP BY ALL) s ON s.term = u.term
-  UNION ALL SELECT {own}u.id, -u.w * q.q FROM uses u JOIN {q} q ON q.id = u.id WHERE {enough}
+  SELECT {own}dst AS id, q.q * w AS x FROM {q} q JOIN direct ON src = q.id
+  UNION ALL SELECT {"s." + keys + ", " if keys else ""}u.id, u.w * s.s FROM uses u JOIN (SELECT {own}term, sum(q.q) AS s FROM uses JOIN {q} q ON q.id = uses.id GROUP BY ALL) s ON s.term = u.term
+  UNION ALL SELECT {own}u.id, -u.w * q.q FROM uses u JOIN {q} q ON q.id = u.id
   UNION ALL SELECT {k}h.id, x FROM {held} h WHERE h.id NOT IN (SELECT id FROM total)) GROUP BY ALL"""
 
 
