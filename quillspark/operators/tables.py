@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,25 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """`df` as a table in folders by the hash of `key` (``bucket``) and sorted by it within, so that a reader of
+    some keys (see :func:`having`) opens their folders only, and of those the row groups that can hold them."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    spread = df.withColumn("bucket", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).cast("int")).repartition("bucket", key)
+    spread.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
+    out = spark.read.schema(spread.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def having(table: DataFrame, key: str, values: list[str], buckets: int = 64) -> DataFrame:
+    """The rows of a table of :func:`keyed` with these values of its key."""
+    folders = sorted({crc32(v.encode()) % buckets for v in values})
+    return table.where(F.col("bucket").isin(folders) & F.col(key).isin(values)) if values else table.where(F.lit(False))
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the tables behind frames of :func:`saved` that no later plan reads."""
     paths = {getattr(df, "_table", None) for df in frames}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.stemming import cover_density, lexemes, stem
+from quillspark.functions.stemming import STOP, cover_density, lexemes, stem
 from quillspark.operators import etl as E
 
 
@@ -114,6 +114,21 @@ def test_tagger(spark):
     assert got == {0: "car,car park", 1: "R&D,policy", 2: "box,half,knife", 3: ""}
 
 
+#: Words of the sample vocabulary that was published with the algorithm, and their stems.
+SAMPLE = {
+    "consign": "consign consigned consigning consignment", "consist": "consist consisted consistency consistent consistently consisting consists", "consol": "consolation consolations console consoled consoles consoling consolingly consols",
+    "consolatori": "consolatory", "consolid": "consolidate consolidated consolidating", "conson": "consonant", "consort": "consort consorted consorting", "conspicu": "conspicuous conspicuously", "conspiraci": "conspiracy",
+    "conspir": "conspirator conspirators conspire conspired conspiring", "constabl": "constable constables", "constanc": "constance constancy", "constant": "constant", "knack": "knack knacks", "knackeri": "knackeries", "knag": "knag",
+    "knave": "knave knaves", "knavish": "knavish", "knead": "kneaded kneading", "knee": "knee knees", "kneel": "kneel kneeled kneeling kneels", "knight": "knight knightly knights", "knit": "knit knits knitted knitting", "knock": "knock knocked knocking knocks", "knocker": "knocker knockers", "knot": "knot knots",
+    "sky": "sky skies", "die": "dying", "onli": "only", "news": "news", "generat": "generate", "generic": "generic", "communic": "communication", "succeed": "succeed", "happi": "happy", "say": "say", "hope": "hoping", "hop": "hopping", "apolog": "apology", "control": "controll",
+}
+
+
+def test_stems_of_the_published_sample():
+    assert {w: stem(w) for words in SAMPLE.values() for w in words.split()} == {w: s for s, words in SAMPLE.items() for w in words.split()}
+    assert len(STOP) == 127 and lexemes("The dogs of war") == [None, "dog", None, "war"]
+
+
 def test_stems_and_covers():
     assert [stem(w) for w in ("ponies", "cats", "hopping", "agreed", "happy", "sing")] == ["poni", "cat", "hop", "agre", "happi", "sing"]
     assert lexemes("The cats, and the hat") == [None, "cat", None, None, "hat"]
