@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.hierarchy import belongs_to
 from quillspark.operators.ordering import ranked
 from quillspark.operators.push import EPS, TOP, PushGraph, push_tops
 from quillspark.operators.tables import discard, saved
@@ -28,6 +29,8 @@ PAGERANK_DAMPING = 0.85
 PER_TERM = 200
 BASELINE_ROUNDS, PAGERANK_ROUNDS, DIFFUSION_ROUNDS = 50, 100, 20
 LOCAL_NODES, LOCAL_EDGES, NEIGHBOURS = 5000, 40000, 80
+#: More seeds than these without a fingerprint are pushed together.
+JOINT = 3
 
 
 def citation_edges(refs: DataFrame) -> DataFrame:
@@ -276,53 +279,114 @@ def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
             fronts = [saved(seen.union(front))]
 
 
-def local_edges(graph_nodes: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, similar: DataFrame | None = None) -> DataFrame:
-    """(src, dst, w): the weighted edges of a query's local graph `graph_nodes` (id), with the
-    semantic view (a, b, sim) if there is one; at most ``LOCAL_EDGES``, the heaviest."""
-    def inside(df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(F.broadcast(graph_nodes.select(F.col("id").alias(c))), c, "left_semi")
-        return df
+def _first(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
+    """The first `n` rows of each key: of each bucket first, so that a hot key is no hot task."""
+    near = df.withColumn("_b", F.pmod(F.xxhash64("src", "dst"), F.lit(64)))
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order))).where(F.col("_r") <= n)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_b")
 
-    own = p.join(graph_nodes.select(F.col("id").alias("internal_id")), "internal_id", "left_semi")
-    pairs = term_cooccurrence(inside(terms, "source_internal_id")).select("a", "b", (WEIGHT["term"] * F.col("w")).alias("w"))
-    if similar is not None:
-        pairs = pairs.union(inside(similar, "a", "b").select("a", "b", WEIGHT["sem"] * F.greatest("sim", F.lit(0.0))))
-    views = inside(citation_edges(refs), "src", "dst").select("src", "dst", WEIGHT["cit"] * F.col("w")).union(inside(hierarchy_edges(own), "src", "dst").select("src", "dst", WEIGHT["hier"] * F.col("w")))
-    views = views.union(pairs.select("a", "b", "w")).union(pairs.select("b", "a", "w"))
-    edges = views.toDF("src", "dst", "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    return edges.orderBy(F.desc("w"), "src", "dst").limit(LOCAL_EDGES)
-
-
-def local_nodes(seeds: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, hops: int = 2) -> DataFrame:
-    """(id, hop): what `seeds` (id) reach in `hops` steps over citations (either way), parents,
-    children, adjacent siblings, and at most ``NEIGHBOURS`` users of a shared term; at most
-    ``LOCAL_NODES``, the nearest, then the least ids."""
-    side = adjacent_siblings(p)
-    links = refs.where("target_internal_id IS NOT NULL").select(F.col("source_internal_id").alias("a"), F.col("target_internal_id").alias("b"))
-    links = links.union(p.where("parent_internal_id IS NOT NULL").select("internal_id", "parent_internal_id")).union(side).distinct()
-    both = saved(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    users = saved(term_uses(terms).select("id", "term"))
-    seen = saved(seeds.select("id", F.lit(0).alias("hop")).distinct())
-    front = seen
-    for hop in range(1, hops + 1):
-        reached = both.join(F.broadcast(front.select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id"))
-        shared = users.join(front.select("id"), "id", "left_semi").select("term").distinct()
-        # the least users of each term: of each bucket first, so that a hot term is no hot task
-        near = users.join(F.broadcast(shared), "term").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64)))
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("term", "bucket").orderBy("id"))).where(F.col("r") <= NEIGHBOURS)
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("id"))).where(F.col("r") <= NEIGHBOURS).select("id")
-        front = saved(reached.union(near).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        seen = seen.union(front)
-    return saved(seen.orderBy("hop", "id").limit(LOCAL_NODES))
 
+@dataclass
+class Local:
+    """The graphs around some groups of seeds, side by side: ``nodes`` (grp, id), ``edges`` (grp, src, dst, w)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def local_graph(seeds: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, near: DataFrame | None = None, act: str | None = None, excluded: DataFrame | None = None) -> Local:
+    """The graph around each group of seeds (grp, id), of `act`'s provisions (all without one) but `excluded` ones (id).
+
+    * Citations of the frontier, either way, in two rounds (the second only below ``LOCAL_NODES`` nodes); one that both
+      rounds meet counts in both; at most ``LOCAL_EDGES``, by round, then by ids.
+    * Of every node so far its parent, and of those parents all children and adjacent siblings, both ways; the link of such a node
+      to its parent counts twice.
+    * Of the *seeds'* terms, as they are written, all users as nodes, and pairs of the first ``PER_TERM`` users by id.
+    * `near` (id, other, r): the seeds' nearest neighbours, nodes as well, while both budgets last."""
+    key = ["grp", "id"]
+
+    def allowed(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.where(belongs_to(F.col(c), act))
+            if excluded is not None:
+                df = df.join(excluded.select(F.col("id").alias(c)).distinct(), c, "left_anti")
+        return df
 
-def local_fingerprint(seeds: DataFrame, p: DataFrame, refs: DataFrame, terms: DataFrame, similar: DataFrame | None = None) -> DataFrame:
-    """(seed, id, mass): weighted seeds (id, w) pushed together over their local graph, as a
-    search does for seeds without a stored fingerprint."""
-    nodes = local_nodes(seeds, p, refs, terms)
-    graph = Mixed.plain(nodes, local_edges(nodes, p, refs, terms, similar))
-    return push_masses(seeds.select(F.lit("q").alias("seed"), "id", "w"), graph, GAMMA_QUERY)
+    seeds = saved(allowed(seeds.select(*key).distinct(), "id"))
+    known = refs.where("target_internal_id IS NOT NULL").select(F.col("source_internal_id").alias("src"), F.col("target_internal_id").alias("dst"))
+    known = saved(allowed(known, "src", "dst"))
+    nodes, front, cited = seeds, seeds, None
+    for hop in range(2):
+        # a citation within the frontier is met once
+        out = known.join(front.select("grp", F.col("id").alias("src")), "src").select("grp", "src", "dst")
+        into = known.join(front.select("grp", F.col("id").alias("dst")), "dst").join(front.select("grp", F.col("id").alias("src")), ["grp", "src"], "left_anti").select("grp", "src", "dst")
+        met = saved(out.union(into).withColumn("hop", F.lit(hop)))
+        cited = met if cited is None else cited.union(met)
+        ends = met.select("grp", F.col("src").alias("id")).union(met.select("grp", "dst")).distinct()
+        front = ends.join(front, key, "left_anti")
+        nodes = saved(nodes.union(ends).distinct())
+        small = nodes.groupBy("grp").count().where(F.col("count") < LOCAL_NODES).select("grp")
+        front = saved(front.join(small, "grp", "left_semi"))
+    cited = saved(_first(cited, "grp", ["hop", "src", "dst"], LOCAL_EDGES).select("grp", "src", "dst"))
+    # what a budget cut off is no node either
+    nodes = saved(seeds.union(cited.select("grp", "src")).union(cited.select("grp", "dst")).distinct())
+
+    own = saved(allowed(p.select("internal_id", "parent_internal_id", "sibling_order"), "internal_id"))
+    up = own.where("parent_internal_id IS NOT NULL").select(F.col("internal_id").alias("id"), F.col("parent_internal_id").alias("up"))
+    parents = saved(allowed(nodes.join(up, "id").select("grp", "id", "up"), "up"))
+    tops = parents.select("grp", "up").distinct()
+    kids = tops.join(up, "up").select("grp", "id", "up")
+    side = adjacent_siblings(own).join(up, F.col("a") == F.col("id")).select("a", "b", "up")
+    side = tops.join(side, "up").select("grp", F.col("a").alias("src"), F.col("b").alias("dst"))
+    hier = parents.select("grp", F.col("id").alias("src"), F.col("up").alias("dst")).union(kids.select("grp", "id", "up")).union(side)
+    nodes = saved(nodes.union(tops).union(kids.select(*key)).distinct())
+
+    uses = allowed(terms.where("term_text <> ''").select(F.col("source_internal_id").alias("id"), F.col("term_text").alias("term")).distinct(), "id")
+    asked = uses.join(seeds, "id").select("grp", "term").distinct()
+    users = saved(uses.join(asked, "term").select("grp", "term", "id"))
+    few = users.select("grp", F.concat_ws("\u0001", "grp", "term").alias("t"), F.col("id").alias("src"), F.lit("").alias("dst"))
+    few = saved(_first(few, "t", ["src"], PER_TERM).select("grp", "t", "src"))
+    pairs = few.join(few.select("t", F.col("src").alias("dst")), "t").where("src < dst").select("grp", "src", "dst")
+    nodes = nodes.union(users.select(*key)).distinct()
+
+    def both(df: DataFrame, w: float) -> DataFrame:
+        return df.select("grp", "src", "dst", F.lit(w).alias("w")).union(df.select("grp", "dst", "src", F.lit(w)))
+
+    edges = cited.select("grp", "src", "dst", F.lit(WEIGHT["cit"]).alias("w")).union(both(hier, WEIGHT["hier"])).union(both(pairs, WEIGHT["term"]))
+    if near is not None:
+        edges, nodes = saved(edges), saved(nodes)
+        size = nodes.groupBy("grp").agg(F.count("*").alias("n")).join(edges.groupBy("grp").agg(F.count("*").alias("m")), "grp", "left")
+        # a seed has a bounded number of neighbours, and a group of seeds few seeds
+        found = allowed(seeds.join(near, "id").select("grp", "id", "other", "r"), "other")
+        had = nodes.withColumnsRenamed({"id": "other"}).withColumn("had", F.lit(1))
+        line = Window.partitionBy("grp").orderBy("id", "r", "other")
+        first = F.row_number().over(Window.partitionBy("grp", "other").orderBy("id", "r")) == 1
+        found = found.join(had, ["grp", "other"], "left").withColumn("new", (F.col("had").isNull() & first).cast("int")).join(size, "grp")
+        found = found.withColumn("before", F.sum("new").over(line) - F.col("new")).withColumn("place", F.row_number().over(line) - 1)
+        kept = saved(found.where((F.col("n") + F.col("before") < LOCAL_NODES) & (F.coalesce("m", F.lit(0)) + 2 * F.col("place") < LOCAL_EDGES)).select("grp", F.col("id").alias("src"), F.col("other").alias("dst")))
+        edges, nodes = edges.union(both(kept, WEIGHT["sem"])), nodes.union(kept.select("grp", "dst")).distinct()
+    return Local(saved(nodes), saved(edges.groupBy("grp", "src", "dst").agg(F.sum("w").alias("w"))))
+
+
+def local_fingerprints(seeds: DataFrame, local: Local, top: int = TOP) -> DataFrame:
+    """(grp, id, mass, captured): each group's weighted seeds (grp, id, w) pushed together over its local graph;
+    the `top` masses, the seeds' own left out."""
+    name = lambda c: F.concat_ws("\u0001", "grp", c)
+    graph = Mixed.plain(local.nodes.select(name("id").alias("id")), local.edges.select(name("src").alias("src"), name("dst").alias("dst"), "w"))
+    total = seeds.groupBy("grp").agg(F.sum("w").alias("total"))
+    asked = seeds.join(total, "grp").select(F.col("grp").alias("seed"), name("id").alias("id"), (F.col("w") / F.col("total")).alias("w"))
+    found = push_masses(asked, graph, GAMMA_QUERY, top=top)
+    plain = found.select(F.col("seed").alias("grp"), F.element_at(F.split("id", "\u0001"), -1).alias("id"), "mass", "captured")
+    return plain.join(seeds.select("grp", "id"), ["grp", "id"], "left_anti")
+
+
+def missing_groups(missing: DataFrame) -> DataFrame:
+    """(grp, act_id, seed, w, share): how seeds (act_id, id, w) without a fingerprint are pushed.  Up to ``JOINT`` of an act
+    each have a group of their own; more are one group, whose masses count by their `share`, the sum of the weights."""
+    n = missing.groupBy("act_id").agg(F.count("*").alias("n"), F.sum("w").alias("all_w"))
+    alone = F.col("n") <= JOINT
+    grp = F.when(alone, F.concat_ws("|", "act_id", "id")).otherwise(F.col("act_id"))
+    return missing.join(n, "act_id").select(grp.alias("grp"), "act_id", F.col("id").alias("seed"), "w", F.when(alone, F.col("w")).otherwise(F.col("all_w")).alias("share"))
 
 
 def stored_or_pushed(seeds: DataFrame, stored: DataFrame, graph: Mixed, gamma: float = GAMMA_BASELINE, eps: float = EPS) -> DataFrame:

@@ -49,25 +49,43 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def keyed(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """`df` as a table in folders by the hash of `key` (``bucket``) and sorted by it within, so that a reader of
-    some keys (see :func:`having`) opens their folders only, and of those the row groups that can hold them."""
+def folders(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """`df` as a table with a folder for each value of the column `by`, sorted by `order` within."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     _written.append((spark, path))
-    spread = df.withColumn("bucket", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).cast("int")).repartition("bucket", key)
-    spread.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
-    out = spark.read.schema(spread.schema).parquet(path)
+    df.repartition(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
 
 
+def keyed(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """`df` as a table in folders by the hash of `key` (``bucket``) and sorted by it within, so that a reader of
+    some keys (see :func:`having`) opens their folders only, and of those the row groups that can hold them."""
+    return folders(df.withColumn("bucket", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).cast("int")), "bucket", key)
+
+
 def having(table: DataFrame, key: str, values: list[str], buckets: int = 64) -> DataFrame:
     """The rows of a table of :func:`keyed` with these values of its key."""
     folders = sorted({crc32(v.encode()) % buckets for v in values})
     return table.where(F.col("bucket").isin(folders) & F.col(key).isin(values)) if values else table.where(F.lit(False))
 
 
+def state_of(spark: SparkSession, *paths: str) -> tuple[tuple[int, int, int], ...]:
+    """What tells one state of some tables from another: bytes, files and time of the last change of each; zeros where there is none."""
+    out = []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            out.append((0, 0, 0))
+            continue
+        size = fs.getContentSummary(target)
+        out.append((size.getLength(), size.getFileCount(), fs.getFileStatus(target).getModificationTime()))
+    return tuple(out)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the tables behind frames of :func:`saved` that no later plan reads."""
     paths = {getattr(df, "_table", None) for df in frames}
@@ -114,3 +132,27 @@ class Kept:
             while len(self.tables) > self.most:
                 discard(self.tables.pop(next(iter(self.tables))))
         return self.tables[version]
+
+
+class Fingerprints:
+    """Stored fingerprints (seed, id, mass) by graph version: a read-through cache at `path`.
+
+    Readers see one version only, so a bump of the version empties the cache; what is computed for it is
+    appended.  Two writers of one seed write the same rows, which are read once."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def at(self, version: int) -> DataFrame:
+        if not state_of(self.spark, self.path)[0][1]:
+            return self.spark.createDataFrame([], "seed string, id string, mass double")
+        rows = at_version(self.spark, self.path, version)
+        return rows.groupBy("seed", "id").agg(F.max("mass").alias("mass"))
+
+    def add(self, rows: DataFrame, version: int) -> None:
+        rows.select("seed", "id", "mass", F.lit(version).alias("graph_version")).write.mode("append").partitionBy("graph_version").parquet(self.path)
+
+    def forget(self, before: int) -> None:
+        """Deletes what versions before this one left."""
+        held = [r["graph_version"] for r in self.spark.read.parquet(self.path).select("graph_version").distinct().collect()] if state_of(self.spark, self.path)[0][1] else []
+        _remove([(self.spark, f"{self.path}/graph_version={v}") for v in held if v < before])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 from quillspark.operators import vectors as V
-from quillspark.operators.tables import saved
+from quillspark.operators.ivf import Lists
+from quillspark.operators.tables import saved, state_of
 from quillspark.plans.catalog import register
 from quillspark.sources.model import provisions, references, table, term_usage
 
@@ -64,15 +65,17 @@ def term_pairs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.term_cooccurrence(term_usage(spark, sf_dir)).select("a", "b", "terms", F.round("w", 6).alias("w"))
 
 
-_published: dict[tuple[str, str], Any] = {}
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings")
+_published: dict[tuple[str, str], tuple[Any, Any]] = {}
 
 
 def published(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
-    """What an index build publishes once and queries only read, by session and corpus."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
-    if key not in _published:
-        _published[key] = build()
-    return _published[key]
+    """What an index build publishes once and queries only read, by session and state of the tables: where a
+    table has changed, it is built anew."""
+    key, state = (spark.sparkContext.applicationId, f"{sf_dir}/{name}"), state_of(spark, *(f"{sf_dir}/{t}.parquet" for t in _TABLES))
+    if key not in _published or _published[key][0] != state:
+        _published[key] = (state, build())
+    return _published[key][1]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -195,12 +198,29 @@ def local_subgraph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_hops(seed, references(spark, sf_dir), 2)
 
 
-@register()
+_LOCAL = """--cte seed AS (SELECT min(internal_id) AS id FROM provisions WHERE type = 'Paragraph'),
+known AS MATERIALIZED (SELECT source_internal_id AS src, target_internal_id AS dst FROM refs WHERE target_internal_id IS NOT NULL),
+c1 AS MATERIALIZED (SELECT src, dst FROM known WHERE src IN (FROM seed) OR dst IN (FROM seed)),
+f2 AS (SELECT src AS id FROM c1 UNION SELECT dst FROM c1 EXCEPT SELECT id FROM seed),
+c2 AS (SELECT src, dst FROM known WHERE src IN (FROM f2) OR dst IN (FROM f2)),
+cited AS MATERIALIZED (SELECT src, dst FROM (SELECT 0 AS hop, src, dst FROM c1 UNION ALL SELECT 1, src, dst FROM c2 WHERE (SELECT count(*) FROM (SELECT src FROM c1 UNION SELECT dst FROM c1 UNION SELECT id FROM seed)) < 5000) ORDER BY hop, src, dst LIMIT 40000),
+n1 AS MATERIALIZED (SELECT id FROM seed UNION SELECT src FROM cited UNION SELECT dst FROM cited),
+up AS MATERIALIZED (SELECT internal_id AS id, parent_internal_id AS up FROM provisions JOIN n1 ON id = internal_id WHERE parent_internal_id IS NOT NULL),
+kids AS (SELECT internal_id AS id, parent_internal_id AS up FROM provisions WHERE parent_internal_id IN (SELECT up FROM up)),
+side AS (SELECT a, b FROM (SELECT internal_id AS a, lead(internal_id) OVER (PARTITION BY parent_internal_id ORDER BY sibling_order NULLS LAST, internal_id) AS b FROM provisions WHERE parent_internal_id IN (SELECT up FROM up)) WHERE b IS NOT NULL),
+hier AS (SELECT id AS src, up AS dst FROM up UNION ALL SELECT id, up FROM kids UNION ALL SELECT a, b FROM side),
+few AS MATERIALIZED (SELECT term, id FROM (SELECT term_text AS term, source_internal_id AS id, row_number() OVER (PARTITION BY term_text ORDER BY source_internal_id) AS r
+  FROM (SELECT DISTINCT term_text, source_internal_id FROM terms) WHERE term_text IN (SELECT term_text FROM terms WHERE source_internal_id IN (FROM seed))) WHERE r <= 200),
+pairs AS (SELECT x.id AS src, y.id AS dst FROM few x JOIN few y ON x.term = y.term AND x.id < y.id)
+SELECT src, dst, round(sum(w::DOUBLE), 6) AS w FROM (SELECT src, dst, 0.45 AS w FROM cited UNION ALL SELECT src, dst, 0.20 FROM hier UNION ALL SELECT dst, src, 0.20 FROM hier UNION ALL SELECT src, dst, 0.20 FROM pairs UNION ALL SELECT dst, src, 0.20 FROM pairs) GROUP BY 1, 2"""
+
+
+@register(_LOCAL, tables=True)
 def local_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bounded local graph of a search: citations, hierarchy and term users within two hops of a seed."""
+    """The weighted edges around one seed: citations in two rounds, the hierarchy of what they reach, users of the seed's terms."""
     p, refs, terms = corpus(spark, sf_dir)
-    nodes = G.local_nodes(p.where("type = 'Paragraph'").agg(F.min("internal_id").alias("id")), p, refs, terms)
-    return G.local_edges(nodes, p, refs, terms)
+    seed = p.where("type = 'Paragraph'").agg(F.min("internal_id").alias("id")).withColumn("grp", F.lit("q"))
+    return G.local_graph(seed, p, refs, terms).edges.select("src", "dst", F.round("w", 6).alias("w"))
 
 
 _DEFINES = "SELECT DISTINCT source_internal_id AS src, definition_internal_id AS dst FROM terms WHERE definition_internal_id IS NOT NULL UNION SELECT internal_id, parent_internal_id FROM provisions WHERE type = 'Definition'"
@@ -232,6 +252,15 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, 10).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), F.round("sim", 5).alias("sim"), "rank")
 
 
+@register()
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by inverted lists, for every vector whose id is divisible by 50 (recall tested against all distances, no SQL)."""
+    base = table(spark, sf_dir, "embeddings")
+    lists = published(spark, sf_dir, "lists", lambda: Lists.build(base))
+    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return lists.nearest(queries, 10).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
 @register(f"WITH {_KNN} SELECT query_id, vec_id, label FROM knn WHERE rank <= 10 AND label <> 3")
 def knn_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter follows the limit, so a query may keep fewer than k."""

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 from quillspark.operators import hierarchy as H
@@ -145,8 +146,114 @@ def test_stored_fingerprints_are_read_and_others_pushed(spark, world):
     seeds = spark.createDataFrame([("n00",), ("n01",)], "seed string")
     got = G.stored_or_pushed(seeds, stored, graph).collect()
     assert [(r["id"], r["mass"]) for r in got if r["seed"] == "n00"] == [("n05", 0.5)] and sum(r["seed"] == "n01" for r in got) > 3
-    local = G.local_fingerprint(spark.createDataFrame([("n00", 0.5), ("n01", 0.5)], "id string, w double"), p, refs, terms).collect()
-    assert 0.9 < sum(r["mass"] for r in local) <= 1 + 1e-9
+
+
+def local_by_hand(seeds, parent, order, cited, used, near=()):
+    """The typed edges around seeds, a list as they are met, and the nodes."""
+    nodes, edges, front = set(seeds), [], set(seeds)
+    for _ in range(2):
+        ends = set()
+        for a, b in cited:
+            if b and (a in front or b in front):
+                edges.append((a, b, 0.45))
+                ends |= {a, b}
+        nodes |= ends
+        front = ends - front
+    kids = {}
+    for n in order:
+        kids.setdefault(parent[n], []).append(n)
+    ups = set()
+    for n in list(nodes):
+        if parent.get(n):
+            ups.add(parent[n])
+            edges += [(n, parent[n], 0.2), (parent[n], n, 0.2)]
+    nodes |= ups
+    for up in ups:
+        for n in kids.get(up, []):
+            edges += [(n, up, 0.2), (up, n, 0.2)]
+            nodes.add(n)
+        for a, b in zip(kids.get(up, []), kids.get(up, [])[1:]):
+            edges += [(a, b, 0.2), (b, a, 0.2)]
+    for t in {t for n, t in used if n in seeds}:
+        own = sorted({n for n, u in used if u == t})
+        nodes |= set(own)
+        edges += [(a, b, 0.2) for a in own[:200] for b in own[:200] if a != b]
+    for a, b in near:
+        edges += [(a, b, 0.05), (b, a, 0.05)]
+        nodes.add(b)
+    return nodes, edges
+
+
+def test_local_graph_and_joint_push_by_hand(spark):
+    r = random.Random(4)
+    ids = [f"A_{i:02d}" for i in range(40)]
+    parent = {n: (None if i < 2 else ids[r.randrange(i)] if i < 30 else "A_root_elsewhere") for i, n in enumerate(ids)}
+    cited = [(r.choice(ids), r.choice(ids)) for _ in range(45)] + [("A_01", None), ("B_1", "A_02"), ("A_02", "B_1")]
+    used = sorted({(r.choice(ids), r.choice(["Tax", "tax", "rare"])) for _ in range(30)})
+    near = [("A_05", "A_33", 1), ("A_05", "A_34", 2), ("A_05", "B_1", 3)]
+    p = spark.createDataFrame([(n, parent[n], i) for i, n in enumerate(ids)], "internal_id string, parent_internal_id string, sibling_order int")
+    refs = spark.createDataFrame(cited, "source_internal_id string, target_internal_id string")
+    terms = spark.createDataFrame(used + [("B_1", "tax")], "source_internal_id string, term_text string")
+    groups = {"one": {"A_05": 1.0}, "all": {"A_05": 3.0, "A_11": 1.0, "A_20": 1.0, "A_07": 2.0}}
+    seeds = spark.createDataFrame([(g, i, w) for g, ws in groups.items() for i, w in ws.items()], "grp string, id string, w double")
+    local = G.local_graph(seeds, p, refs, terms, spark.createDataFrame(near, "id string, other string, r int"), "A")
+    got = {}
+    for e in local.edges.collect():
+        got.setdefault(e["grp"], {})[e["src"], e["dst"]] = e["w"]
+    found = {}
+    for e in G.local_fingerprints(seeds, local).collect():
+        found.setdefault(e["grp"], {})[e["id"]] = e["mass"]
+    inside = [(a, b) for a, b in cited if b and a[0] == b[0] == "A"]
+    up = {n: u if u and u.startswith("A_") else None for n, u in parent.items()}
+    for g, ws in groups.items():
+        nodes, edges = local_by_hand(set(ws), up, ids, inside, used, [(a, b) for a, b, _ in near if b[0] == "A"])
+        want = {}
+        for a, b, w in edges:
+            want[a, b] = want.get((a, b), 0.0) + w
+        assert got[g] == pytest.approx(want)
+        names = sorted(nodes)
+        assert sorted(n["id"] for n in local.nodes.where(F.col("grp") == g).collect()) == names
+        m = np.zeros((len(names), len(names)))
+        for (a, b), w in want.items():
+            m[names.index(a), names.index(b)] = w
+        for i in range(len(names)):
+            if not m[i].sum():
+                m[i, i] = 1.0
+        m /= m.sum(1, keepdims=True)
+        total = sum(ws.values())
+        mass = pushed_by_hand(m, {names.index(i): w / total for i, w in ws.items()}, 0.55, 1e-6)
+        assert found[g] == pytest.approx({n: mass[i] for i, n in enumerate(names) if mass[i] > 0 and n not in ws})
+
+
+def test_read_through_cache_by_version(spark, world, tmp_path):
+    _, _, graph, (p, refs, terms) = world
+    cache = T.Fingerprints(spark, str(tmp_path / "prints"))
+    named = lambda df, *cs: df.withColumns({c: F.concat(F.lit("A_"), c) for c in cs})
+    around = S.Around(named(p, "internal_id", "parent_internal_id"), named(refs, "source_internal_id", "target_internal_id"), named(terms, "source_internal_id"), cache=cache, version=1)
+    few = spark.createDataFrame([("A", "A_n01", 0.5), ("A", "A_n02", 0.5)], "act_id string, id string, w double")
+    first = {r["id"]: r["mass"] for r in S.read_through(few, cache.at(1), around).collect()}
+    assert {r["seed"] for r in cache.at(1).select("seed").distinct().collect()} == {"A_n01", "A_n02"}  # misses are written
+    again = {r["id"]: r["mass"] for r in S.read_through(few, cache.at(1), around).collect()}
+    assert again == pytest.approx(first) and first["A_n01"] >= 0.025
+    assert cache.at(2).count() == 0  # a bump of the version misses
+    many = spark.createDataFrame([("A", f"A_n0{i}", 0.25) for i in (3, 4, 5, 6)], "act_id string, id string, w double")
+    S.read_through(many, cache.at(2), S.Around(around.p, around.refs, around.terms, cache=cache, version=2)).count()
+    assert cache.at(2).count() == 0  # seeds that are pushed together are not stored
+    cache.add(spark.createDataFrame([("A_n01", "A_n02", 0.5)], "seed string, id string, mass double"), 2)
+    hit = {r["id"]: r["mass"] for r in S.read_through(few.where("id = 'A_n01'"), cache.at(2), around).collect()}
+    assert hit == pytest.approx({"A_n02": 0.25, "A_n01": 0.025})
+    cache.forget(2)
+    assert cache.at(1).count() == 0 and cache.at(2).count() == 1
+
+
+def test_published_tables_follow_the_data(spark, tmp_path):
+    from quillspark.plans.graph_queries import published
+
+    spark.range(3).write.parquet(str(tmp_path / "orders.parquet"))
+    count = lambda: published(spark, str(tmp_path), "n", lambda: spark.read.parquet(str(tmp_path / "orders.parquet")).count())
+    assert count() == 3 and count() == 3
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    assert count() == 5
 
 
 def test_pagerank_spreads_dangling_mass(spark):
