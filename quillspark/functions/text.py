@@ -252,3 +252,33 @@ def marker_indent(text: Column) -> Column:
         .when(text.rlike(r"^\s*\([0-9]+[A-Z]?\)"), "pl-6")
         .otherwise("")
     )
+
+
+#: The escapes of JSON that have a letter.
+ESCAPES = {"0022": '\\"', "005c": "\\\\", "000a": "\\n", "000d": "\\r", "0009": "\\t", "0008": "\\b", "000c": "\\f"}
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string of ASCII: UTF-16 units beyond the printable ones are escaped by their number, in lower case."""
+
+    def shown(unit: Column) -> Column:
+        out = F.when((unit >= "0020") & (unit <= "007e") & ~unit.isin("0022", "005c"), F.unhex(F.substr(unit, F.lit(3), F.lit(2))).cast("string"))
+        for code, letter in ESCAPES.items():
+            out = out.when(unit == code, letter)
+        return out.otherwise(F.concat(F.lit("\\u"), unit))
+
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(text, "UTF-16BE"))), F.lit("(.{4})"), F.lit(1))
+    escaped = F.when(text.rlike(r"\A[ !#-\[\]-~]*\z"), text).otherwise(F.array_join(F.transform(units, shown), ""))
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
+def canonical_json(fields: dict[str, Column | None], lists: dict[str, Column] | None = None) -> Column:
+    """An object of strings (None: a null) and `lists` of strings with its keys in order, a blank after each comma and colon."""
+    shown = {name: F.lit("null") if value is None else json_string(value) for name, value in fields.items()}
+    for name, value in (lists or {}).items():
+        shown[name] = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(value, json_string), ", "), F.lit("]")), F.lit("null"))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), shown[name]) for name in sorted(shown))), F.lit("}"))
+
+
+def json_etag(fields: dict[str, Column | None], lists: dict[str, Column] | None = None) -> Column:
+    return F.sha2(canonical_json(fields, lists), 256)

@@ -112,11 +112,26 @@ def dictionary_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tag_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), list(_TERMS))
 
 
-@register("SELECT token, CASE WHEN section IS NOT NULL THEN 'ACT' END AS act, section, terms FROM (VALUES ('s 6-5 ordinary income', '6-5', 'ordinary income'), ('sec 6.5', '6-5', ''), ('6 5', '6-5', ''), ('chapter foo', NULL, NULL), ('', NULL, NULL), ('ACT section 104-10; gains, losses', '104-10', 'gains|losses')) t(token, section, terms)")
+_ITEM = "l_partkey || '-' || l_linenumber"
+
+
+@register(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_orderkey % 6 AS form, l_returnflag || ' income' AS words, {_ITEM} AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE form WHEN 0 THEN 's ' || s || ' ' || words WHEN 1 THEN 'sec ' || l_partkey || '.' || l_linenumber WHEN 2 THEN l_partkey || ' ' || l_linenumber WHEN 3 THEN 'chapter ' || s WHEN 4 THEN '' ELSE 'ACT section ' || s || '; ' || words || ', losses' END AS token,
+  CASE WHEN form NOT IN (3, 4) THEN 'ACT' END AS act, CASE WHEN form NOT IN (3, 4) THEN s END AS section, CASE form WHEN 0 THEN words WHEN 5 THEN words || '|losses' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE '' END AS terms FROM t""")
 def citation_token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = ["s 6-5 ordinary income", "sec 6.5", "6 5", "chapter foo", "", "ACT section 104-10; gains, losses"]
-    parsed = spark.createDataFrame([(t,) for t in tokens], "token string").withColumn("p", X.citation_token(F.col("token"), "ACT", ["ACT"]))
-    return parsed.select("token", F.col("p.act").alias("act"), F.col("p.section").alias("section"), F.array_join("p.terms", "|").alias("terms"))
+    """Six ways to write a citation token, over every line item."""
+    item, form = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 6
+    words, s = F.concat("l_returnflag", F.lit(" income")), F.concat("l_partkey", F.lit("-"), "l_linenumber")
+    token = (
+        F.when(form == 0, F.concat(F.lit("s "), s, F.lit(" "), words))
+        .when(form == 1, F.concat(F.lit("sec "), "l_partkey", F.lit("."), "l_linenumber"))
+        .when(form == 2, F.concat("l_partkey", F.lit(" "), "l_linenumber"))
+        .when(form == 3, F.concat(F.lit("chapter "), s))
+        .when(form == 4, "")
+        .otherwise(F.concat(F.lit("ACT section "), s, F.lit("; "), words, F.lit(", losses")))
+    )
+    parsed = item.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", token.alias("token")).withColumn("p", X.citation_token(F.col("token"), "ACT", ["ACT"]))
+    return parsed.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "token", F.col("p.act").alias("act"), F.col("p.section").alias("section"), F.array_join("p.terms", "|").alias("terms"))
 
 
 _REFS = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(ascii, '{pattern}', 1)) AS value FROM t" for kind, pattern in X.REFERENCES.items())
@@ -131,16 +146,38 @@ def structured_ref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT raw, CASE WHEN raw = 'n/a' THEN NULL WHEN raw LIKE 'this%' THEN 'ACT:Section:1-1' WHEN raw LIKE 'Subdivision %' THEN 'ACT:Subdivision:115-A' WHEN raw LIKE 'division %' THEN 'ACT:Division:40' WHEN raw LIKE 'Part %' THEN 'ACT:Part:IV' WHEN raw LIKE '%:Section:%' THEN raw ELSE 'ACT:Section:' || upper(regexp_extract(raw, '[0-9]+[A-Za-z]*(-[0-9]+)?')) END AS ref_id, raw = 'section 7' AS corrected
-FROM (VALUES ('n/a'), ('this_section'), ('Subdivision 115-A'), ('division 40'), ('Part IVA'), ('ITAA1936:Section:6-5'), ('section 104-10'), ('s 25-5')) t(raw)"""
+    f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 7 AS form, l_partkey % 5 = 0 AS moved, {_ITEM} AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE form WHEN 0 THEN 'n/a' WHEN 1 THEN 'this_section' WHEN 2 THEN 'Subdivision ' || l_partkey || '-A' WHEN 3 THEN 'division ' || l_partkey WHEN 4 THEN 'section ' || s WHEN 5 THEN 's ' || s ELSE 'ITAA1936:Section:' || s END AS raw,
+  CASE form WHEN 0 THEN NULL WHEN 1 THEN 'ACT:Section:' || l_orderkey WHEN 2 THEN 'ACT:Subdivision:' || l_partkey || '-A' WHEN 3 THEN CASE WHEN moved THEN 'ACT:Part:' ELSE 'ACT:Division:' END || l_partkey WHEN 6 THEN 'ITAA1936:Section:' || s ELSE 'ACT:Section:' || s END AS ref_id,
+  form = 3 AND moved AS corrected FROM t"""
 )
 def reference_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven ways to write a reference, over every line item, against a registry of every fifth part."""
     from quillspark.operators.normalise import normalised
 
-    raw = ["n/a", "this_section", "Subdivision 115-A", "division 40", "Part IVA", "ITAA1936:Section:6-5", "section 104-10", "s 25-5"]
-    rows = spark.createDataFrame([(r, "", "ACT:Section:1-1") for r in raw], "raw string, snippet string, source_ref_id string")
-    registry = spark.createDataFrame([("ACT", "115-A", "Subdivision")], "act string, local_id string, type string")
-    return normalised(rows, registry, "ACT").select("raw", "ref_id", "corrected")
+    form, s = F.col("l_orderkey") % 7, F.concat("l_partkey", F.lit("-"), "l_linenumber")
+    raw = (
+        F.when(form == 0, "n/a")
+        .when(form == 1, "this_section")
+        .when(form == 2, F.concat(F.lit("Subdivision "), "l_partkey", F.lit("-A")))
+        .when(form == 3, F.concat(F.lit("division "), "l_partkey"))
+        .when(form == 4, F.concat(F.lit("section "), s))
+        .when(form == 5, F.concat(F.lit("s "), s))
+        .otherwise(F.concat(F.lit("ITAA1936:Section:"), s))
+    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), F.lit("").alias("snippet"), F.concat(F.lit("ACT:Section:"), "l_orderkey").alias("source_ref_id"))
+    registry = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.lit("ACT").alias("act"), F.col("p_partkey").cast("string").alias("local_id"), F.lit("Part").alias("type"))
+    return normalised(rows, registry, "ACT").select("l_orderkey", "l_linenumber", "raw", "ref_id", "corrected")
+
+
+@register("""WITH c AS (SELECT doc_id, source, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS u, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+e AS (SELECT doc_id, string_agg(CASE WHEN u = 34 THEN '\\"' WHEN u = 92 THEN '\\\\' WHEN u = 10 THEN '\\n' WHEN u = 13 THEN '\\r' WHEN u = 9 THEN '\\t' WHEN u = 8 THEN '\\b' WHEN u = 12 THEN '\\f' WHEN u BETWEEN 32 AND 126 THEN chr(u::INTEGER) WHEN u < 65536 THEN printf('\\u%04x', u) ELSE printf('\\u%04x\\u%04x', 55296 + ((u - 65536) >> 10), 56320 + ((u - 65536) & 1023)) END, '' ORDER BY i) AS t FROM c GROUP BY 1)
+SELECT d.doc_id, sha256('{"children": ["' || d.doc_id || '", "' || lang || '"], "content_md": ' || CASE WHEN text IS NULL THEN 'null' ELSE '"' || coalesce(t, '') || '"' END || ', "internal_id": "' || d.doc_id || '", "ref_id": "' || source || '", "references": [], "updated_at": null}') AS etag FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""".replace("\\\\", "\\"))
+def etag_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of canonical JSON: sorted keys, ASCII with escapes, nulls and lists."""
+    fields = {"internal_id": F.col("doc_id").cast("string"), "ref_id": F.col("source"), "content_md": F.col("text"), "updated_at": None}
+    lists = {"children": F.array(F.col("doc_id").cast("string"), "lang"), "references": F.array().cast("array<string>")}
+    return table(spark, sf_dir, "documents").select("doc_id", X.json_etag(fields, lists).alias("etag"))
 
 
 @register()
