@@ -152,12 +152,29 @@ def tag_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, terms string")
 
 
-def sectioned(title: Column) -> Column:
-    """struct(kind, local_id, name) of a heading, by its pattern."""
-    structure = F.regexp_extract(title, r"(?i)^(chapter|part|division|subdivision|schedule)\s+([0-9A-Za-z\-]+)\s*[—–-]?\s*", 1)
-    number = F.regexp_extract(title, r"(?i)^(?:chapter|part|division|subdivision|schedule)\s+([0-9A-Za-z\-]+)", 1)
-    section = F.regexp_extract(title, r"^([0-9]+[A-Z]*(?:-[0-9]+[A-Z]*)?)\s+\S", 1)
-    kind = F.when(F.lower(title).startswith("guide to"), "Guide").when(F.lower(title).startswith("operative provision"), "OperativeProvision").when(structure != "", F.initcap(structure)).when(section != "", "Section").otherwise("Element")
-    local = F.when(structure != "", number).when(section != "", section)
-    name = F.trim(F.regexp_replace(title, r"(?i)^(?:(?:chapter|part|division|subdivision|schedule)\s+[0-9A-Za-z\-]+|[0-9]+[A-Z]*(?:-[0-9]+[A-Z]*)?)\s*[—–-]?\s*", ""))
+#: How titles of structures, and of sections at their level, are written.
+STRUCTURE = r"(?i)^(Chapter|Part|Division|Subdivision)\s+([0-9A-Z\-]+)(?:\s*(?:—|--|-)\s*(.*))?$"
+SECTION, SECTION_LEVEL = r"(?i)^([0-9\-A-Z]+)\s+(.*)$", 5
+
+
+def sectioned(title: Column, level: Column) -> Column:
+    """struct(kind, local_id, name) of a heading of this level.  At the level of sections the first word is the id; else a
+    structure is named by its kind and id; what is neither is ``Level<n>Element`` and keeps its title."""
+    low = F.lower(title)
+    plain = low.startswith("guide to") | low.startswith("operative provision")
+    section = ~plain & (level == SECTION_LEVEL) & title.rlike(SECTION)
+    structure = ~plain & ~F.coalesce(section, F.lit(False)) & title.rlike(STRUCTURE)
+
+    def part(pattern: str, i: int) -> Column:
+        return F.trim(F.regexp_extract(title, pattern, i))
+
+    kind = (
+        F.when(low.startswith("guide to"), "Guide")
+        .when(low.startswith("operative provision"), "OperativeProvision")
+        .when(section, "Section")
+        .when(structure, F.initcap(part(STRUCTURE, 1)))
+        .otherwise(F.concat(F.lit("Level"), F.coalesce(level.cast("string"), F.lit("")), F.lit("Element")))
+    )
+    local = F.when(section, part(SECTION, 1)).when(structure, part(STRUCTURE, 2))
+    name = F.when(section, part(SECTION, 2)).when(structure, part(STRUCTURE, 3)).otherwise(title)
     return F.struct(kind.alias("kind"), local.alias("local_id"), name.alias("name"))

@@ -44,7 +44,7 @@ def parse_volumes(spark: SparkSession, source: str, stage: str) -> None:
     """Phase A: the Word volumes under `source` as staged sections and definitions."""
     blocks = saved(docx.read_blocks(spark, source))
     volume = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("volume")
-    heads = docx.sections(blocks).select(volume, "ordinal", "level", sectioned(F.col("title"))["kind"].alias("kind"), "title", "content_md")
+    heads = docx.sections(blocks).select(volume, "ordinal", "level", sectioned(F.col("title"), F.col("level"))["kind"].alias("kind"), "title", "content_md")
     terms = docx.definitions(blocks).select(volume, "ordinal", F.lit(None).cast("int").alias("level"), F.lit("Definition").alias("kind"), F.col("term").alias("title"), F.col("text").alias("content_md"))
     write_stage(heads.union(terms), stage)
 
@@ -60,7 +60,7 @@ def tree(stage: DataFrame, act_id: str, deepest: int = max(docx.HEADINGS.values(
     depth = F.coalesce("level", F.lit(deepest + 1))
     before = Window.partitionBy("volume").orderBy("ordinal", "kind").rowsBetween(Window.unboundedPreceding, -1)
     latest = [F.when(depth > k, F.last(F.when(F.col("level") == k, F.col("ordinal")), ignorenulls=True).over(before)) for k in range(deepest + 1)]
-    head = sectioned(F.col("title"))
+    head = sectioned(F.col("title"), F.col("level"))
     local = F.when(F.col("kind") != "Definition", head["local_id"])
     ref = F.when(F.col("kind") == "Definition", definition_ref(F.lit(act_id), F.col("title"))).when(local.isNotNull(), F.concat_ws(":", F.lit(act_id), "kind", local))
     return stage.withColumn("up", F.greatest(*latest)).select(

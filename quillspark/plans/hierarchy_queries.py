@@ -243,3 +243,22 @@ def visible_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = provisions(spark, sf_dir)
     found = p.select(F.explode(H.prefixes(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_visible"))
     return found.join(p.select("path", "internal_id"), "path").select("internal_id", "n_visible")
+
+
+@register(
+    """--cte trail AS (SELECT p.internal_id, string_agg(a.title, ' ⟶ ' ORDER BY a.path) AS trail FROM provisions p JOIN provisions a ON starts_with(p.path || '.', a.path || '.') GROUP BY 1),
+kids AS (SELECT parent_internal_id AS internal_id, string_agg('- **' || title || '**  ' || chr(10) || '  `' || ref_id || '` — `internal_id: ' || internal_id || '`', chr(10) ORDER BY sibling_order NULLS LAST, internal_id) AS kids FROM provisions WHERE parent_internal_id IS NOT NULL AND type <> 'Definition' GROUP BY 1),
+line AS (SELECT source_internal_id AS internal_id, target_ref_id, snippet, title FROM refs JOIN (SELECT internal_id AS t, title FROM provisions) ON t = target_internal_id),
+cited AS (SELECT internal_id, string_agg('- **' || title || '**' || chr(10) || '  `' || target_ref_id || '`', chr(10) ORDER BY target_ref_id, snippet) AS refs FROM line GROUP BY 1),
+used AS (SELECT DISTINCT source_internal_id AS internal_id, definition_internal_id AS d FROM terms WHERE definition_internal_id IS NOT NULL),
+defs AS (SELECT used.internal_id, string_agg('- "' || title || '" `' || ref_id || '`' || chr(10) || '    ' || string_split(content_md, chr(10) || chr(10))[1] || chr(10), chr(10) ORDER BY d) AS defs FROM used JOIN provisions p ON p.internal_id = d GROUP BY 1)
+SELECT p.internal_id, rtrim(concat_ws(chr(10), '## ' || title, '`' || ref_id || '` *' || type || '*', chr(10) || '### Breadcrumbs' || chr(10) || trail, chr(10) || '### Children' || chr(10) || kids, chr(10) || '### Content' || chr(10) || content_md,
+  chr(10) || '### References' || chr(10) || refs, chr(10) || '### Definitions' || chr(10) || defs), chr(10)) AS markdown
+FROM provisions p LEFT JOIN trail USING (internal_id) LEFT JOIN kids USING (internal_id) LEFT JOIN cited USING (internal_id) LEFT JOIN defs USING (internal_id)""",
+    tables=True,
+)
+def detail_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every provision as a page."""
+    from quillspark.operators.pages import detail_pages
+
+    return detail_pages(provisions(spark, sf_dir), references(spark, sf_dir), term_usage(spark, sf_dir))

@@ -160,12 +160,15 @@ def test_structured_references(spark):
 
 
 def test_headings(spark):
-    def f(title):
-        return tuple(one(spark, E.sectioned(v), title))
-
-    assert f("Division 40—Capital") == ("Division", "40", "Capital")
-    assert f("6-5 Ordinary income") == ("Section", "6-5", "Ordinary income")
-    assert f("Guide to Division 1")[0] == "Guide" and f("Anything")[0] == "Element"
+    def f(title, level):
+        return tuple(one(spark, E.sectioned(v, F.lit(level)), title))
+
+    assert f("Division 40—Capital", 3) == ("Division", "40", "Capital") and f("SUBDIVISION 115-A", 4) == ("Subdivision", "115-A", "")
+    assert f("6-5 Ordinary income", 5) == ("Section", "6-5", "Ordinary income")
+    assert f("6-5 Ordinary income", 4) == ("Level4Element", None, "6-5 Ordinary income")  # sections have a level of their own
+    assert f("Schedule 1 Things", 2) == ("Level2Element", None, "Schedule 1 Things") and f("Division 40 of it", 3)[0] == "Level3Element"
+    assert f("Division 40—Capital", 5) == ("Section", "Division", "40—Capital")  # where the first word is the id
+    assert f("Guide to Division 1", 3)[0] == "Guide" and f("Operative provisions", 5)[0] == "OperativeProvision" and f("Anything", 1)[0] == "Level1Element"
 
 
 def test_salvage(spark):
