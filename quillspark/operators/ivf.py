@@ -62,7 +62,7 @@ class Lists:
         n = base.count()
         wanted = max(1, min(lists or int(n**0.5), 4096, n))
         sample = _some(base, SAMPLE).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-        centroids = np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(sample).clusterCenters()) if n > 1 else np.array([r["embedding"] for r in base.collect()], float).reshape(n, -1)
+        centroids = np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(sample).clusterCenters()) if n > 1 else np.array([r["embedding"] for r in base.collect()] or np.zeros((0, 1)), float)
 
         def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -96,7 +96,7 @@ class Lists:
         parts = []
         for i in range(blocks):
             some = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "q").toArrow()
-            if len(some):
+            if len(some) and len(self.centroids):
                 parts.append(self._block(some, k, probes))
         found = parts[0] if parts else queries.select("query_id", F.lit(None).cast("long").alias("vec_id"), F.lit(0.0).alias("distance")).where(F.lit(False))
         for p in parts[1:]:

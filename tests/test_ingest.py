@@ -121,6 +121,8 @@ def test_routes(corpus):
     assert set(corpus.full_detail("R0", references=False, definitions=False, breadcrumbs=False)) == {"provision", "children"}
     needed = [r["part"] for r in corpus.visible_with_definitions(node).collect()]
     assert needed[0] == "shown" and len(needed) > 1 and set(needed[1:]) == {"definition"}
-    assert corpus.search_markdown("supplier means", 3).count() == 3
+    page = corpus.search_markdown("supplier means", 3).first()["markdown"]
+    assert page.startswith("### Query interpretation") and "**3. " in page and "**4. " not in page
+    assert corpus.detail_markdown(node).first()["markdown"].startswith("## Order")
     assert corpus.search_documents("tion", 5).count() == 5 and corpus.capabilities().count() > 10
     assert corpus.search_documents(" ", 3).first()["total"] > 3
