@@ -40,13 +40,18 @@ def read_stage(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(STAGE).json(folder)
 
 
-def parse_volumes(spark: SparkSession, source: str, stage: str) -> None:
-    """Phase A: the Word volumes under `source` as staged sections and definitions."""
+def staged(spark: SparkSession, source: str) -> DataFrame:
+    """Sections and definitions of the Word volumes under `source`."""
     blocks = saved(docx.read_blocks(spark, source))
     volume = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("volume")
     heads = docx.sections(blocks).select(volume, "ordinal", "level", sectioned(F.col("title"), F.col("level"))["kind"].alias("kind"), "title", "content_md")
     terms = docx.definitions(blocks).select(volume, "ordinal", F.lit(None).cast("int").alias("level"), F.lit("Definition").alias("kind"), F.col("term").alias("title"), F.col("text").alias("content_md"))
-    write_stage(heads.union(terms), stage)
+    return heads.union(terms)
+
+
+def parse_volumes(spark: SparkSession, source: str, stage: str) -> None:
+    """Phase A: the Word volumes under `source` as staged JSON."""
+    write_stage(staged(spark, source), stage)
 
 
 def definition_ref(act: Column, term: Column) -> Column:
@@ -185,7 +190,13 @@ def usage(calls: DataFrame, input_price: float = 0.05, output_price: float = 0.2
 
 def load_act(spark: SparkSession, stage: str, act_id: str, *, call: Callable[[str], str] | None = None, cache: DataFrame | None = None, model: str = "") -> Payload:
     """Phase B: a stage as the payload of an act.  Without `call` no references are read."""
-    nodes = saved(flatten(tree(read_stage(spark, stage), act_id)))
+    return payload_of(read_stage(spark, stage), act_id, call=call, cache=cache, model=model)
+
+
+def payload_of(stage: DataFrame, act_id: str, *, call: Callable[[str], str] | None = None, cache: DataFrame | None = None, model: str = "") -> Payload:
+    """:func:`load_act` over staged rows."""
+    spark = stage.sparkSession
+    nodes = saved(flatten(tree(stage, act_id)))
     raw = spark.createDataFrame([], RAW)
     if call is not None:
         empty = spark.createDataFrame([], "hash string, model string, response string")
