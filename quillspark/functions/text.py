@@ -182,6 +182,13 @@ def term_markers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
+def fallback_markers(text: Column) -> Column:
+    """What asterisks mark where no terms are known, as written: from the asterisk to the first blank, stop or end that has
+    something before it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)(?:^|[\s(])\*([a-zA-Z0-9\s\-()]+?)(?=[\s,.;:)]|$)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != ""))
+
+
 #: The kinds of headings that have a label of their own, and its short forms.
 KINDS = {"act": "Act", "chapter": "Chapter", "part": "Part", "division": "Division", "subdivision": "Subdivision", "section": "Section", "schedule": "Schedule"}
 SHORT = {"Chapter": ["Ch"], "Part": ["Pt"], "Division": ["Div"], "Subdivision": ["Subdiv"], "Section": ["Sect", "s"], "Schedule": ["Sch"]}

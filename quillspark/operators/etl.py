@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import document_snippet, plural_variants
+from quillspark.functions.text import document_snippet
+from quillspark.operators.registry import tagged
 
 # Fixed values that decide results.
 EMBED_CHARS, EMBED_OVERLAP, BREAK_FROM = 2200, 350, 0.6
@@ -110,8 +110,6 @@ def search_documents(docs: DataFrame, chunks: DataFrame, query: str, limit: int,
     return page.select("doc_id", "title", "snippet").crossJoin(F.broadcast(total))
 
 
-
-
 def salvaged(answer: Column, fields: str) -> Column:
     """A list of objects: the answer itself if it is one, else every object in it that parses."""
     kind = f"array<struct<{fields.replace(' ', ':', 1)}>>"
@@ -121,35 +119,11 @@ def salvaged(answer: Column, fields: str) -> Column:
     return F.array_distinct(F.filter(F.when(valid, whole).otherwise(single), lambda o: o.isNotNull()))
 
 
-def compile_terms(forms_of: list[tuple[str, list[str]]]) -> tuple[re.Pattern[str], dict[str, str]]:
-    """One alternation of all terms with their other forms (term, forms), longest first, and the
-    term that each form stands for."""
-    forms: dict[str, str] = {}
-    for term, variants in forms_of:
-        if sum(c.isalnum() for c in term) > 1:
-            for form in variants:
-                forms.setdefault(form.lower(), term)
-    longest = sorted(forms, key=lambda t: (-len(t), t))
-    body = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in longest) or r"(?!)"
-    return re.compile(rf"\[[^\]]*\]\([^)]*\)|(?<![^\W_])({body})(?![^\W_])", re.I), forms
-
-
-def tag(text: str, pattern: re.Pattern[str], forms: dict[str, str]) -> list[str]:
-    """Canonical terms of a text, found left to right and longest first, outside of links."""
-    found = (m[1] for m in pattern.finditer(text) if m[1])
-    return sorted({forms[" ".join(t.lower().split())] for t in found if " ".join(t.lower().split()) in forms})
-
-
-def tag_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
+def tag_terms(docs: DataFrame, terms: list[str], loose: bool = False) -> DataFrame:
     """(doc_id, terms): texts with the terms of a stated dictionary and their plurals."""
-    listed = docs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-    pattern, forms = compile_terms([tuple(r) for r in listed.select("term", plural_variants(F.col("term"))).collect()])
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [",".join(tag(t or "", pattern, forms)) for t in batch["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, terms string")
+    listed = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    found = tagged(docs.select(F.col("doc_id").alias("id"), "text"), listed, loose=loose, marks=False)
+    return found.select(F.col("id").alias("doc_id"), F.array_join("terms", ",").alias("terms"))
 
 
 #: How titles of structures, and of sections at their level, are written.

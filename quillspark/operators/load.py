@@ -15,11 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import plural_variants, reference_to_internal, term_markers
-from quillspark.operators.etl import compile_terms, salvaged, sectioned, tag
+from quillspark.functions.text import reference_to_internal
+from quillspark.operators.etl import salvaged, sectioned
 from quillspark.operators.graph import pagerank
 from quillspark.operators.ingest import extract, flatten
 from quillspark.operators.normalise import normalised
+from quillspark.operators.registry import used
 from quillspark.operators.tables import publish, saved
 from quillspark.sources import docx
 
@@ -125,20 +126,10 @@ def term_rows(nodes: DataFrame, uses: DataFrame, default_act: str) -> DataFrame:
 
 
 def terms_used(nodes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(source_internal_id, term_text): terms that a text marks, and those of the dictionary (term)
-    that it holds.  The dictionary is what one act defines; its pattern goes to every task."""
-    marked = nodes.select(F.col("internal_id").alias("source_internal_id"), F.explode(term_markers(F.coalesce("content_md", F.lit("")))).alias("term_text"))
-    pattern, forms = compile_terms([tuple(r) for r in dictionary.distinct().orderBy("term").select("term", plural_variants(F.col("term"))).collect()])
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            held = [(i, t) for i, text in zip(batch["internal_id"], batch["content_md"], strict=True) for t in tag(text or "", pattern, forms)]
-            yield pd.DataFrame(held, columns=["source_internal_id", "term_text"])
-
-    held = nodes.select("internal_id", "content_md").mapInPandas(run, "source_internal_id string, term_text string")
-    return marked.union(held).distinct()
+    """(source_internal_id, term_text): terms of the dictionary (term) that a text holds or marks; what it marks at all
+    where nothing is defined."""
+    texts = nodes.select(F.col("internal_id").alias("id"), F.col("content_md").alias("text"))
+    return used(texts, dictionary).select(F.col("id").alias("source_internal_id"), F.col("term").alias("term_text"))
 
 
 @dataclass
