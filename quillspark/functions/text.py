@@ -85,8 +85,14 @@ def reference_to_internal(ref_id: Column) -> Column:
 
 
 def slug(dataset: Column, identifier: Column) -> Column:
-    body = F.substring(F.regexp_replace(F.lower(identifier), "[^a-z0-9]+", "-"), 1, 60)
-    return F.concat(dataset, F.lit("_"), F.regexp_replace(body, "^-+|-+$", ""))
+    """The dataset and the letters, digits, hyphens and underscores of an identifier ("doc" without any), 60 signs at most."""
+    body = F.regexp_replace(F.regexp_replace(identifier, r"[^\p{L}\p{N}_\-]", ""), "^[-_]+|[-_]+$", "")
+    return F.substring(F.concat(dataset, F.lit("_"), F.when(body == "", "doc").otherwise(body)), 1, 60)
+
+
+def media_segment(name: Column) -> Column:
+    """A name as a folder of media: other signs than letters, digits, ".", "_" and "-" become "_"."""
+    return F.coalesce(F.nullif(F.regexp_replace(_strip(F.coalesce(name, F.lit(""))), "[^A-Za-z0-9._-]+", "_"), F.lit("")), F.lit("document"))
 
 
 def trigrams(text: Column) -> Column:

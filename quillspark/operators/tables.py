@@ -104,6 +104,21 @@ def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest, ["path", "digest"], "left_anti")
 
 
+def paired(files: DataFrame, manifest: DataFrame, done: DataFrame, first: int, last: int, pattern: str) -> DataFrame:
+    """(name, digest, volume, target, due) of source files (name, digest): the files in the order of their names are the volumes
+    `first`, `first` + 1, ... up to `last`, and further ones are left out.  `pattern` with the number of at least two digits for its {} is a
+    volume's target.  A volume is due unless its target is among `done` (target) and the manifest (name, digest) has its file unchanged."""
+    from quillspark.operators.ordering import ranked
+
+    before, after = pattern.split("{}")
+    rows = ranked(files.select("name", "digest").distinct(), [F.col("name"), F.col("digest")], "_place").withColumn("volume", (F.col("_place") + first).cast("int")).where(F.col("volume") <= last)
+    rows = rows.withColumn("target", F.concat(F.lit(before), F.format_string("%02d", "volume"), F.lit(after)))
+    same = manifest.select("name", "digest").distinct().withColumn("_same", F.lit(True))
+    there = done.select("target").distinct().withColumn("_there", F.lit(True))
+    due = ~(F.coalesce("_same", F.lit(False)) & F.coalesce("_there", F.lit(False)))
+    return rows.join(same, ["name", "digest"], "left").join(there, "target", "left").select("name", "digest", "volume", "target", due.alias("due"))
+
+
 def publish(df: DataFrame, path: str, version: int, partition: str = "act_id") -> None:
     """A version of a table, in the place of what an earlier run of that version left for the same
     partitions; other versions and partitions stay, and readers ask for theirs."""

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.tables import state_of
+
 
 def seed(spark: SparkSession, path: str) -> int:
     """The current version; the first call writes version 1."""
-    try:
+    if state_of(spark, path)[0][1]:
         return current(spark, path)
-    except Exception:  # noqa: BLE001  no table yet
-        spark.createDataFrame([(1,)], "graph_version int").withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(path)
-        return 1
+    spark.createDataFrame([(1,)], "graph_version int").withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return 1
 
 
 def current(spark: SparkSession, path: str) -> int:

@@ -78,6 +78,28 @@ def manifest_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.changed(files.withColumn("path", F.concat_ws("#", "page_id", "url")), manifest.select(F.concat_ws("#", "page_id", "url").alias("path"), "digest")).select("page_id", "url", "digest")
 
 
+@register(
+    """WITH f AS (SELECT page_id || '-' || url AS name, sha256(html) AS digest, page_id FROM pages),
+r AS (SELECT *, row_number() OVER (ORDER BY name, digest) + 2 AS volume FROM (SELECT DISTINCT name, digest, page_id FROM f))
+SELECT name, volume::INTEGER AS volume, 'V' || CASE WHEN volume < 10 THEN '0' ELSE '' END || volume || '.docx' AS target, NOT (page_id % 3 <> 0 AND volume % 4 <> 0) AS due FROM r"""
+)
+def volume_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a source file, in the order of names; the manifest is stale for each third and each fourth target is missing."""
+    files = table(spark, sf_dir, "pages").select(F.concat_ws("-", "page_id", "url").alias("name"), F.sha2("html", 256).alias("digest"), "page_id")
+    manifest = files.select("name", F.when(F.col("page_id") % 3 == 0, F.lit("stale")).otherwise(F.col("digest")).alias("digest"))
+    done = spark.range(3, files.count() + 3).where("id % 4 <> 0").select(F.concat(F.lit("V"), F.format_string("%02d", "id"), F.lit(".docx")).alias("target"))
+    return T.paired(files, manifest, done, 3, 2**31 - 1, "V{}.docx").select("name", "volume", "target", "due")
+
+
+@register(
+    r"""SELECT page_id, substr('web_' || CASE WHEN b = '' THEN 'doc' ELSE b END, 1, 60) AS slug, CASE WHEN m = '' THEN 'document' ELSE m END AS media_segment
+FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_\-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g') AS b, regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g') AS m FROM pages)"""
+)
+def identifier_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document ids and media folders of every address."""
+    return table(spark, sf_dir, "pages").select("page_id", X.slug(F.lit("web"), F.col("url")).alias("slug"), X.media_segment(F.col("url")).alias("media_segment"))
+
+
 @register("SELECT item_id, sha256('benchmark|' || item_id || '|' || text) AS etag FROM benchmark")
 def etag_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.operators.relations import etag

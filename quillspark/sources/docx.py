@@ -106,6 +106,22 @@ def parse_blocks(path: str, content: bytes) -> list[tuple]:
     return out
 
 
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """(document, partname, content_type, content): the images in every .docx under `path`, a row each."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for at, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if name.startswith("word/media/") and not name.endswith("/"):
+                            yield pd.DataFrame({"path": [at], "partname": ["/" + name], "content": [archive.read(name)]})
+
+    rows = found.mapInPandas(run, "path string, partname string, content binary")
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("document"), "partname", F.lit(None).cast("string").alias("content_type"), "content")
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """One row a block of every .docx under `path`."""
     return blocks_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content"))

@@ -53,7 +53,7 @@ def test_documents_and_media(spark, tmp_path):
     (tmp_path / "d" / "b.txt").write_text("\n\nFirst line\nthe body\n")
     (tmp_path / "d" / "c.md").write_text("only a title")
     got = {r["id"]: (r["doc_type"], r["title"], r["body"]) for r in files.read_documents(spark, str(tmp_path / "d"), "set").collect()}
-    assert got == {"set_case-1": ("case", "T", "text"), "set_b": ("document", "First line", "the body")}
+    assert got == {"set_Case1": ("case", "T", "text"), "set_b": ("case", "First line", "the body")}
     (tmp_path / "m").mkdir()
     for name, data in (("x.bin", b"\xd7\xcd\xc6\x9a1"), ("y.dat", b"\xd7\xcd\xc6\x9a1"), ("z.emf", b"1"), ("w.png", b"2"), ("q.bin", b"0" * 40 + b" EMF")):
         (tmp_path / "m" / name).write_bytes(data)
