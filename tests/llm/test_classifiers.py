@@ -155,3 +155,30 @@ def test_language_id_equals_naive_bayes_by_hand(spark):
         posterior = {lang: math.exp(v - best) / sum(math.exp(x - best) for x in logs.values()) for lang, v in logs.items()}
         assert got[i]["score"] == pytest.approx(max(posterior.values()), abs=1e-3)
         assert posterior[got[i]["lang_pred"]] == pytest.approx(max(posterior.values()), abs=1e-3)
+
+
+def test_languages_in_blocks_equal_one_matrix(spark, monkeypatch):
+    from quillspark.llm import language_id
+
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["der", "the", "été", "aa", "bb", "x1", "7"]) for _ in range(r.randrange(0, 8))), f"l{r.randrange(7)}") for i in range(120)]
+    # two languages that were learnt from the same text tie, whichever blocks they are in
+    rows += [(1000 + i, "zz zz", lang) for i, lang in enumerate(["ta", "tz"] * 4) if zlib.crc32(str(1000 + i).encode()) % 4 != 2]
+    rows += [(2000, None, "l1"), (2001, "12", "l2"), (None, "zz", None), (2002, "zz", None), (2002, "zz", None)]
+    docs = spark.createDataFrame([(*x, "z") for x in rows], "doc_id bigint, text string, lang string, total string").repartition(3)
+    key = lambda x: (str(x["doc_id"]), x["lang_pred"], x["score"])
+    want = sorted(identify(docs).collect(), key=key)
+    for most in (1, 4):
+        got = sorted(identify(docs, most=most).collect(), key=key)
+        assert [(x["doc_id"], x["held_out"], x["lang_pred"]) for x in got] == [(x["doc_id"], x["held_out"], x["lang_pred"]) for x in want]
+        assert [x["score"] for x in got] == pytest.approx([x["score"] for x in want], abs=1e-9)
+    # counts leave a task in parts, and add up to the same
+    plain = {tuple(x) for x in language_id.counts(docs).collect()}
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(language_id)
+    try:
+        assert {tuple(x) for x in language_id.counts(docs).collect()} == plain
+    finally:
+        cloudpickle.unregister_pickle_by_value(language_id)
