@@ -39,3 +39,20 @@ def test_settled_masses_in_blocks(parts):
     for _ in range(7):
         x = 0.5 / N + 0.5 * x @ m
     assert [got[f"n{i:02d}"] for i in range(N)] == pytest.approx(x.tolist())
+
+
+def test_pagerank_in_blocks(spark, monkeypatch):
+    """Dangling mass reaches every block, and an edge to a node that isn't there takes its share along."""
+    monkeypatch.setattr(W, "SMALLEST", 2)
+    monkeypatch.setattr(W, "BLOCKS", 3)
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("d", "a"), ("e", "gone"), ("e", "f")]
+    nodes = spark.createDataFrame([(n,) for n in "abcdefg"], "id string")
+    got = {r["id"]: r["rank"] for r in G.pagerank(nodes, spark.createDataFrame(pairs, "src string, dst string"), rounds=6, tolerance=0.0).collect()}
+    x = np.full(7, 1 / 7)
+    for _ in range(6):
+        new = np.full(7, 0.15 / 7 + 0.85 * x[[2, 5, 6]].sum() / 7)
+        for a, b in pairs:
+            if b != "gone":
+                new["abcdefg".index(b)] += 0.85 * x["abcdefg".index(a)] / sum(p[0] == a for p in pairs)
+        x = new
+    assert [got[n] for n in "abcdefg"] == pytest.approx(x.tolist())
