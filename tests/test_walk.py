@@ -56,3 +56,21 @@ def test_pagerank_in_blocks(spark, monkeypatch):
                 new["abcdefg".index(b)] += 0.85 * x["abcdefg".index(a)] / sum(p[0] == a for p in pairs)
         x = new
     assert [got[n] for n in "abcdefg"] == pytest.approx(x.tolist())
+
+
+def test_more_seeds_than_walk_together(spark, parts, monkeypatch):
+    monkeypatch.setattr(W, "COLUMNS", 2)
+    *walk, m = parts
+    own = [("p", 3, 1.0), ("q", 4, 0.25), ("q", 21, 0.75), ("r", 0, 1.0)]
+    seeds = spark.createDataFrame([(s, f"n{i:02d}", w) for s, i, w in own], "seed string, id string, w double")
+    got = {(r["seed"], r["id"]): r["mass"] for r in W.Walk(*walk, block=4).diffused(seeds, 0.5, 4, every=3).collect()}
+    for s in "pqr":
+        x = np.zeros(N)
+        for t, i, w in own:
+            x[i] += w * (t == s)
+        want = 0.5 * x
+        for k in range(4):
+            x = 0.5 * x @ m
+            want = want + (1.0 if k == 3 else 0.5) * x
+        assert [got.get((s, f"n{i:02d}"), 0.0) for i in range(N)] == pytest.approx(want.tolist())
+        assert {i for t, i in got if t == s} == {f"n{i:02d}" for i in np.flatnonzero(want)}
