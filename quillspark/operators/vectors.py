@@ -69,6 +69,12 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of unit length; zero ones stay."""
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
+
+
 def encoded(texts: DataFrame, load: Callable[[], Encoder], batch: int = 32, instruction: str | None = None) -> DataFrame:
     """`texts` (key, place, text) with vectors of unit length (zero ones stay).  `load` runs once a
     task and gives the model; an instruction is put in front of each text."""
@@ -80,9 +86,7 @@ def encoded(texts: DataFrame, load: Callable[[], Encoder], batch: int = 32, inst
             told = [head + (t or "") for t in rows["text"]]
             found = []
             for i in range(0, len(told), batch):
-                v = np.asarray(encode(told[i : i + batch]), np.float32)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                found += list(v / np.where(norm > 0, norm, 1))
+                found += list(_unit(np.asarray(encode(told[i : i + batch]), np.float32)))
             yield pd.DataFrame({"key": rows["key"].to_numpy(), "place": rows["place"].to_numpy(), "embedding": found})
 
     return texts.select("key", "place", "text").mapInPandas(run, "key string, place int, embedding array<float>")
@@ -90,18 +94,27 @@ def encoded(texts: DataFrame, load: Callable[[], Encoder], batch: int = 32, inst
 
 def embed(p: DataFrame, load: Callable[[], Encoder], model: str, batch: int = 64, instruction: str | None = None) -> DataFrame:
     """Rows of the embeddings table for provisions: title and text in overlapping chunks, each
-    encoded, their mean scaled to unit length.  One without text is encoded as an empty one."""
+    encoded, their mean scaled to unit length.  One without text is encoded as an empty one; an instruction is
+    put in front of each chunk.  `load` runs once a task and gives the model."""
     whole = F.concat_ws("\n", F.btrim(F.coalesce("title", F.lit(""))), F.btrim(F.coalesce("content_md", F.lit(""))))
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            pieces = [(k, i, c) for k, chunks in zip(rows["key"], embedding_cuts(list(rows["text"])), strict=True) for i, c in enumerate(chunks or [""])]
-            yield pd.DataFrame(pieces, columns=["key", "place", "text"])
+    head = f"Instruct: {instruction}\nQuery:" if instruction else ""
 
-    chunks = p.where("internal_id IS NOT NULL").select(F.col("internal_id").alias("key"), whole.alias("text")).dropDuplicates(["key"]).mapInPandas(cut, "key string, place int, text string")
-    mean = mean_vectors(encoded(chunks, load, batch, instruction).select("key", "embedding"), "key")
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"].cast("float"))
-    rows = mean.groupBy(F.col("key").alias("entity_id")).agg(vector.alias("vector"))
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for rows in batches:
+            pieces = [(i, head + c) for i, chunks in enumerate(embedding_cuts(list(rows["text"]))) for c in chunks or [""]]
+            sums = None
+            for first in range(0, len(pieces), batch):
+                own, told = zip(*pieces[first : first + batch], strict=True)
+                v = _unit(np.asarray(encode(list(told)), np.float32)).astype(np.float64)
+                sums = np.zeros((len(rows), v.shape[1])) if sums is None else sums
+                np.add.at(sums, list(own), v)
+            if sums is not None:
+                yield pd.DataFrame({"entity_id": rows["key"].to_numpy(), "vector": list(_unit(sums).astype(np.float32))})
+
+    # a text's chunks stay in its task, so only keys and texts are shuffled
+    rows = p.where("internal_id IS NOT NULL").select(F.col("internal_id").alias("key"), whole.alias("text")).dropDuplicates(["key"]).mapInPandas(run, "entity_id string, vector array<float>")
     return rows.select(F.lit("provision").alias("entity_kind"), "entity_id", F.lit(model).alias("model"), F.size("vector").alias("dim"), "vector", F.lit(1.0).alias("l2_norm"))
 
 

@@ -135,3 +135,12 @@ def test_two_versions_stay(spark):
     kept = Kept(lambda v: built.append(v) or spark.range(v))
     assert [kept.at(v).count() for v in (1, 2, 1, 3, 3, 1)] == [1, 2, 1, 3, 3, 1]
     assert built == [1, 2, 3, 1]
+
+
+def test_embeddings_shuffle_texts_only(spark):
+    """A text's chunks and their components stay in a task: the one exchange drops rows of the same key."""
+    p = spark.createDataFrame([("a", "Title", "word " * 1200), ("b", None, None)], "internal_id string, title string, content_md string")
+    plan = V.embed(p, V.hashed_words, "m")._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and V.embed(p.where("false"), V.hashed_words, "m").count() == 0
+    executed = V.embed(p, V.hashed_words, "m")._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange ") == 1
