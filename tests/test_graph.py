@@ -371,3 +371,14 @@ def test_tables(spark, tmp_path):
     T.publish(rows, str(tmp_path / "t"), 1)  # a rerun takes the place of the first
     assert T.purge(old, new, "id").count() == 1
     assert T.at_version(spark, str(tmp_path / "t"), 1).count() == 2 and T.at_version(spark, str(tmp_path / "t"), 2).count() == 1
+
+
+def test_pushed_masses_are_not_shuffled(spark, world):
+    """Ranks, sums and names come from the task that pushed a seed; ties go by name; both ways say the same."""
+    _, _, graph, _ = world
+    seeds = graph.nodes.selectExpr("id AS seed", "id", "1D AS w")
+    rows = push_tops(seeds, graph.push_graph(), 0.5, 1e-6, 5)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    other = push_tops(seeds, graph.push_graph(), 0.5, 1e-6, 5, limit=0)
+    key = lambda df: sorted((r["seed"], r["r"], r["id"], round(r["mass"], 12), round(r["captured"], 12)) for r in df.collect())
+    assert key(rows) == key(other) and len({r["seed"] for r in rows.collect()}) == 31
