@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.operators.etl import embedding_cuts
 from quillspark.operators.tables import upsert
@@ -20,15 +23,15 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-#: Twice the queries of a block; their vectors are the broadcast side.
-QUERY_BLOCK = 4096
+#: Twice the queries of a block, whose vectors every task gets; vectors that are compared with them at once.
+QUERY_BLOCK, CHUNK = 4096, 1024
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, distance, sim, rank): the k nearest others of each query.
+    """(query_id, vec_id, distance, sim, rank): the k nearest others of each query; one without a distance comes last.
 
-    The queries are taken in blocks of about QUERY_BLOCK / 2, each broadcast against one
-    scan of `base`, of which every bucket keeps its own k best before the final ranking."""
+    The queries are taken in blocks of about QUERY_BLOCK / 2, each compared with one
+    scan of `base`, of which every task keeps its own k best before the final ranking."""
     blocks = max(1, -(-2 * queries.count() // QUERY_BLOCK))
     out = None
     for i in range(blocks):
@@ -38,12 +41,59 @@ def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows; one that is null, of another length or has a null in it is all NaN."""
+    whole = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False).to_numpy(zero_copy_only=False)
+    out = np.full((len(vectors), dim), np.nan)
+    out[whole] = pc.list_flatten(vectors.filter(pa.array(whole))).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
 def _nearest_block(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    pairs = base.crossJoin(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("distance"))
-    bucket = F.pmod(F.xxhash64("vec_id"), F.lit(32))
-    local = Window.partitionBy("query_id", "bucket").orderBy("distance", "vec_id")
-    few = pairs.withColumn("bucket", bucket).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    """Products of matrices bound every distance; what they leave among the k best is measured, component after component."""
+    asked = queries.where("query_id IS NOT NULL").select("query_id", "q").toArrow().combine_chunks()
+    shipped = queries.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shipped.value
+        vectors = asked["q"].combine_chunks()
+        dim = int(pc.max(pc.list_value_length(vectors)).as_py() or 0)
+        q, names = _matrix(vectors, dim), asked["query_id"].to_numpy()
+        squares = (q * q).sum(1)
+        at, ids, far = np.zeros(0, np.int64), None, np.zeros(0)
+        limit = np.full(len(q), np.inf)
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHUNK):
+                own = batch.slice(first, CHUNK)
+                b, others = _matrix(own.column(1), dim), own.column(0).to_numpy(zero_copy_only=False)
+                with np.errstate(all="ignore"):
+                    sums = squares[:, None] + (b * b).sum(1)
+                    near = sums - 2 * (q @ b.T)
+                    slack = 1e-9 * sums
+                    if len(others) > k + 1:
+                        # one of the k + 1 nearest may be the query itself
+                        limit = np.fmin(limit, np.partition(near + slack, k, axis=1)[:, k])
+                    row, col = np.nonzero(~(near - slack > limit[:, None]) & (names[:, None] != others))
+                    gaps = np.zeros(len(row))
+                    for j in range(dim):
+                        gap = q[row, j] - b[col, j]
+                        gaps += gap * gap
+                at, far = np.r_[at, row], np.r_[far, np.sqrt(gaps)]
+                ids = others[col] if ids is None else np.r_[ids, others[col]]
+                order = np.lexsort((ids, far, at))  # NaN comes last
+                at, ids, far = at[order], ids[order], far[order]
+                start = np.searchsorted(at, np.arange(len(q) + 1))
+                place = np.arange(len(at)) - start[at]
+                full = np.flatnonzero(np.diff(start) >= k)
+                worst = far[start[full] + k - 1] ** 2
+                limit[full] = np.fmin(limit[full], worst + 1e-9 * worst)
+                at, ids, far = at[place < k], ids[place < k], far[place < k]
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids), pa.array(far, mask=np.isnan(far))], names=["query_id", "vec_id", "distance"])
+
+    kinds = [StructField("query_id", queries.schema["query_id"].dataType), StructField("vec_id", base.schema["vec_id"].dataType), StructField("distance", DoubleType())]
+    few = base.where("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, StructType(kinds))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
     best = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "vec_id", "distance", (1 - F.col("distance") / 2).alias("sim"), "rank")
 

@@ -305,6 +305,25 @@ def test_vectors(spark):
         assert sum(m["value"] ** 2 for m in mean if m["label"] == label) == pytest.approx(1, abs=1e-5)
 
 
+def test_nearest_of_many_equal_far_and_missing_vectors(spark, monkeypatch):
+    """Chunks smaller than a task's rows, ties by id, vectors without a distance last; only each task's best are shuffled."""
+    monkeypatch.setattr(V, "CHUNK", 7)
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(r.random((1, 6)), 60, 0), r.random((60, 6)) + 1e4, r.random((60, 6))]).astype("float32")
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [float("nan")] * 6), (None, [0.0] * 6)]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    found = V.nearest(base.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), base, 10)
+    got = found.collect()
+    for q in range(0, 180, 20):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(180), d)) if i != q][:10]
+        own = sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])
+        assert [g["vec_id"] for g in own] == order and [g["distance"] for g in own] == pytest.approx(d[order].tolist(), abs=1e-9)
+    few = V.nearest(base.where("vec_id = 1").selectExpr("vec_id AS query_id", "embedding AS q"), base.where("vec_id in (0, 500, 501)"), 10).collect()
+    assert sorted((g["rank"], g["vec_id"], g["distance"]) for g in few)[0] == (1, 0, 0.0) and [g["distance"] for g in few].count(None) == 2
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_blend_and_merge(spark):
     mass = spark.createDataFrame([("A", "a", 0.5), ("A", "b", 0.3), ("A", "c", 0.2), ("B", "a", 7.0)], "act_id string, id string, mass double")
     lex = spark.createDataFrame([("A", "b", 0.9), ("A", "z", 1.0)], "act_id string, id string, score double")
