@@ -58,6 +58,38 @@ def test_pagerank_in_blocks(spark, monkeypatch):
     assert [got[n] for n in "abcdefg"] == pytest.approx(x.tolist())
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3, 40])
+def test_pagerank_without_cycles_is_a_sum_over_paths(spark, monkeypatch, rounds):
+    """No walk: as many steps as the longest path has edges, whatever the rounds; repeated edges count each."""
+    monkeypatch.setattr(G, "Walk", None)
+    pairs = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("e", "gone"), ("e", "d"), ("stranger", "a")]
+    nodes = spark.createDataFrame([(n,) for n in "abcdefg"], "id string")
+    got = {r["id"]: r["rank"] for r in G.pagerank(nodes, spark.createDataFrame(pairs, "src string, dst string"), rounds=rounds).collect()}
+    x = np.full(7, 1 / 7)
+    for _ in range(rounds):
+        new = np.full(7, 0.15 / 7 + 0.85 * x[[3, 5, 6]].sum() / 7)
+        for a, b in pairs:
+            if a != "stranger" and b != "gone":
+                new["abcdefg".index(b)] += 0.85 * x["abcdefg".index(a)] / sum(p[0] == a for p in pairs)
+        x = new
+    assert [got[n] for n in "abcdefg"] == pytest.approx(x.tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("depth", [1, 8])
+def test_pagerank_on_cycles_is_walked(spark, monkeypatch, depth):
+    monkeypatch.setattr(G, "DEPTH", depth)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a")]
+    nodes = spark.createDataFrame([(n,) for n in "abcde"], "id string")
+    got = {r["id"]: r["rank"] for r in G.pagerank(nodes, spark.createDataFrame(pairs, "src string, dst string"), rounds=12, tolerance=0.0).collect()}
+    x = np.full(5, 1 / 5)
+    for _ in range(12):
+        new = np.full(5, 0.15 / 5 + 0.85 * x[3] / 5)
+        for a, b in pairs:
+            new["abcde".index(b)] += 0.85 * x["abcde".index(a)] / sum(p[0] == a for p in pairs)
+        x = new
+    assert [got[n] for n in "abcde"] == pytest.approx(x.tolist())
+
+
 def test_more_seeds_than_walk_together(spark, parts, monkeypatch):
     monkeypatch.setattr(W, "COLUMNS", 2)
     *walk, m = parts
