@@ -401,3 +401,21 @@ def test_pushed_masses_are_not_shuffled(spark, world):
     other = push_tops(seeds, graph.push_graph(), 0.5, 1e-6, 5, limit=0)
     key = lambda df: sorted((r["seed"], r["r"], r["id"], round(r["mass"], 12), round(r["captured"], 12)) for r in df.collect())
     assert key(rows) == key(other) and len({r["seed"] for r in rows.collect()}) == 31
+
+
+def test_line_items_are_dealt_once(spark):
+    """Terms: by order, and grouped there; references: by order; suppliers come to the lines."""
+    from quillspark.sources import model
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # orders, but not suppliers, are too many here
+    try:
+        for name, column in (("references", "l_orderkey"), ("term_usage", "l_orderkey")):
+            plan = getattr(model, name)(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+            dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+            assert not [d for d in dealt if d.startswith(("l_suppkey", "source_internal_id"))]
+            assert sum(d.startswith(column) for d in dealt) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
