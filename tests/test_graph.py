@@ -419,3 +419,18 @@ def test_line_items_are_dealt_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_closure_makes_its_edges_once(spark):
+    """Whatever the number of rounds: the edges may be costly joins."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")], "src string, dst string").mapInArrow(count, "src string, dst string")
+    got = G.closure(spark.createDataFrame([("a", "a"), ("x", "x")], "root string, id string"), edges)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("x", "x")]
+    assert made.value == 4
