@@ -13,11 +13,13 @@ space as one space.  A document leaks an item when some substring of it is withi
    at a small Hamming distance.  ``WALKS`` walks are used.
 3. Sample: for each walk, ``TABLES`` sets of ``SAMPLES`` output positions are compared;
    a window that agrees on any set is a candidate.
-4. Settle: edits that are spread evenly leave no seeds.  Of an item's parts of up to 64
+4. Settle: edits that are spread evenly leave no seeds.  Of an item's parts of up to ``LONGEST``
    bytes one has at most its share of the edits.  A part's disjoint pieces of ``PIECE``
    bytes (shorter where ``max_edit`` asks for it) lose at most one an edit, so all but
-   that many stand in the text, at shifts that differ by no more than the edits.  Every
-   place with so many is searched for the part, exactly and for many places at once.
+   that many stand in the text, at shifts that differ by no more than the edits.  Which
+   disjoint pieces are looked for is free: the rarest of them, ``SPARE`` more than edits.  At
+   every place with so many the part's sections of up to 64 bytes, of which one has at most its
+   share of the edits too, are searched for, exactly and for many places at once.
 5. Verify: the bit-parallel edit distance of the item to the best substring around the
    window or place decides.
 
@@ -60,6 +62,7 @@ BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
 PIECE = 4
 PIECE_BITS = 18
+SPARE = 8
 CHUNK = 1 << 16
 ENTRIES = 4 << 20
 
@@ -212,15 +215,44 @@ def propose(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([doc[middle], item[middle], shift[middle]], 1)[enough]
 
 
+def chosen_pieces(costs: list[np.ndarray], piece: int, counts: np.ndarray) -> list[np.ndarray]:
+    """For each text the places of `counts` disjoint pieces that cost the least together, by the cost of a piece at each place."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(costs)
+    for_size = np.argsort([len(c) for c in costs], kind="stable")
+    for a in range(0, len(costs), 64):
+        own = for_size[a : a + 64]
+        width = max(len(costs[i]) for i in own) + piece  # bytes of the longest text, and one
+        cost = np.full((len(own), width), np.inf)
+        for row, i in zip(cost, own, strict=True):
+            row[piece : piece + len(costs[i])] = costs[i]
+        # least[r, i]: of j pieces within the first i bytes; ends[j][r, i]: where the last of them ends
+        least, ends, place = np.zeros((len(own), width)), [], np.arange(width)
+        for _ in range(int(counts[own].max())):
+            here = np.full((len(own), width), np.inf)
+            here[:, piece:] = least[:, :-piece] + cost[:, piece:]
+            least = np.minimum.accumulate(here, axis=1)
+            ends.append(np.maximum.accumulate(np.where(here <= least, place, 0), axis=1).astype(np.int16))
+        at = np.array([len(costs[i]) + piece - 1 for i in own])
+        found: list[list[int]] = [[] for _ in own]
+        for j in range(len(ends), 0, -1):
+            rows = np.flatnonzero(counts[own] >= j)
+            at[rows] = ends[j - 1][rows, at[rows]] - piece
+            for r in rows.tolist():
+                found[r].append(int(at[r]))
+        for i, f in zip(own.tolist(), found, strict=True):
+            out[i] = np.array(f[::-1], np.int64)
+    return out
+
+
 class Settler:
-    """Places that can hold an item within its edits, found by the item's parts of up to 64 bytes.
+    """Places that can hold an item within its edits, found by pieces of the item's parts and then by the parts' sections of up to 64 bytes.
 
     Serves items that are cut into pieces of one length; see :func:`settlers`."""
 
     def __init__(self, names: list[int], texts: list[bytes], max_edit: float, piece: int) -> None:
         self.names = np.array(names)
         lengths = np.array([len(t) for t in texts])
-        parts = -(-lengths // 64)
+        parts = -(-lengths // LONGEST)
         self.item_size, self.item_edits = lengths, np.array([int(max_edit * len(t)) for t in texts])
         self.item = np.repeat(np.arange(len(texts)), parts)
         cuts = [(i * len(t) // m, (i + 1) * len(t) // m, t) for t, m in zip(texts, parts.tolist(), strict=True) for i in range(m)]
@@ -229,32 +261,44 @@ class Settler:
         # one part of an item has at most its share of the edits
         self.size, self.edits = np.array([len(c) for c in cuts]), np.repeat(self.item_edits // parts, parts)
         self.piece = piece
-        self.need = np.maximum(self.size // self.piece - self.edits, 1)
+        pieces = np.minimum(self.size // self.piece, self.edits + SPARE)
+        self.need = np.maximum(pieces - self.edits, 1)
         # consecutive chunks overlap by the longest occurrence
         self.chunk = CHUNK + int((self.size + self.edits).max())
-        pieces = self.size // self.piece
+        slots = [self.slots(np.frombuffer(c, np.uint8)) for c in cuts]
+        # how common a piece is among the items decides only how fast its places are counted
+        common = np.bincount(np.concatenate(slots), minlength=1 << PIECE_BITS)
+        places = chosen_pieces([common[own].astype(float) for own in slots], self.piece, pieces)
         part = np.repeat(np.arange(len(cuts)), pieces)
-        place = np.concatenate([np.arange(n) * self.piece for n in pieces])
-        slot = np.concatenate([self.slots(np.frombuffer(c, np.uint8))[np.arange(n) * self.piece] for c, n in zip(cuts, pieces.tolist(), strict=True)])
+        place = np.concatenate(places)
+        slot = np.concatenate([own[at] for own, at in zip(slots, places, strict=True)])
         order = np.argsort(slot, kind="stable")
         self.count = np.bincount(slot, minlength=1 << PIECE_BITS).astype(np.int32)
         self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
-        # part and shift (position - place + 64) as one number
-        self.span = (self.chunk + 256).bit_length()
-        self.key = ((part[order].astype(np.int64) << self.span) + 64 - place[order]).astype(np.int32 if len(cuts) << self.span < 1 << 31 else np.int64)
-        # parts end at the top bit; the bits below them match anything and count nothing
-        self.steps = ~np.uint64(0) << (64 - self.size).astype(np.uint64)
-        self.bytes = np.zeros((len(cuts), 64), np.uint8)
-        for row, c in zip(self.bytes, cuts, strict=True):
-            row[: len(c)] = np.frombuffer(c, np.uint8)
-
-    def masks(self, parts: np.ndarray) -> np.ndarray:
-        """For each part and byte the positions that it equals, flat; made for the parts at hand only."""
-        free = (64 - self.size[parts]).astype(np.uint64)
-        out = np.repeat(~self.steps[parts], 256)
+        # part and shift (position - place + longest part) as one number; keys of two parts are further apart than any edits
+        self.ahead = int(self.size.max())
+        self.span = (self.chunk + 2 * self.ahead + 256).bit_length()
+        self.key = ((part[order].astype(np.int64) << self.span) + self.ahead - place[order]).astype(np.int32 if len(cuts) << self.span < 1 << 31 else np.int64)
+        # sections of parts: one of a part's has at most its share of the edits
+        self.sections = -(-self.size // 64)
+        self.part = np.repeat(np.arange(len(cuts)), self.sections)
+        own = [(i * len(c) // m, (i + 1) * len(c) // m, c) for c, m in zip(cuts, self.sections.tolist(), strict=True) for i in range(m)]
+        self.begin = np.array([x for x, _, _ in own])
+        self.length, self.share = np.array([y - x for x, y, _ in own]), np.repeat(self.edits // self.sections, self.sections)
+        self.first_section = np.cumsum(self.sections) - self.sections
+        # sections end at the top bit; the bits below them match anything and count nothing
+        self.steps = ~np.uint64(0) << (64 - self.length).astype(np.uint64)
+        self.bytes = np.zeros((len(own), 64), np.uint8)
+        for row, (x, y, c) in zip(self.bytes, own, strict=True):
+            row[: y - x] = np.frombuffer(c[x:y], np.uint8)
+
+    def masks(self, sections: np.ndarray) -> np.ndarray:
+        """For each section and byte the positions that it equals, flat; made for the sections at hand only."""
+        free = (64 - self.length[sections]).astype(np.uint64)
+        out = np.repeat(~self.steps[sections], 256)
         for i in range(64):
-            rows = np.flatnonzero(self.size[parts] > i)
-            out[rows * 256 + self.bytes[parts[rows], i]] |= np.uint64(1) << (free[rows] + np.uint64(i))
+            rows = np.flatnonzero(self.length[sections] > i)
+            out[rows * 256 + self.bytes[sections[rows], i]] |= np.uint64(1) << (free[rows] + np.uint64(i))
         return out
 
     def slots(self, data: np.ndarray) -> np.ndarray:
@@ -266,7 +310,7 @@ class Settler:
         return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - PIECE_BITS)
 
     def places(self, data: np.ndarray) -> np.ndarray:
-        """(part, start, stop): regions with enough pieces of a part at shifts close to each other."""
+        """(part, first, last): between which shifts all of a part lies if it is where enough of its pieces stand at shifts close to each other."""
         out = []
         slot = self.slots(data)
         a, step = 0, CHUNK
@@ -281,9 +325,16 @@ class Settler:
             if not total:
                 continue
             hit = np.flatnonzero(count)
-            count = count[hit]
-            entry = np.repeat(self.first[own[hit]] - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(total, dtype=np.int32)
-            keys = np.sort(self.key[entry] + np.repeat(hit.astype(self.key.dtype), count))
+            count, entry, hit, keys = count[hit], self.first[own[hit]], hit.astype(self.key.dtype), []
+            while len(hit) and len(keys) < 16:  # the first part that holds a piece, the second, ...
+                keys.append(self.key[entry] + hit)
+                more = np.flatnonzero(count > 1)
+                hit, entry, count = hit[more], entry[more] + 1, count[more] - 1
+            if len(hit):
+                left = int(count.sum(dtype=np.int64))
+                entry = np.repeat(entry - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(left, dtype=np.int32)
+                keys.append(self.key[entry] + np.repeat(hit, count))
+            keys = np.sort(np.concatenate(keys))
             part = keys >> self.span
             last = np.arange(total) + self.need[part] - 1
             # shifts of one part: keys of another are further away than any edits
@@ -294,48 +345,65 @@ class Settler:
             new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (low[1:] > high[:-1])])
             end = np.r_[new[1:], len(full)] - 1
             part = part[new].astype(np.int64)
-            start = at - 64 + (low[new] - (part << self.span)) - self.edits[part]
-            stop = at - 64 + (high[end] - (part << self.span)) + self.edits[part] + self.size[part]
-            out.append(np.stack([part, np.maximum(start, 0), np.minimum(stop, len(data))], 1))
+            # no byte of the part is shifted by more edits against any of the pieces that stand
+            first = at - self.ahead + (high[new] - (part << self.span)) - self.edits[part]
+            last = at - self.ahead + (low[end] - (part << self.span)) + self.edits[part]
+            out.append(np.stack([part, first, last], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
+    def spread(self, places: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """(section, start, stop): where the sections of parts at places can be."""
+        part, first, last = places.T
+        many = self.sections[part]
+        section = np.repeat(self.first_section[part] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        start = np.maximum(np.repeat(first, many) + self.begin[section], 0)
+        stop = np.minimum(np.repeat(last, many) + self.begin[section] + self.length[section], len(data))
+        return np.stack([section, start, stop], 1)[stop > start]
+
     def searched(self, places: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """The places that hold their part within its share of the edits."""
+        """Of places (section, start, stop) those that hold their section within its share of the edits."""
         keep = np.zeros(len(places), bool)
-        by_size = np.argsort(places[:, 2] - places[:, 1], kind="stable")
+        size = places[:, 2] - places[:, 1]
+        # places of one section and of about one size together: few masks at a time
+        by_size = np.lexsort((places[:, 0], size >> 4))
         one = np.uint64(1)
         for c in range(0, len(by_size), 4096):
             rows = by_size[c : c + 4096]
-            part, start, stop = places[rows].T
-            own, index = np.unique(part, return_inverse=True)
+            rows = rows[np.argsort(-size[rows], kind="stable")]
+            # how many of them are longer than 0, 1, ... bytes
+            going = np.searchsorted(-size[rows], -np.arange(int(size[rows[0]])), "left").tolist()
+            section, at, _ = places[rows].T
+            own, index = np.unique(section, return_inverse=True)
             equal = self.masks(own)
-            row, stop = index << 8, stop - 1
-            score = self.size[part].astype(np.int8)
+            row = index << 8
+            score = self.length[section].astype(np.int8)
             best = score.copy()
-            pv, mv = self.steps[part], np.zeros(len(part), np.uint64)
-            for t in range(int((stop - start).max()) + 1):
-                # past its end a region repeats its last byte, which can only keep more
-                eq = equal[row + data[np.minimum(start + t, stop)]]
+            pv, mv = self.steps[section], np.zeros(len(section), np.uint64)
+            for t, n in enumerate(going):
+                if n < len(row):
+                    row, at, score, pv, mv = row[:n], at[:n], score[:n], pv[:n], mv[:n]
+                eq = equal[row + data[at + t]]
                 xv = eq | mv
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph = mv | ~(xh | pv)
                 mh = pv & xh
                 score += (ph.view(np.int64) < 0).view(np.int8)
                 score -= (mh.view(np.int64) < 0).view(np.int8)
-                np.minimum(best, score, out=best)
+                np.minimum(best[:n], score, out=best[:n])
                 ph <<= one
                 mh <<= one
                 pv = mh | ~(xv | ph)
                 mv = ph & xv
-            keep[rows] = best <= self.edits[part]
+            keep[rows] = best <= self.share[section]
         return places[keep]
 
     def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, start, stop): what has to be searched for whole items."""
-        part, start, stop = self.searched(self.places(data), data).T
-        item = self.item[part]
-        before = self.offset[part] + self.item_edits[item]
-        after = self.item_size[item] - self.offset[part] - self.size[part] + self.item_edits[item]
+        section, start, stop = self.searched(self.spread(self.places(data), data), data).T
+        part = self.part[section]
+        item, offset = self.item[part], self.offset[part] + self.begin[section]
+        before = offset + self.item_edits[item]
+        after = self.item_size[item] - offset - self.length[section] + self.item_edits[item]
         out = set()
         for i, x, y in zip(item.tolist(), np.maximum(start - before, 0).tolist(), np.minimum(stop + after, len(data)).tolist(), strict=True):
             for d in range(int(np.searchsorted(offsets, x, "right")) - 1, int(np.searchsorted(offsets, y, "left"))):
@@ -349,7 +417,7 @@ def settlers(texts: list[bytes], max_edit: float) -> list[Settler]:
     """The items by the length of their pieces: so short that more pieces than edits are left."""
     groups: dict[int, list[int]] = {}
     for i, t in enumerate(texts):
-        parts = -(-len(t) // 64)
+        parts = -(-len(t) // LONGEST)
         least, edits = len(t) // parts, int(max_edit * len(t)) // parts
         piece = next((q for q in range(min(PIECE, least), 1, -1) if least // q > edits), 1)
         groups.setdefault(piece, []).append(i)

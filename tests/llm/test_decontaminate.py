@@ -136,3 +136,33 @@ def test_empty(spark, docs, empty, texts):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(docs, none).count() == 0 and decontaminated(docs, none).count() == len(texts)
     assert leaks(empty, spark.createDataFrame([(1, sentence(2, 60))], "item_id bigint, text string")).count() == 0
+
+
+def test_few_places_of_an_item_are_searched():
+    """Pieces of a whole item narrow the places down, not those of each 64 bytes of it."""
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshr", k=r.randrange(2, 8))) for _ in range(400)]
+    items = [" ".join(r.choices(words, k=45))[:230].strip().encode() for _ in range(100)]
+    (settler,) = settlers(items, 0.2)
+    assert settler.need.min() >= 8 and len(settler.size) == len(items)
+    text = bytearray(" ".join(r.choices(words, k=40000)).encode())
+    text[100_000 : 100_000 + len(items[7])] = items[7]
+    data = np.frombuffer(bytes(text), np.uint8)
+    places = settler.places(data)
+    assert any(p == 7 and a <= 100_000 <= b for p, a, b in places.tolist())
+    assert {(d, i) for d, i, a, b in settler.regions(data, np.array([0, len(data)])) if bytes(text[a:b]).find(items[i]) >= 0} == {(0, 7)}
+    assert len(places) < len(data) // 10
+
+
+def test_chosen_pieces_are_the_cheapest_disjoint_ones():
+    from itertools import combinations
+
+    from quillspark.llm.decontaminate import chosen_pieces
+
+    r = np.random.default_rng(3)
+    costs = [r.integers(0, 9, n).astype(float) for n in (1, 4, 9, 14, 14)]
+    counts = np.array([1, 1, 3, 2, 4])
+    for cost, k, got in zip(costs, counts.tolist(), chosen_pieces(costs, 4, counts), strict=True):
+        assert len(got) == k and got.min() >= 0 and got.max() < len(cost) and np.all(np.diff(got) >= 4)
+        want = min(sum(cost[i] for i in c) for c in combinations(range(len(cost)), k) if all(b - a >= 4 for a, b in zip(c, c[1:])))
+        assert cost[got].sum() == want
