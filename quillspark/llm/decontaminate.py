@@ -17,7 +17,7 @@ space as one space.  A document leaks an item when some substring of it is withi
    bytes one has at most its share of the edits.  A part's disjoint pieces of ``PIECE``
    bytes (shorter where ``max_edit`` asks for it) lose at most one an edit, so all but
    that many stand in the text, at shifts that differ by no more than the edits.  Which
-   disjoint pieces are looked for is free: the rarest of them, ``SPARE`` more than edits.  At
+   disjoint pieces are looked for is free: the rarest of them, ``SPARE`` more than edits; as many different ones as must be left count.  At
    every place with so many the part's sections of up to 64 bytes, of which one has at most its
    share of the edits too, are searched for, exactly and for many places at once.
 5. Verify: the bit-parallel edit distance of the item to the best substring around the
@@ -275,10 +275,13 @@ class Settler:
         order = np.argsort(slot, kind="stable")
         self.count = np.bincount(slot, minlength=1 << PIECE_BITS).astype(np.int32)
         self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
-        # part and shift (position - place + longest part) as one number; keys of two parts are further apart than any edits
+        # part and shift (position - place + longest part) as one number; those of two parts are further apart than any edits
         self.ahead = int(self.size.max())
         self.span = (self.chunk + 2 * self.ahead + 256).bit_length()
-        self.key = ((part[order].astype(np.int64) << self.span) + self.ahead - place[order]).astype(np.int32 if len(cuts) << self.span < 1 << 31 else np.int64)
+        # and behind it which of the part's pieces it is
+        which = np.concatenate([np.arange(n) for n in pieces.tolist()])
+        self.low = int(pieces.max()).bit_length()
+        self.key = (((part[order].astype(np.int64) << self.span) + self.ahead - place[order]) << self.low) + which[order]
         # sections of parts: one of a part's has at most its share of the edits
         self.sections = -(-self.size // 64)
         self.part = np.repeat(np.arange(len(cuts)), self.sections)
@@ -325,7 +328,7 @@ class Settler:
             if not total:
                 continue
             hit = np.flatnonzero(count)
-            count, entry, hit, keys = count[hit], self.first[own[hit]], hit.astype(self.key.dtype), []
+            count, entry, hit, keys = count[hit], self.first[own[hit]], hit << self.low, []
             while len(hit) and len(keys) < 16:  # the first part that holds a piece, the second, ...
                 keys.append(self.key[entry] + hit)
                 more = np.flatnonzero(count > 1)
@@ -335,10 +338,14 @@ class Settler:
                 entry = np.repeat(entry - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(left, dtype=np.int32)
                 keys.append(self.key[entry] + np.repeat(hit, count))
             keys = np.sort(np.concatenate(keys))
+            which = keys & ((1 << self.low) - 1)
+            keys >>= self.low
             part = keys >> self.span
-            last = np.arange(total) + self.need[part] - 1
+            last = np.arange(-1, total - 1) + self.need[part]
             # shifts of one part: keys of another are further away than any edits
-            full = np.flatnonzero(keys[np.minimum(last, total - 1)] - keys <= np.where(last < total, self.edits[part], -1))
+            full = np.flatnonzero(keys.take(last, mode="clip") - keys <= self.edits[part])
+            full = full[last[full] < total]
+            full = full[self.differing(keys, which, full, part)]
             if not len(full):
                 continue
             low, high, part = keys[full], keys[last[full]], part[full]
@@ -351,6 +358,22 @@ class Settler:
             out.append(np.stack([part, first, last], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
+    def differing(self, keys: np.ndarray, which: np.ndarray, full: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Whether the shifts within a part's edits from the one at each of `full` on have enough different pieces."""
+        many = np.searchsorted(keys, keys[full] + self.edits[part[full]], "right") - full
+        keep = np.ones(len(full), bool)
+        for c in range(0, len(full), 1 << 14):
+            own = many[c : c + (1 << 14)]
+            if own.sum() > ENTRIES:  # too many to be looked at: they stay
+                continue
+            first = np.cumsum(own) - own
+            entry = np.repeat(full[c : c + (1 << 14)] - first, own) + np.arange(int(own.sum()))
+            window = np.repeat(np.arange(len(own)) << self.low, own)
+            held = np.zeros((len(own), 1 << self.low), bool)
+            held.ravel()[window + which[entry]] = True
+            keep[c : c + (1 << 14)] = np.count_nonzero(held, axis=1) >= self.need[part[full[c : c + (1 << 14)]]]
+        return keep
+
     def spread(self, places: np.ndarray, data: np.ndarray) -> np.ndarray:
         """(section, start, stop): where the sections of parts at places can be."""
         part, first, last = places.T

@@ -166,3 +166,12 @@ def test_chosen_pieces_are_the_cheapest_disjoint_ones():
         assert len(got) == k and got.min() >= 0 and got.max() < len(cost) and np.all(np.diff(got) >= 4)
         want = min(sum(cost[i] for i in c) for c in combinations(range(len(cost)), k) if all(b - a >= 4 for a, b in zip(c, c[1:])))
         assert cost[got].sum() == want
+
+
+def test_one_piece_many_times_is_no_place():
+    """A place needs different pieces: a text of one word holds one piece of an item often."""
+    item = b"abcd" + bytes(97 + (7 * i + i // 5) % 26 for i in range(196))
+    (settler,) = settlers([item], 0.2)
+    assert len(settler.places(np.frombuffer(b"abcd" * 500, np.uint8))) == 0
+    text = np.frombuffer(b"abcd" * 100 + item + b"abcd" * 100, np.uint8)
+    assert any(a <= 400 <= b for _, a, b in settler.places(text).tolist())
